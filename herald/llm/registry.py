@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from herald.llm import mixing
+from herald.llm import bpe, fingerprints, mixing, pii, quality
 
 
 def queries():
-    return {"op9_mixing": mixing.op9_mixing}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op5_pii": pii.op5_pii,
+        "op6_fingerprints": fingerprints.op6_fingerprints,
+        "op9_mixing": mixing.op9_mixing,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql():
