@@ -52,7 +52,7 @@ def _mod97(match: Column) -> Column:
     bare = F.replace(match, F.lit(" "), F.lit(""))
     turned = F.concat(F.substring(bare, 5, 64), F.substring(bare, 1, 4))
     value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda acc, c: (acc * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda acc, c: (acc * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
 
 
 def _valid(kind: Kind, match: Column) -> Column:
