@@ -27,13 +27,12 @@ def render_buttons(own: Column, template: Column, entries: Column) -> Column:
 
     Variables go into the two web links only; ordering and application links are left out; a missing link is empty.
     """
-    chosen = F.when(F.size(own) > 0, own).when(F.size(template) > 0, template)
-
     def shown(b: Column) -> Column:
         link = lambda c: F.coalesce(substitute_vars(b[c], entries), F.lit(""))
         return F.struct(b["name"].alias("name"), b["linkType"].alias("linkType"), b["linkTypeName"].alias("linkTypeName"), link("linkMo").alias("linkMo"), link("linkPc").alias("linkPc"))
 
-    return F.when(chosen.isNotNull(), F.to_json(F.struct(F.transform(chosen, shown).alias("button"))))
+    chosen = F.when(F.size(own) > 0, F.transform(own, shown)).when(F.size(template) > 0, F.transform(template, shown))
+    return F.when(chosen.isNotNull(), F.to_json(F.struct(chosen.alias("button"))))
 
 
 def pick_failover(flag: Column, subject: Column, message: Column, template_flag: Column, template_title: Column, template_name: Column, template_content: Column, entries: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from herald.operators import access_log, batches, catalog, costing, delivery, jobs, ledger, rendering, requests, resolve
 
-TEMPLATE_COLUMNS = ("template_name", "template_content", "template_em_type", "template_title", "template_subtitle", "use_failover")
+TEMPLATE_COLUMNS = ("template_name", "template_content", "template_em_type", "template_title", "template_subtitle", "template_buttons", "use_failover")
 
 
 def resolved_requests(reqs: DataFrame, counts: DataFrame, templates: DataFrame, aliases: DataFrame, channels: DataFrame) -> DataFrame:
