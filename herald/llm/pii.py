@@ -39,7 +39,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7, r"\bip\b|host|server|address|serv|rechner"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", 0.8, r"card|visa|credit|payment|tarjeta|carte|karte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"phone|call|mobile|fax|tel\b|tel[eé]f|appel|anruf"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.85, r"iban|bank|account|konto|cuenta|compte|bic"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.85, r"iban|bank|account|konto|cuenta|compte|bic", base=False),
 )
 
 
@@ -112,3 +112,35 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name: F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("bigint").alias(f"n_{name}")
     counts = [of(k.name) for k in KINDS if k.base]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+
+
+def _found_sql(kind: str, pattern: str) -> str:
+    """Rows (doc_id, kind, begin, finish, match) of a pattern, from the lengths of gaps and matches."""
+    return f"""select doc_id, '{kind}' as kind, m.b as begin, m.b + length(m.x) as finish, m.x as match from (select doc_id, unnest(list_transform(range(1, len(found) + 1),
+      lambda i: {{'b': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0), 'x': found[i]}})) as m
+      from (select doc_id, regexp_extract_all(t, '{pattern}') as found, regexp_split_to_array(t, '{pattern}') as gaps from docs))"""
+
+
+_DIGITS_SQL = "regexp_replace(match, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"""list_sum(list_transform(range(1, length({_DIGITS_SQL}) + 1), lambda i: case when (length({_DIGITS_SQL}) - i) % 2 = 0 then cast({_DIGITS_SQL}[i] as int)
+  else 2 * cast({_DIGITS_SQL}[i] as int) - case when cast({_DIGITS_SQL}[i] as int) > 4 then 9 else 0 end end)) % 10 = 0"""
+_TURNED_SQL = "replace(match, ' ', '')[5:] || replace(match, ' ', '')[1:4]"
+_MOD97_SQL = f"""list_reduce(list_prepend(0, list_transform(string_split({_TURNED_SQL}, ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)),
+  lambda a, v: (a * case when v > 9 then 100 else 10 end + v) % 97) = 1"""
+_KINDS_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(match, '.'), lambda p: length(ltrim(p, '0')) <= 3 and cast('0' || right(p, 3) as int) <= 255))"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS_SQL}) between 13 and 19 and {_LUHN_SQL}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS_SQL}) between 9 and 15"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", _MOD97_SQL),
+)
+_LIST_SQL = "coalesce(string_agg(kind || ':' || begin || ':' || finish, ',' order by k, begin){}, '')"
+#: The kinds by the plain patterns. The added kind's bounds are word bounds here: the same but for underscores.
+SQL = (
+    "with docs as (select doc_id, coalesce(text, '') as t from documents), spans as ("
+    + " union all ".join(f"select *, {k} as k from ({_found_sql(kind, pattern)}) where {valid}" for k, (kind, pattern, valid) in enumerate(_KINDS_SQL))
+    + f"""), listed as (select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+  {_LIST_SQL.format(" filter (where k < 4)")} as base, {_LIST_SQL.format("")} as spans from spans group by doc_id)
+select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs d left join listed l on d.doc_id = l.doc_id"""
+)

@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_mixing": mixing.SQL}
+    return {"op4_repeats": repeats.SQL, "op5_pii": pii.SQL, "op9_mixing": mixing.SQL}

@@ -84,9 +84,12 @@ def test_pii(spark, sf_dir, monkeypatch):
         assert r["n_ip"] == want.count("ip:")
 
 
-def test_account_numbers_and_context(spark):
+def test_account_numbers_and_context(spark, monkeypatch):
     texts = ["IBAN DE89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 01", "GB82WEST12345698765432", "call +49 30 1234567", "+49 30 1234567"]
     found = {r["text"]: r["pii"] for r in pii.find(docs(spark, texts)).collect()}
+    monkeypatch.setattr(pii, "table", lambda *a: docs(spark, texts))
+    shown = pii.op5_pii(spark, "").where("doc_id = 0").first()
+    assert shown["base_sha256"] == hashlib.sha256(b"").hexdigest() and shown["spans"] == "iban:5:32"
     assert [s["kind"] for s in found[texts[0]]] == ["iban"] and not [s for s in found[texts[1]] if s["kind"] == "iban"] and [s["kind"] for s in found[texts[2]]] == ["iban"]
     assert found[texts[3]][0]["score"] > found[texts[4]][0]["score"]
     assert pii.find(empty(spark)).count() == 0
