@@ -7,12 +7,15 @@ README), so the work is done on sampled suffixes instead, with the same results:
 
 1. In every window of LENGTH bytes the ``GRAM``-byte string with the smallest hash, the first of equals, is its anchor:
    equal windows have equal anchors at the same place, and one anchor serves about 35 windows in a row.
-2. Anchors are shuffled by hash; one whose hash occurs once can have no repeated window and is dropped.
-3. For the others the bytes that their windows cover are sorted by (anchor, doc_id, position) in Spark's external sort
-   and streamed: a window is repeated if it occurred before in that order. Two 64-bit hashes identify a window.
+2. Anchors are shuffled by hash and sorted, with a hash of all the bytes that their windows cover. An anchor that
+   occurs once has no repeated window. One whose covered bytes occurred before, in (doc_id, position) order, has
+   repeated windows only. These two are settled without their bytes; most anchors are.
+3. The others stand at the ends of repeats: their covered bytes are sorted by (anchor, doc_id, position) in Spark's
+   external sort and streamed: a window is repeated if it occurred before in that order.
 4. Repeated windows are united per document and its other bytes hashed.
 
-No step holds more than a document, a batch, or the different windows of one anchor in memory.
+Strings are compared by two 64-bit hashes. No step holds more than a document, a batch, or the different windows of
+one anchor in memory.
 """
 
 from __future__ import annotations
@@ -49,26 +52,36 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def hashes(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Polynomial hash (modulo 2**64, spread) of every string of a length in an array of bytes."""
+def sums(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the bytes times powers of the base (one longer than data), and powers of its inverse."""
     n = len(data)
-    size = max(1 << 16, 1 << (n + 1).bit_length())
-    up, down = _powers(which, size)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = (sums[length:] - sums[:-length]) * down[: n + 1 - length]
+    up, down = _powers(which, max(1 << 16, 1 << (n + 1).bit_length()))
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=out[1:])
+    return out, down
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrays of the anchors' hashes, positions, and first and last starts of the windows that each serves."""
+def hashes(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """Polynomial hash (modulo 2**64, spread) of every string of a length in an array of bytes."""
+    running, down = sums(data, which)
+    return _spread((running[length:] - running[:-length]) * down[: len(data) + 1 - length])
+
+
+def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of the anchors' hashes and positions, first and last starts of the windows that each serves, and hashes of
+    the bytes that those cover."""
     whole = np.frombuffer(text, np.uint8)
     for at in range(0, max(0, len(whole) - length + 1), CHUNK):
         data = whole[at : at + CHUNK + length - 1]
-        h = hashes(data, gram)
+        running, down = sums(data)
+        h = _spread((running[gram:] - running[:-gram]) * down[: len(data) + 1 - gram])
         least = (h & ~_IN_CHUNK) | np.arange(len(h), dtype=np.uint64)  # the place breaks ties: the first
         width, done = length - gram + 1, 1
         while done < width:  # smallest of 1, 2, 4, ... and at last of ``width`` places in a row
@@ -77,35 +90,40 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tup
             done += step
         place = (least & _IN_CHUNK).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[first[1:] - 1, len(place) - 1]
-        yield h[place[first]], place[first] + at, first + at, last + at
+        place = place[first]
+        last = np.r_[first[1:] - 1, len(least) - 1]
+        covered = _spread((running[last + length] - running[first]) * down[first] + (last - first).astype(np.uint64))
+        yield h[place], place + at, first + at, last + at, covered
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """anchor, key (of the document), place (position, and how far before it windows start: packed), covered (hash)."""
     for b in batches:
-        keys, owners, packed = [], [], []
+        found = []
         for doc, text in zip(b["key"], b["data"]):
-            for h, place, first, last in anchors(bytes(text)):
-                keys.append(h.view(np.int64))
-                owners.append(np.full(len(h), doc))
-                packed.append(place << 16 | (place - first) << 8 | (place - last))
-        if keys:
-            yield pd.DataFrame({"anchor": np.concatenate(keys), "key": np.concatenate(owners), "place": np.concatenate(packed)})
+            for h, place, first, last, covered in anchors(bytes(text)):
+                found.append((h.view(np.int64), np.full(len(h), doc), place << 16 | (place - first) << 8 | (place - last), covered.view(np.int64)))
+        if found:
+            yield pd.DataFrame({c: np.concatenate([x[i] for x in found]) for i, c in enumerate(("anchor", "key", "place", "covered"))})
+
+
+def _unpacked(places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    places = np.asarray(places, np.int64)
+    return places >> 16, (places >> 16) - (places >> 8 & 255), (places >> 16) - (places & 255)
 
 
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each repeated anchor: its hash, where its windows start, and the bytes that they cover."""
+    """Of each anchor that is not settled: its hash, where its windows start, and the bytes that they cover."""
     for b in batches:
-        for doc, text, places in zip(b["key"], b["data"], b["places"]):
+        for doc, text, places in zip(b["key"], b["data"], b["open"]):
+            if places is None or not len(places):
+                continue
             text = bytes(text)
-            places = np.unique(np.asarray(places, np.int64))
-            place = places >> 16
-            first, last = place - (places >> 8 & 255), place - (places & 255)
+            place, first, last = _unpacked(np.unique(places))
             good = last + LENGTH <= len(text)  # rows that share a doc_id may have other texts
             place, first, last = place[good], first[good], last[good]
             if len(place):
-                data = np.frombuffer(text, np.uint8)
-                h = hashes(data, GRAM)[place].view(np.int64)
+                h = hashes(np.frombuffer(text, np.uint8), GRAM)[place].view(np.int64)
                 yield pd.DataFrame({"anchor": h, "key": doc, "first": first, "covered": [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())]})
 
 
@@ -162,10 +180,14 @@ def _kept_rows(digest: bool):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text, spans in zip(b["data"], b["spans"]):
+            for text, places, spans in zip(b["data"], b["settled"], b["spans"]):
                 text = bytes(text)
-                spans = [] if spans is None else spans
-                kept, removed, n = kept_runs(len(text), [s["start"] for s in spans], [s["end"] for s in spans])
+                _, first, last = _unpacked([] if places is None else places)
+                starts, ends = first.tolist(), (last + LENGTH).tolist()
+                for s in [] if spans is None else spans:
+                    starts.append(s["start"])
+                    ends.append(s["end"])
+                kept, removed, n = kept_runs(len(text), starts, [min(e, len(text)) for e in ends])
                 left = b"".join(text[a:z] for a, z in kept)
                 rows.append((len(text), removed, n, hashlib.sha256(left).hexdigest() if digest else left))
             yield pd.DataFrame({"doc_id": b["doc_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept"))}})
@@ -182,24 +204,33 @@ def deduplicated(documents: DataFrame, digest: bool = False) -> DataFrame:
     """
     batch_rows(documents.sparkSession, 256)
     docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    found = docs.select("key", "data").mapInPandas(_anchor_rows, "anchor bigint, key bigint, place bigint")
-    twice = found.withColumn("n", F.count("*").over(W.partitionBy("anchor"))).where("n > 1")
-    places = twice.groupBy("key").agg(F.collect_list("place").alias("places"))
-    contexts = docs.join(places, "key").select("key", "data", "places").mapInPandas(_context_rows, "anchor bigint, key bigint, first bigint, covered binary")
+    found = docs.select("key", "data").mapInPandas(_anchor_rows, "anchor bigint, key bigint, place bigint, covered bigint")
+    alike = W.partitionBy("anchor", "covered").orderBy("key", "place")
+    same = W.partitionBy("anchor").orderBy("covered", "key", "place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one sort serves both
+    ranked = found.repartition("anchor").withColumn("nth", F.row_number().over(alike)).withColumns({"n": F.count("*").over(same), "low": F.min("covered").over(same), "high": F.max("covered").over(same)})
+    again = F.when(F.col("nth") > 1, F.col("place"))
+    unsettled = F.when((F.col("nth") == 1) & (F.col("low") != F.col("high")), F.col("place"))
+    marks = ranked.where("n > 1 and (nth > 1 or low <> high)").groupBy("key").agg(F.collect_list(again).alias("settled"), F.collect_list(unsettled).alias("open"))
+    marked = docs.join(marks, "key", "left").select("doc_id", "key", "data", "settled", "open")
+    contexts = marked.mapInPandas(_context_rows, "anchor bigint, key bigint, first bigint, covered binary")
     ranges = contexts.repartition("anchor").sortWithinPartitions("anchor", "key", "first").mapInPandas(_repeated_rows, "key bigint, start bigint, end bigint")
     spans = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if digest else "binary")
-    return docs.join(spans, "key", "left").select("doc_id", "data", "spans").mapInPandas(_kept_rows(digest), shape)
+    return marked.join(spans, "key", "left").select("doc_id", "key", "data", "settled", "open", "spans").mapInPandas(_kept_rows(digest), shape)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+#: Every window of every text, by its bytes in hex. Exact, and quadratic in nothing, but LENGTH times the input in size.
 SQL = f"""
 with docs as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
-windows as (select doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as w from (select doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) as i from docs)),
-again as (select doc_id, i from (select doc_id, i, row_number() over (partition by w order by doc_id, i) as n from windows) where n > 1),
-runs as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as gap from again),
-sums as (select doc_id, sum(case when gap is null or gap > {LENGTH} then {LENGTH} else gap end) as n_removed, count(*) filter (where gap is null or gap > {LENGTH}) as n_spans from runs group by doc_id)
+places as (select doc_id, h, unnest(range(0, len(h) // 2)) as i from docs),
+windows as (select doc_id, i, substr(h, 2 * i + 1, 2) as b, case when i + {LENGTH} <= len(h) // 2 then substr(h, 2 * i + 1, {2 * LENGTH}) end as w from places),
+firsts as (select doc_id, i, b, w is not null and row_number() over (partition by w order by doc_id, i) > 1 as again from windows),
+covered as (select doc_id, i, b, coalesce(i - max(case when again then i end) over (partition by doc_id order by i rows unbounded preceding) < {LENGTH}, false) as gone from firsts),
+runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from covered),
+sums as (select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans, string_agg(b, '' order by i) filter (where not gone) as left_hex from runs group by doc_id)
+select d.doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(left_hex, ''))) as kept_sha256 from docs d left join sums s on d.doc_id = s.doc_id
 """
