@@ -57,7 +57,7 @@ def test_lines(spark, sf_dir):
             if line.strip(" \t\n\r\x0b\x0c"):
                 found[r["doc_id"], i] = line
     texts = list(dict.fromkeys(found[k] for k in sorted(found)))
-    sets = [lines._set(t, lines.SHINGLE) for t in texts]
+    sets = [{t[i : i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in texts]
     having, edges = defaultdict(list), []
     for i, s in enumerate(sets):
         shared = Counter(j for g in s for j in having[g])
