@@ -9,10 +9,9 @@ from herald.functions.columns import first_filled
 
 
 def build_ledger_row(settled: DataFrame) -> DataFrame:
-    """Names and titles fall back to the template's code. Recipients are a child table keyed by request_id."""
-    c = settled.columns
+    """Name and title are the template's name, or its code where that is empty. Recipients are a child table keyed by request_id."""
     name = first_filled("template_name", "template_code")
     return settled.select(
-        "request_id", "union_id", "sender_alias", "channel_name", "template_code", name.alias("template_name"), first_filled("template_title", "template_code").alias("template_title") if "template_title" in c else name.alias("template_title"),
-        F.lit("alimtalk").alias("message_type"), "recipient_count", "success_count", "sms_count", "fail_count", "total_cost", "actual_cost", "success",
+        "request_id", "union_id", "sender_alias", "channel_name", "template_code", name.alias("template_name"), name.alias("title"),
+        "recipient_count", "success_count", "sms_count", "fail_count", "total_cost", "actual_cost", "success",
     )

@@ -318,7 +318,7 @@ def p8_send_summary(spark, sf_dir):
     return delivery.project_send_summary(_settled(spark, sf_dir)["settled"])
 
 
-@_query(_SETTLED + " select request_id, union_id, sender_alias, channel_name, template_code, coalesce(nullif(template_name, ''), template_code) as template_name, coalesce(nullif(template_title, ''), template_code) as template_title, 'alimtalk' as message_type, recipient_count, success_count, sms_count, fail_count, cast(success_count * 15 + sms_count * 20 as decimal(18,2)) as total_cost, actual_cost, success from settled", money=('total_cost', 'actual_cost'))
+@_query(_SETTLED + " select request_id, union_id, sender_alias, channel_name, template_code, coalesce(nullif(template_name, ''), template_code) as template_name, coalesce(nullif(template_name, ''), template_code) as title, recipient_count, success_count, sms_count, fail_count, cast(success_count * 15 + sms_count * 20 as decimal(18,2)) as total_cost, actual_cost, success from settled", money=('total_cost', 'actual_cost'))
 def p9_ledger_rows(spark, sf_dir):
     return _settled(spark, sf_dir, priced=True)["ledger"]
 
