@@ -67,6 +67,7 @@ class Encoder:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.rank.setdefault((left, right), rank)
             self.made.setdefault(whole, (rank, left, right))
+        self.limit = CACHE
         self.fits_cache: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for name, token in vocab.items():
@@ -107,7 +108,7 @@ class Encoder:
     def compatible(self, left: int, right: int) -> bool:
         found = self.fits_cache.get((left, right))
         if found is None:
-            if len(self.fits_cache) >= 4 * CACHE:
+            if len(self.fits_cache) >= 4 * self.limit:
                 self.fits_cache.clear()
             found = self.fits_cache[left, right] = self.fits(left, right)
         return found
@@ -145,13 +146,13 @@ class Encoder:
             if found is None:
                 found = self.piece(piece)
                 if len(piece) < 64:
-                    if len(self.known) >= CACHE:
+                    if len(self.known) >= self.limit:
                         self.known.clear()
                     self.known[piece] = found
             ids += found
         out = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.names.__getitem__, ids))
         if len(text) < 64:
-            if len(self.words) >= CACHE:
+            if len(self.words) >= self.limit:
                 self.words.clear()
             self.words[text] = out
         return out
@@ -223,16 +224,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoded(documents: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
+def encoded(documents: DataFrame, path: str | None = None, ids: bool = True, cache_words: int = CACHE) -> DataFrame:
     """doc_id, ids (array of int), decoded; with ids=False the digests of the query op10.
 
     A null or empty text has no ids and decodes to an empty text; rows that repeat are encoded alike; other columns are
-    not used. The vocabulary's file is read on every executor.
+    not used. A worker keeps up to ``cache_words`` words' ids. The vocabulary's file is read on every executor.
     """
     batch_rows(documents.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path or vocabulary())
+        e.limit = cache_words
         for batch in batches:
             rows = [e.both(t or "") for t in batch["text"]]
             if ids:

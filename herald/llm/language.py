@@ -37,8 +37,8 @@ RUN = 64
 ROUNDS = 30
 RATE = 0.5
 DECAY = 1e-4
-#: Words whose scores a worker keeps; emptied when full.
-CACHE = 300_000
+#: Words whose scores a worker keeps during a task; emptied when full, and at the end (workers go on to other stages).
+CACHE = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -204,6 +204,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             lang, score = predict(list(b["text"]), sent.value)
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": score})
+        _scores.clear()
 
     shape = "doc_id bigint, held_out boolean, lang_pred string, score double"
     return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(work, shape)
@@ -219,6 +220,7 @@ def labelled(documents: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             lang, score = predict(b.column(place).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*b.schema.names, "_lang", "_score"])
+        _scores.clear()
 
     return documents.mapInArrow(work, StructType([*documents.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())]))
 
