@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+#: Keys of repeated rows that may be broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed(documents: DataFrame) -> DataFrame:
+    """The documents and ``_row``, a 64-bit key of the row: null and repeated ids do not matter, and it is the same in every reading.
+
+    The key is a hash of all columns. Rows equal in all of them can stand for each other: they are counted, and the
+    key takes in a number within the equal ones. Of 10**9 rows two share a key with probability 0.03.
+    """
+    columns = documents.columns
+    hashed = documents.withColumn("_row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    repeated = cut(hashed.groupBy("_row").count().where("count > 1").select("_row"))
+    many = repeated.count()
+    if not many:
+        return hashed
+    those = F.broadcast(repeated) if many <= BROADCAST_KEYS else repeated
+    copies = hashed.join(those, "_row", "left_semi").groupBy("_row", *columns).count()
+    numbered = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count"))).withColumn("_row", F.xxhash64("_row", "_copy"))
+    return hashed.join(those, "_row", "left_anti").select(*columns, "_row").union(numbered.select(*columns, "_row"))
+
+
 def batch_rows(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches of whole texts small, so that a worker's memory is bounded by a few long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -31,9 +31,9 @@ PRIMES = (1000000007, 998244353, 754974721, 469762049)
 RANGE = 4096
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words; a null text has none."""
-    return documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS + "+")), F.lit(0)).cast("bigint").alias("size"))
+def sized(documents: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, carried columns, source, size: the number of words; a null text has none."""
+    return documents.select("doc_id", *carried, "source", F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS + "+")), F.lit(0)).cast("bigint").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -80,22 +80,25 @@ def uses(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, most: int
     return slot.select("rank", "shard", "slot", index.alias("block"))
 
 
-def mix(documents: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, most: int = MOST) -> dict[str, DataFrame]:
+def mix(documents: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, most: int = MOST, row: str | None = None) -> dict[str, DataFrame]:
     """``documents``: doc_id, source, size, source_size, target, rank, start (of its words in the source's stream);
-    ``pieces``: rank, block, doc_id, start, words (of a document in a block); ``slots``: rank, shard, slot, block."""
-    sizes = cut(sized(documents))
+    ``pieces``: rank, block, doc_id, start, words (of a document in a block); ``slots``: rank, shard, slot, block.
+
+    ``row`` names a column that tells rows of one doc_id apart; documents and pieces then have it too."""
+    carried = [row] if row else []
+    sizes = cut(sized(documents, *carried))
     sources = cut(targets(sizes, weights, most))
-    ranked = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "source_size", "target", "rank")
+    ranked = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", *carried, "d.source", "size", "source_size", "target", "rank")
     placed = ranked.withColumn("part", F.floor(F.coalesce("doc_id", F.lit(-1)) / RANGE))
     before = placed.groupBy("rank", "part").agg(F.sum("size").alias("words"))
     before = before.select("rank", "part", F.coalesce(F.sum("words").over(W.partitionBy("rank").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    upto = F.sum("size").over(W.partitionBy("rank", "part").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("size").over(W.partitionBy("rank", "part").orderBy("doc_id", "size", *carried).rowsBetween(W.unboundedPreceding, 0))
     placed = placed.withColumn("upto", upto).join(before, ["rank", "part"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("part", "base", "upto")
     pieces = (
         placed.where("size > 0")
         .withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
         .withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
-        .select("rank", "block", "doc_id", "start", "words")
+        .select("rank", "block", "doc_id", *carried, "start", "words")
     )
     return {"documents": placed, "pieces": pieces, "slots": uses(sources, block, shards, most)}
 

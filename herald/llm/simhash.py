@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herald.llm.common import batch_rows, connected_components, cut, table
@@ -49,15 +49,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit number). Null texts count as empty."""
+def fingerprints(documents: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, carried columns (bigint, no nulls), fp (the fingerprint as a signed 64-bit number). Null texts count as empty."""
     batch_rows(documents.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{c: b[c] for c in carried}, "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
 
-    return documents.select("doc_id", "text").mapInPandas(work, "doc_id bigint, fp bigint")
+    return documents.select("doc_id", *carried, "text").mapInPandas(work, ", ".join(f"{c} bigint" for c in ("doc_id", *carried, "fp")))
 
 
 def sections(rows: int, lanes: int = LANES) -> list[tuple[tuple[int, int], ...]]:
@@ -171,6 +171,13 @@ def near(distinct: DataFrame, lanes: int = LANES, tile: int = TILE) -> DataFrame
     return paired.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_compare, "a bigint, b bigint")
 
 
+def labelled(prints: DataFrame, least: Column) -> DataFrame:
+    """fp, least (that aggregate of its rows), component (a fingerprint), one row for each different fingerprint."""
+    classes = cut(prints.groupBy("fp").agg(least.alias("least")))
+    joined = connected_components(near(classes.select("fp")))
+    return classes.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links, the document itself included.
 
@@ -178,9 +185,7 @@ def components(documents: DataFrame) -> DataFrame:
     their own fingerprint whose id is null only if no linked row has one; an empty table gives no rows.
     """
     prints = cut(fingerprints(documents))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = connected_components(near(classes.select("fp")))
-    labels = classes.join(joined.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labels = labelled(prints, F.min("doc_id"))
     smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labels.join(smallest, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
