@@ -1,14 +1,15 @@
 """Operator 8: language identification with a linear-chain conditional random field.
 
 The words of a text are a sequence whose labels are languages. A word's features are its prefixes and suffixes of one
-to three letters, its letter trigrams, and a lexicon entry if it is frequent among the training words; features are
-hashed to ``HASHED`` weights a language. Transitions between the languages of neighbouring words are learned too.
+to three letters, all its letter trigrams (a text without spaces is a word of any length), and a lexicon entry if it is
+frequent among the training words; features are hashed to ``HASHED`` weights a language. Transitions between the languages of neighbouring words are learned too.
 Forward-backward gives each word's posterior in its sequence; a text's language is the one with the largest mean
 posterior over its words, which is also the score, so code-switched texts get their main language and a lower score.
 
 Training: about ``PER_LANGUAGE`` documents of each language (chosen by a hash of doc_id, at rates from the languages'
 counts), of ``LONGEST`` code points at most, none of them held out; every word of such a text has the text's label.
-Sequences are runs of at most ``RUN`` words of a text. The model has a fixed size.
+Sequences are runs of at most ``RUN`` words of a text. Every language that stands in ``lang`` is learned, so the model
+and the training grow with the number of languages, but not with the table.
 """
 
 from __future__ import annotations
@@ -32,13 +33,17 @@ HASHED = 1 << 16
 LEXICON = 4000
 PER_LANGUAGE = 300
 LONGEST = 20_000
-LANGUAGES = 64
 RUN = 64
 ROUNDS = 30
 RATE = 0.5
 DECAY = 1e-4
 #: Words whose scores a worker keeps during a task; emptied when full, and at the end (workers go on to other stages).
 CACHE = 100_000
+#: Longer words are scored each time and in slices of so many features, so that neither the cache nor a step grows with a word.
+SLICE = 4096
+CACHED_LENGTH = 64
+#: Posteriors (steps * runs * languages) that training holds at once.
+HELD = 4_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -50,7 +55,7 @@ def held_out(doc_id: Column) -> Column:
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Weight rows of a word."""
     marked = f"<{word}>"
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [marked[k : k + 3] for k in range(min(len(marked), 24) - 2)]
+    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [marked[k : k + 3] for k in range(len(marked) - 2)]
     found = [crc32(n.encode()) % HASHED for n in names]
     if word in lexicon:
         found.append(HASHED + lexicon[word])
@@ -79,9 +84,8 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
         if i:
             ahead = e[i] * back
             if pairs:
-                p = forward[i - 1][:, :, None] * t[None] * ahead[:, None, :]
-                p /= p.sum(axis=(1, 2), keepdims=True)
-                joint += p[live[i]].sum(axis=0)
+                before, after = forward[i - 1][live[i]], ahead[live[i]]
+                joint += t * ((before / ((before @ t) * after).sum(axis=1, keepdims=True)).T @ after)
             ahead = ahead @ t.T
             ahead /= ahead.sum(axis=1, keepdims=True)
             back = np.where(live[i][:, None], ahead, 1.0)
@@ -108,6 +112,12 @@ class Model:
     transitions: np.ndarray
 
 
+def word_scores(word: str, model: Model) -> np.ndarray:
+    """Score of each language for a word: the sum over its features."""
+    found = features(word, model.lexicon)
+    return sum(model.weights[found[at : at + SLICE]].sum(axis=0) for at in range(0, len(found), SLICE))
+
+
 def train(texts: list[str], labels: list[str]) -> Model:
     """Fit by gradient ascent on the conditional likelihood (adaptive steps), in a fixed order: reruns agree."""
     languages = sorted(set(labels))
@@ -132,13 +142,17 @@ def train(texts: list[str], labels: list[str]) -> Model:
     wanted_pairs = np.zeros((k, k))
     np.add.at(wanted_pairs, (truth, truth), np.maximum(lengths - 1, 0))
     total = live.sum()
+    width = max(1, HELD // (len(laid) * k))
     seen_w, seen_t = np.full_like(weights, 1e-8), np.full_like(transitions, 1e-8)
     for _ in range(ROUNDS):
         scores = np.add.reduceat(weights[flat], starts, axis=0)
-        found, joint = posteriors(scores[laid], lengths, transitions, pairs=True)
-        gradient = wanted.copy()
-        for j in range(k):
-            gradient[:, j] -= np.bincount(laid[live], found[live][:, j], len(known))
+        gradient, joint = wanted.copy(), np.zeros((k, k))
+        for at in range(0, laid.shape[1], width):
+            part, alive = laid[:, at : at + width], live[:, at : at + width]
+            found, some = posteriors(scores[part], lengths[at : at + width], transitions, pairs=True)
+            joint += some
+            for j in range(k):
+                gradient[:, j] -= np.bincount(part[alive], found[alive][:, j], len(known))
         step = np.stack([np.bincount(flat, gradient[word_of, j], len(weights)) for j in range(k)], axis=1) / total - DECAY * weights
         turn = (wanted_pairs - joint) / total - DECAY * transitions
         seen_w += step**2
@@ -151,11 +165,10 @@ def train(texts: list[str], labels: list[str]) -> Model:
 def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and labels of the bounded sample, in the order of doc_id."""
     learnable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST))
-    counts = learnable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    chosen = F.lit(False)
-    for r in counts:
-        chosen |= (F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * per_language / r["count"]) + 1)
-    rows = sorted(learnable.where(chosen).select("doc_id", "text", "lang").collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"])) if counts else []
+    counts = learnable.groupBy("lang").count().withColumn("_rate", (1e6 * per_language / F.col("count")).cast("bigint") + 1).select("lang", "_rate")
+    chosen = learnable.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_rate"))
+    # null ids come first (the column may hold some)
+    rows = sorted(chosen.select("doc_id", "text", "lang").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["lang"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -181,7 +194,9 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
         for w in known:
             found = _scores.get(w)
             if found is None:
-                found = _scores[w] = model.weights[features(w, model.lexicon)].sum(axis=0)
+                found = word_scores(w, model)
+                if len(w) <= CACHED_LENGTH:
+                    _scores[w] = found
             rows.append(found)
         laid, lengths, owner = runs(codes, owners)
         posterior, _ = posteriors(np.array(rows, np.float32)[laid], lengths, model.transitions.astype(np.float32))

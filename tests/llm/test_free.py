@@ -239,6 +239,23 @@ def test_mixed_text_gets_its_parts():
     assert names == ["de", "fr", "de"] and scores[2] < scores[0]
 
 
+def test_text_without_spaces_is_judged_by_all_of_it():
+    """The middle and end of a long unbroken word count, also beyond a slice."""
+    one, two = "ababacabad" * 4, "ghighjghkg" * 4
+    model = language.train([one] * 5 + [two] * 5, ["aa"] * 5 + ["bb"] * 5)
+    names, _ = language.predict([one, two, one[:30] + two * 50 + one[:10], two[:30] + one * 500 + two[:10]], model)
+    assert names == ["aa", "bb", "bb", "aa"]
+    assert len(language.features("x" * 9000, {})) == 6 + 9000
+    assert np.allclose(language.word_scores("ab" * 9000, model), model.weights[language.features("ab" * 9000, {})].sum(axis=0), rtol=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    words = {f"l{k:02d}": " ".join(chr(97 + k // 26) + chr(97 + k % 26) + c for c in "aeiou") for k in range(80)}
+    rows = [(3 * i, t, n) for i, (n, t) in enumerate((n, t) for n, t in words.items() for _ in range(6))]
+    texts, labels = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(labels) == set(words)
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
