@@ -95,6 +95,14 @@ def test_account_numbers_and_context(spark, monkeypatch):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_account_numbers_in_running_text(spark):
+    """What follows or comes before a number is not taken for a part of it."""
+    number, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {number} Bitte", f"{spaced} BIC COBADEFFXXX", f"{spaced} 25 Euro", f"AB12 3456 7890 1234 {spaced} Danke", f"{number} {number}", f"{spaced} UND GB82 WEST 1234 5698 7654 32 Gut", number + "x", f"{spaced}1"]
+    found = {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["pii"] if s["kind"] == "iban"] for r in pii.find(docs(spark, texts)).collect()}
+    assert [found[t] for t in texts] == [[number], [spaced], [spaced], [spaced], [number] * 2, [spaced, "GB82 WEST 1234 5698 7654 32"], [], []]
+
+
 def test_fingerprints(spark, sf_dir, monkeypatch):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(docs(spark, first=10**6).select("doc_id", "text"))
     monkeypatch.setattr(fingerprints, "table", lambda *a: table)
