@@ -2,9 +2,10 @@
 
 Three base patterns find labelled credentials. Their values, a bounded sample of them, train one probabilistic automaton
 for each pattern: a prefix tree of the values, over classes of characters, whose states are merged where their
-frequencies of ending and of each next class agree within a Hoeffding bound. Every other long token of a text is then a
-candidate, scored by how many bits a character a format saves against characters drawn at random, and added (kind
-``format``) if it saves enough.
+frequencies of ending and of each next class agree within a Hoeffding bound. What no base span takes of a text's tokens
+is then a candidate: first whole, then its parts between ``=``, then between ``/`` and between ``.``, in both orders. A
+candidate is scored by how many bits a character a format saves against characters drawn at random, and added (kind
+``format``) if it saves enough; a short one pays for the unlikeliness of its end too. Candidates have a digit and a letter.
 
 Bound: at most ``SAMPLE`` distinct values a pattern, the first in a hashed order, each of ``LONGEST`` characters or
 fewer. All documents are searched for them, and all candidates are scored.
@@ -40,7 +41,9 @@ LONGEST = 128
 ALPHA = 0.05
 #: Bits a character that a format must save.
 SAVED = 1.5
-#: Candidates are whole runs of these characters, with a digit and a letter.
+#: Candidates lie in runs of these characters and have a digit and a letter; below LONG the end of a format counts too.
+SHORTEST, LONG = 8, 16
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 _assign, _access, _hex = re.compile(ASSIGN), re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
@@ -48,6 +51,8 @@ _RANDOM_BITS = math.log2(67)
 _CLASSES = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "a"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "g"), **dict.fromkeys("ABCDEF", "A"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "G")}
 _SIZES = {"d": 10, "a": 6, "g": 20, "A": 6, "G": 20}
 _END = ""
+#: What a candidate neither begins nor ends with, and what splits one.
+_EDGE, SPLITS = ".=-_/+", ("=", "/", ".")
 
 
 class Grammar:
@@ -115,6 +120,7 @@ class Grammar:
                 red.append(b)
                 settled.add(b)
         names = {s: i for i, s in enumerate(red)}
+        self.ends = [math.log2((sum(self.count[s].values()) + 1) / n) if (n := self.count[s].get(_END, 0)) else math.inf for s in red]
         self.bits = []  # of each state: class -> (cost of a character in bits, state)
         for s in red:
             total = sum(self.count[s].values()) + 1
@@ -130,6 +136,8 @@ class Grammar:
                 return -math.inf
             cost += step[0]
             at = step[1]
+        if len(value) < LONG:
+            cost += self.ends[at]
         return _RANDOM_BITS - cost / len(value)
 
 
@@ -160,18 +168,52 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
-def added_spans(text: str, base: list[tuple[int, str, int]], grammars: dict[str, Grammar]) -> list[tuple[int, str, int]]:
-    """(start, "format", end) of tokens that overlap no base span and that some format's likelihood stands out for."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        token = m[0].strip(".=-_/+")
-        if len(token) < 16 or not _MIXED.match(token):
-            continue
-        start = m.start() + m[0].index(token)
-        end = start + len(token)
-        if any(a < end and start < b for a, _, b in base):
+def _parts(text: str, start: int, end: int, splits: tuple[str, ...], accepted) -> set[tuple[int, int]]:
+    """The accepted candidates between two places: the whole, or else those of its parts."""
+    while start < end and text[start] in _EDGE:
+        start += 1
+    while start < end and text[end - 1] in _EDGE:
+        end -= 1
+    if end - start < SHORTEST or not _MIXED.match(text, start, end):
+        return set()
+    if accepted(text[start:end]):
+        return {(start, end)}
+    out: set[tuple[int, int]] = set()
+    for k, mark in enumerate(splits):
+        if text.find(mark, start, end) < 0:
             continue
-        if max((g.saved(token) for g in grammars.values()), default=-math.inf) >= SAVED:
+        at = start
+        for piece in text[start:end].split(mark):
+            out |= _parts(text, at, at + len(piece), splits[:k] + splits[k + 1 :], accepted)
+            at += len(piece) + 1
+        if mark == "=":
+            # what follows the first "=", in one piece: a value may hold the mark itself
+            out |= _parts(text, text.index(mark, start, end) + 1, end, (), accepted)
+            break
+    return out
+
+
+def added_spans(text: str, base: list[tuple[int, str, int]], grammars: dict[str, Grammar]) -> list[tuple[int, str, int]]:
+    """(start, "format", end) of what base spans leave of tokens, or of its parts, if some format's likelihood stands out for it."""
+    if not grammars:
+        return []
+    accepted = lambda value: max(g.saved(value) for g in grammars.values()) >= SAVED
+    found: set[tuple[int, int]] = set()
+    taken = iter(sorted((a, b) for a, _, b in base))
+    span = next(taken, None)
+    for m in _RUN.finditer(text):
+        at = m.start()
+        while span and span[0] < m.end():
+            if span[1] > at:
+                found |= _parts(text, at, span[0], SPLITS, accepted)
+                at = span[1]
+            if span[1] > m.end():
+                break
+            span = next(taken, None)
+        found |= _parts(text, at, m.end(), SPLITS, accepted)
+    out: list[tuple[int, str, int]] = []
+    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):  # the longer of two that overlap
+        if not out or start >= out[-1][2]:
             out.append((start, "format", end))
     return out
 

@@ -202,6 +202,23 @@ def test_grammars_learn_a_format(spark):
     assert spans[300] == ["format"] and spans[303] == []
 
 
+def test_secrets_inside_a_run(spark):
+    """A credential after a name, in an address, and beside a base span in one run is tried by itself."""
+    random.seed(5)
+    key = lambda n=24: "sk-" + "".join(random.choice("0123456789abcdef") for _ in range(n))
+    one, two = key(), key()
+    texts = [f"token = {key()}" for _ in range(200)] + [f"MY_OWN_NAME={one}", f"https://some.host.example/v1/{one}/list?auth={two}", f"token={one}/{two}", f"x.{one}.y"]
+    grammar = {"assign": secrets.Grammar([key() for _ in range(300)])}
+    found = [[t[a:b] for a, _, b in secrets.added_spans(t, [], grammar)] for t in texts[200:]]
+    assert found == [[one], [one, two], [one, two], [one]]
+    t = f"AKIA{'A' * 16}/{one}"
+    assert [t[a:b] for a, _, b in secrets.added_spans(t, [(0, "access", 20)], grammar)] == [one]
+    short = {"assign": secrets.Grammar([key(8) for _ in range(300)])}
+    t = "NAME=" + key(8)
+    assert [t[a:b] for a, _, b in secrets.added_spans(t, [], short)] == [t[5:]]
+    assert secrets.added_spans("see abandoned2 and MY_OWN_NAME=thequick1brown", [], grammar) == []
+
+
 def test_language(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").union(docs(spark, [None, "", "12 !", "der die das und", "der die das und"], 10**6).select("doc_id", "text", "lang"))
     model = language.train(*language.training_rows(table))
