@@ -24,10 +24,10 @@ def words(text: Column) -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names; set one only where none is named (tests, one machine)."""
+    """Use the checkpoint folder that the session names. Where it names none, one of the warehouse's, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/herald-checkpoints")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,6 +54,17 @@ def keyed(documents: DataFrame) -> DataFrame:
     return hashed.join(those, "_row", "left_anti").select(*columns, "_row").union(numbered.select(*columns, "_row"))
 
 
+def place_among(value: Column, edges: list[int]) -> Column:
+    """How many of the ascending edges stand at or below a value, by bisection in one constant array."""
+    if not edges:
+        return F.lit(0)
+    held = F.from_json(F.lit("[" + ",".join(map(str, edges)) + "]"), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    begin = F.struct(value.cast("bigint").alias("value"), F.lit(0).alias("at"))
+    jump = lambda acc, step: F.when((F.get(held, acc["at"] + step - 1) <= acc["value"]).eqNullSafe(True), acc["at"] + step).otherwise(acc["at"])
+    return F.aggregate(steps, begin, lambda acc, step: F.struct(acc["value"].alias("value"), jump(acc, step).alias("at")), lambda acc: acc["at"])
+
+
 def batch_rows(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches of whole texts small, so that a worker's memory is bounded by a few long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
