@@ -20,7 +20,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from herald.llm.common import batch_rows, table
+from herald.llm.common import small_batches, table
 
 #: Words and pieces whose ids a worker keeps; both are emptied when full, so its memory is bounded.
 CACHE = 500_000
@@ -230,7 +230,7 @@ def encoded(documents: DataFrame, path: str | None = None, ids: bool = True, cac
     A null or empty text has no ids and decodes to an empty text; rows that repeat are encoded alike; other columns are
     not used. A worker keeps up to ``cache_words`` words' ids. The vocabulary's file is read on every executor.
     """
-    batch_rows(documents.sparkSession)
+    small_batches(documents.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path or vocabulary())

@@ -11,6 +11,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 #: Keys of repeated rows that may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Bounds of an Arrow batch.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +38,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """The documents and ``_row``, a 64-bit key of the row: null and repeated ids do not matter, and it is the same in every reading.
+def keyed(documents: DataFrame, *used: str) -> DataFrame:
+    """``row`` (a struct of all columns), ``row_key`` (64 bits) and the ``used`` columns: null and repeated ids do not
+    matter, names in the documents clash with none, and keys are the same in every reading.
 
     The key is a hash of all columns. Rows equal in all of them can stand for each other: they are counted, and the
     key takes in a number within the equal ones. Of 10**9 rows two share a key with probability 0.03.
     """
-    columns = documents.columns
-    hashed = documents.withColumn("_row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
-    repeated = cut(hashed.groupBy("_row").count().where("count > 1").select("_row"))
+    columns = [F.col("row").getField(c) for c in documents.columns]
+    hashed = documents.select(F.struct("*").alias("row")).withColumn("row_key", F.xxhash64(*columns, *[c.isNull() for c in columns]))
+    shown = ["row", "row_key", *[F.col("row").getField(c).alias(c) for c in used]]
+    repeated = cut(hashed.groupBy("row_key").count().where("count > 1").select("row_key"))
     many = repeated.count()
     if not many:
-        return hashed
+        return hashed.select(*shown)
     those = F.broadcast(repeated) if many <= BROADCAST_KEYS else repeated
-    copies = hashed.join(those, "_row", "left_semi").groupBy("_row", *columns).count()
-    numbered = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count"))).withColumn("_row", F.xxhash64("_row", "_copy"))
-    return hashed.join(those, "_row", "left_anti").select(*columns, "_row").union(numbered.select(*columns, "_row"))
+    copies = hashed.join(those, "row_key", "left_semi").groupBy("row_key", "row").count()
+    numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count"))).withColumn("row_key", F.xxhash64("row_key", "copy"))
+    return hashed.join(those, "row_key", "left_anti").unionByName(numbered.select("row", "row_key")).select(*shown)
+
+
+def unboxed(rows: DataFrame, documents: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of the documents out of ``row``, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
 def place_among(value: Column, edges: list[int]) -> Column:
@@ -65,9 +74,21 @@ def place_among(value: Column, edges: list[int]) -> Column:
     return F.aggregate(steps, begin, lambda acc, step: F.struct(acc["value"].alias("value"), jump(acc, step).alias("at")), lambda acc: acc["at"])
 
 
-def batch_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small, so that a worker's memory is bounded by a few long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a worker holds a few MB of texts (or one text). The same for all callers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as make it differ from the columns of a DataFrame."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def connected_components(edges: DataFrame, id_type: str = "bigint") -> DataFrame:

@@ -2,9 +2,11 @@
 
 Every run of ``GRAM`` words is hashed; in each window of ``WINDOW`` consecutive hashes the smallest is selected, the
 rightmost one of equals, with its position. Two texts that share ``WINDOW + GRAM - 1`` words in a row therefore share a
-selected hash, and no shared run below ``GRAM`` words counts. A selected hash and its position are packed into one
-number: 43 bits of hash above 20 bits of reversed position, so that the smallest number of a window is its smallest
-hash, rightmost first. Positions count modulo 2**20 words.
+selected hash, and no shared run below ``GRAM`` words counts.
+
+A hash (43 bits) and its position are packed into one number, the position reversed in the lower 20 bits, so that the
+smallest number of a window is its smallest hash, rightmost first; a window's smallest grows from those of 1, 2, 4 and
+8 places. A text of more than 2**20 runs has (hash, -position) pairs in the numbers' place: the same result, slower.
 """
 
 from __future__ import annotations
@@ -13,43 +15,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herald.llm.common import table, words
+from herald.llm.common import place_among, table, words
 
 GRAM = 5
+#: A power of two.
 WINDOW = 16
-_PLACES = 20
+PLACES = 20
+BITS = 43
 #: Rows of one range of the document order; the order is dealt by ranges, so no task sees all rows.
 RANGE_ROWS = 2000
+#: Ranges at most, as their edges stand in the plan. From 260 million rows on, a range has more rows, and its task spills.
+RANGES = 1 << 17
 
 
-def winnow(text: Column) -> Column:
-    """Array of packed (hash, position), by position; of a text of fewer than GRAM words, one; of no words, none."""
-    return F.transform(F.array(words(text)), _winnow_words)[0]
+def winnow(text: Column, places: int = PLACES) -> Column:
+    """Array of (hash, position), by position; of a text of fewer than GRAM words, one; of no words, none."""
+    hashed = F.transform(F.array(F.transform(words(text), lambda w: F.xxhash64(w))), _grams)[0]
+    return F.transform(F.array(hashed), lambda g: F.when(F.size(g) > 1 << places, _pairs(g)).otherwise(_packed(g, places)))[0]
 
 
-def _winnow_words(w: Column) -> Column:
-    grams = F.greatest(F.size(w) - GRAM + 1, F.lit(1))
+def _grams(w: Column) -> Column:
+    at = F.sequence(F.lit(0), F.greatest(F.size(w) - GRAM, F.lit(0)))
+    made = F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)]), 64 - BITS))
+    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(made)
 
-    def packed(i: Column) -> Column:
-        hashed = F.xxhash64(*[F.get(w, i + k) for k in range(GRAM)])
-        return F.shiftleft(F.shiftrightunsigned(hashed, 64 - 43), _PLACES).bitwiseOR(F.lit((1 << _PLACES) - 1) - F.pmod(i.cast("bigint"), F.lit(1 << _PLACES)))
 
-    def select(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - WINDOW + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda s: F.array_min(F.slice(hashes, s, WINDOW))))
+def _packed(grams: Column, places: int) -> Column:
+    mask = (1 << places) - 1
+    least = F.transform(grams, lambda h, i: F.shiftleft(h, places).bitwiseOR(F.lit(mask) - i))
+    done = 1
+    while done < WINDOW:
+        least = F.transform(F.array(least), _merge(done))[0]
+        done *= 2
+    return F.transform(F.array_distinct(least), lambda x: F.struct(F.shiftright(x, places).alias("hash"), (F.lit(mask) - x.bitwiseAND(F.lit(mask))).cast("int").alias("position")))
 
-    chosen = F.transform(F.array(F.transform(F.sequence(F.lit(0), grams - 1), packed)), select)[0]
-    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(chosen)
 
+def _merge(done: int):
+    """The smallest of twice as many places, from those of ``done``; where fewer follow, the last whole window's."""
+    return lambda a: F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - done, F.lit(1))), lambda x, i: F.least(x, F.get(a, F.least(i + done, F.size(a) - 1))))
 
-def hashes(fingerprint: Column) -> Column:
-    """The set of selected hashes, without positions."""
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, _PLACES)))
 
+def _pairs(grams: Column) -> Column:
+    each = F.transform(grams, lambda h, i: F.struct(h.alias("hash"), (-i).alias("back")))
+
+    def chosen(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(pairs) - WINDOW + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda s: F.array_min(F.slice(pairs, s, WINDOW))))
+
+    return F.transform(F.transform(F.array(each), chosen)[0], lambda x: F.struct(x["hash"].alias("hash"), (-x["back"]).alias("position")))
 
-def positions(fingerprint: Column) -> Column:
-    """The word positions of the selected hashes (modulo 2**20)."""
-    return F.transform(fingerprint, lambda x: F.lit((1 << _PLACES) - 1) - x.bitwiseAND(F.lit((1 << _PLACES) - 1)))
+
+def hashes(fingerprint: Column) -> Column:
+    """The set of selected hashes, without positions."""
+    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -61,71 +79,57 @@ def likeness(a: Column, b: Column) -> Column:
 
 def shown(fingerprint: Column) -> Column:
     """position:hash, comma-joined."""
-    mask = F.lit((1 << _PLACES) - 1)
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(":", (mask - x.bitwiseAND(mask)).cast("string"), F.hex(F.shiftright(x, _PLACES)))), ",")
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat_ws(":", x["position"].cast("string"), F.hex(x["hash"]))), ",")
 
 
-def _ranges(documents: DataFrame, range_rows: int, most: int) -> list[int]:
-    """Ids that cut the rows into ranges of about ``range_rows`` rows, ``most`` ranges at most."""
-    parts = min(most, documents.count() // range_rows)
+def _ranges(documents: DataFrame, range_rows: int) -> list[int]:
+    """Ids that cut the rows into ranges of about ``range_rows`` rows."""
+    parts = min(RANGES, documents.count() // range_rows)
     if parts < 2:
         return []
-    share = ", ".join(str(k / parts) for k in range(1, parts))
-    return sorted(set(documents.agg(F.expr(f"approx_percentile(_key, array({share}), {min(1_000_000, 20 * parts)})")).first()[0] or []))
-
-
-def _range_of(key: Column, edges: list[int]) -> Column:
-    """How many edges stand at or below a key, by bisection in one constant array."""
-    if not edges:
-        return F.lit(0)
-    steps = len(edges).bit_length()
-    table_ = F.from_json(F.lit("[" + ",".join(map(str, edges)) + "]"), "array<bigint>")
-    jump = lambda at, k: F.when((F.get(table_, at + F.shiftleft(F.lit(1), k) - 1) <= key).eqNullSafe(True), at + F.shiftleft(F.lit(1), k)).otherwise(at)
-    at = F.lit(0)
-    for k in reversed(range(steps)):
-        at = jump(at, k)
-    return at
+    share = F.from_json(F.lit("[" + ",".join(str(k / parts) for k in range(1, parts)) + "]"), "array<double>")
+    return sorted(set(documents.agg(F.percentile_approx("key", share, F.lit(min(1 << 21, 20 * parts)))).first()[0] or []))
 
 
-def with_next(documents: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS, most: int = 4096) -> DataFrame:
-    """Each row beside ``next``: a struct of the columns of the row that follows in ascending doc_id (the last: the first).
+def pairs(documents: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, object]:
+    """doc_id, text, next (the text that follows in ascending doc_id; the last row's: the first), copy; and the window.
 
     Rows are dealt to ranges of doc_id, cut at approximate percentiles, and ordered inside each; every range also gets a
-    copy of the first row of the range after it (one row a range), so the texts are shuffled once and no task holds
-    more than a range. Null ids come first; rows with equal ids follow each other by text.
+    copy of the first row of the range after it (one row a range, ``copy`` = 1), so the texts are shuffled once and no
+    task holds more than a range. The window orders a range. Null ids come first, a range like any other; rows with
+    equal ids follow each other by text. Null texts count as empty.
     """
-    keyed = documents.withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63))))
-    edges = _ranges(keyed, range_rows, most)
-    dealt = keyed.withColumn("_part", _range_of(F.col("_key"), edges))
-    firsts = dealt.groupBy("_part").agg(F.min("_key").alias("_key"))
-    before = F.coalesce(F.lag("_part").over(W.orderBy("_part")), F.max("_part").over(W.partitionBy()))
-    ends = firsts.select("_key", before.alias("_to"))  # at most ``most`` rows
-    heads = dealt.join(F.broadcast(ends), "_key")
-    one = W.partitionBy("_to").orderBy(F.col("text").asc_nulls_first())
-    copies = heads.withColumn("_n", F.row_number().over(one)).where("_n = 1").withColumn("_part", F.col("_to")).withColumn("_copy", F.lit(1)).drop("_to", "_n")
-    both = dealt.withColumn("_copy", F.lit(0)).unionByName(copies)
-    w = W.partitionBy("_part").orderBy("_copy", "_key", F.col("text").asc_nulls_first())
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("_copy = 0").drop("_part", "_copy", "_key")
+    # null ids: below all others
+    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key"))
+    dealt = keyed.withColumn("part", place_among(F.col("key"), _ranges(keyed.select("key"), range_rows)))
+    firsts = dealt.groupBy("part").agg(F.min("key").alias("key"))
+    before = F.coalesce(F.lag("part").over(W.orderBy("part")), F.max("part").over(W.partitionBy()))
+    ends = firsts.select("key", before.alias("to"))  # one row per range
+    heads = dealt.join(F.broadcast(ends), "key").groupBy("to", "doc_id", "key").agg(F.min("text").alias("text"))
+    copies = heads.select("doc_id", "text", "key", F.col("to").alias("part"), F.lit(1).alias("copy"))
+    window = W.partitionBy("part").orderBy("copy", "key", "text")
+    return dealt.withColumn("copy", F.lit(0)).unionByName(copies).withColumn("next", F.lead("text").over(window)), window
 
 
 def edited(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """doc_id, text, fingerprint, next (text, fingerprint), edited, edited_fingerprint (packed arrays).
+    """doc_id, text, edited, fingerprint, edited_fingerprint, next_hashes (the hash set of the next document).
 
     ``edited``: the last half of the code points (rounded down) replaced by the first as many, or all, of the next text.
-    Null texts count as empty; a table of one row has itself as next; an empty one gives no rows.
+    Null texts count as empty; equal rows have equal fingerprints and follow each other; a table of one row has itself
+    as next; an empty one gives no rows; other columns are not used, whatever their names.
     """
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fingerprint", winnow(F.col("text")))
-    led = with_next(docs, ["text", "fingerprint"], range_rows)
+    paired, window = pairs(documents, range_rows)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    changed = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next.text"), F.lit(1), half))
-    return led.withColumn("edited", changed).withColumn("edited_fingerprint", winnow(F.col("edited")))
+    changed = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next"), F.lit(1), half))
+    made = paired.withColumn("edited", F.when(F.col("copy") == 0, changed)).drop("next").withColumns({"fingerprint": winnow(F.col("text")), "edited_fingerprint": winnow(F.col("edited"))})
+    return made.withColumn("next_hashes", F.lead(hashes(F.col("fingerprint"))).over(window)).where("copy = 0").drop("copy", "key", "part")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = edited(table(spark, sf_dir, "documents"))
-    near = lambda other: likeness(hashes(F.col("fingerprint")), hashes(F.col(other)))
+    own = hashes(F.col("fingerprint"))
     return made.select(
         "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("fingerprint")).alias("fingerprint"),
-        shown(F.col("edited_fingerprint")).alias("edited_fingerprint"), near("edited_fingerprint").alias("near_edited"), near("next.fingerprint").alias("near_next"),
+        shown(F.col("edited_fingerprint")).alias("edited_fingerprint"), likeness(own, hashes(F.col("edited_fingerprint"))).alias("near_edited"), likeness(own, F.col("next_hashes")).alias("near_next"),
     )

@@ -1,14 +1,19 @@
 """Operator 8: language identification with a linear-chain conditional random field.
 
-The words of a text are a sequence whose labels are languages. A word's features are its prefixes and suffixes of one
-to three letters, all its letter trigrams (a text without spaces is a word of any length), and a lexicon entry if it is
-frequent among the training words; features are hashed to ``HASHED`` weights a language. Transitions between the languages of neighbouring words are learned too.
-Forward-backward gives each word's posterior in its sequence; a text's language is the one with the largest mean
-posterior over its words, which is also the score, so code-switched texts get their main language and a lower score.
+The words of a text (runs of letters, lower-cased) are a sequence whose labels are languages. A word's features are its
+prefixes and suffixes of one to three letters, all its letter trigrams (a text without spaces is a word of any length),
+and a lexicon entry if it is frequent among the training words; features are hashed to ``HASHED`` weights a language.
+Transitions between the languages of neighbouring words are learned too. Forward-backward over the whole text gives each
+word's posterior; a text's language is the one with the largest mean posterior over its words, which is also the score,
+so code-switched texts get their main language and a lower score.
+
+Forward-backward works on runs of ``RUN`` words side by side: the product of a run's steps is a matrix, and with those
+messages pass from run to run of a text, in both directions, before they pass from word to word. The result is that of
+one chain over the text, whatever its length.
 
 Training: about ``PER_LANGUAGE`` documents of each language (chosen by a hash of doc_id, at rates from the languages'
 counts), of ``LONGEST`` code points at most, none of them held out; every word of such a text has the text's label.
-Sequences are runs of at most ``RUN`` words of a text. Every language that stands in ``lang`` is learned, so the model
+Training sequences are runs of at most ``RUN`` words. Every language that stands in ``lang`` is learned, so the model
 and the training grow with the number of languages, but not with the table.
 """
 
@@ -18,7 +23,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from herald.llm.common import batch_rows, table
+from herald.llm.common import fresh, small_batches, table
 
 HASHED = 1 << 16
 LEXICON = 4000
@@ -37,13 +41,10 @@ RUN = 64
 ROUNDS = 30
 RATE = 0.5
 DECAY = 1e-4
-#: Words whose scores a worker keeps during a task; emptied when full, and at the end (workers go on to other stages).
-CACHE = 100_000
-#: Longer words are scored each time and in slices of so many features, so that neither the cache nor a step grows with a word.
-SLICE = 4096
-CACHED_LENGTH = 64
+#: Letters whose features are held at once; a longer word is taken in slices.
+SLICE = 1 << 20
 #: Posteriors (steps * runs * languages) that training holds at once.
-HELD = 4_000_000
+HELD = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -52,29 +53,93 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2, F.lit(False))
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Weight rows of a word."""
-    marked = f"<{word}>"
-    names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [marked[k : k + 3] for k in range(len(marked) - 2)]
-    found = [crc32(n.encode()) % HASHED for n in names]
-    if word in lexicon:
-        found.append(HASHED + lexicon[word])
-    return found
-
-
-def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Forward-backward over sequences side by side. scores: (steps, sequences, languages), log; each sequence uses its
-    first ``lengths`` steps. -> posteriors of the same shape (zero beyond the ends), and the summed pair posteriors."""
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased."""
+    if not text:
+        return []
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    # the pattern also takes numbers that are no digits, as fractions are
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
+
+
+def _hashed(kind: int, *letters: np.ndarray) -> np.ndarray:
+    """Weight rows of features: a kind and some letters."""
+    h = np.full(len(letters[0]), kind + 1, np.uint64)
+    for x in letters:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(40)).astype(np.int64) % HASHED
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _trigrams(points: np.ndarray) -> np.ndarray:
+    return _hashed(0, points[:-2], points[1:-1], points[2:])
+
+
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of the words' features, and the position of each one's word."""
+    points = _points("".join(f"<{w}>" for w in words))
+    sizes = np.array([len(w) for w in words])
+    begins = np.r_[0, np.cumsum(sizes + 2)[:-1]]
+    owners = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(owners)) + 2 * owners  # first letters of trigrams
+    rows, of = [_hashed(0, points[at], points[at + 1], points[at + 2])], [owners]
+    letter = lambda place, k: np.where(sizes > k, points[place], 0).astype(np.uint64)
+    starts = [letter(begins + 1 + np.minimum(k, sizes - 1), k) for k in range(3)]
+    ends = [letter(begins + sizes - np.minimum(k, sizes - 1), k) for k in range(3)]
+    for k in range(1, 4):
+        rows += [_hashed(k, *starts[:k]), _hashed(3 + k, *ends[:k])]
+        of += [np.arange(len(words))] * 2
+    entries = np.array([lexicon.get(w, -1) for w in words])
+    listed = np.flatnonzero(entries >= 0)
+    return np.concatenate([*rows, HASHED + entries[listed]]), np.concatenate([*of, listed])
+
+
+def _chained(e: np.ndarray, t: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages that reach each run from the runs before it in its text, and from those after it."""
+    steps, many, k = e.shape
+    through = np.where(first[:, None, None], np.eye(k, dtype=e.dtype), t) * e[0][:, None, :]
+    for i in range(1, steps):
+        live = np.flatnonzero(lengths > i)
+        if len(live):
+            moved = (through[live].reshape(-1, k) @ t).reshape(-1, k, k) * e[i][live][:, None, :]
+            through[live] = moved / moved.sum(axis=(1, 2), keepdims=True)
+    place = np.arange(many) - np.maximum.accumulate(np.where(first, np.arange(many), 0))
+    order = np.argsort(place, kind="stable")
+    levels = np.split(order, np.flatnonzero(np.diff(place[order])) + 1)
+    into, onward = np.ones((many, k), e.dtype), np.ones((many, k), e.dtype)
+    for runs_ in levels[1:]:
+        found = np.einsum("rk,rkl->rl", into[runs_ - 1], through[runs_ - 1])
+        into[runs_] = found / found.sum(axis=1, keepdims=True)
+    for runs_ in reversed(levels[1:]):
+        found = np.einsum("rkl,rl->rk", through[runs_], onward[runs_])
+        onward[runs_ - 1] = found / found.sum(axis=1, keepdims=True)
+    return into, onward
+
+
+def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False, first: np.ndarray | None = None):
+    """Forward-backward over runs side by side. scores: (steps, runs, languages), log; each run uses its first ``lengths``
+    steps. ``first``: whether a run begins its text; others go on from the run before them; without it, all begin one.
+    -> posteriors of the same shape (zero beyond the ends), and the summed pair posteriors inside the runs."""
     steps, many, k = scores.shape
     e = np.exp(scores - scores.max(axis=2, keepdims=True))
     t = np.exp(transitions)
     live = np.arange(steps)[:, None] < lengths[None, :]
+    start, back = np.ones((many, k), e.dtype), np.ones((many, k), e.dtype)
+    if first is not None and not first.all():
+        into, back = _chained(e, t, lengths, first)
+        start = np.where(first[:, None], start, into @ t)
     forward = np.empty_like(e)
-    forward[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+    forward[0] = start * e[0]
+    forward[0] /= forward[0].sum(axis=1, keepdims=True)
     for i in range(1, steps):
         a = (forward[i - 1] @ t) * e[i]
         forward[i] = a / a.sum(axis=1, keepdims=True)
-    back = np.ones((many, k), e.dtype)
     out = np.zeros_like(e)
     joint = np.zeros((k, k))
     for i in range(steps - 1, -1, -1):
@@ -88,7 +153,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
                 joint += t * ((before / ((before @ t) * after).sum(axis=1, keepdims=True)).T @ after)
             ahead = ahead @ t.T
             ahead /= ahead.sum(axis=1, keepdims=True)
-            back = np.where(live[i][:, None], ahead, 1.0)
+            back = np.where(live[i][:, None], ahead, back)
     return out, joint
 
 
@@ -112,28 +177,43 @@ class Model:
     transitions: np.ndarray
 
 
-def word_scores(word: str, model: Model) -> np.ndarray:
-    """Score of each language for a word: the sum over its features."""
-    found = features(word, model.lexicon)
-    return sum(model.weights[found[at : at + SLICE]].sum(axis=0) for at in range(0, len(found), SLICE))
+def _summed(weights: np.ndarray, rows: np.ndarray, of: np.ndarray, many: int) -> np.ndarray:
+    """(many, languages): the weights of the rows, summed by what they are of."""
+    return np.stack([np.bincount(of, weights[rows, j], many) for j in range(weights.shape[1])], axis=1)
+
+
+def word_scores(words: list[str], model: Model) -> np.ndarray:
+    """(words, languages): the score of each language for each word, the sum over its features."""
+    out = np.zeros((len(words), len(model.languages)))
+    ends = np.cumsum([min(len(w), SLICE) for w in words]) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(words)]
+    for a, z in zip(edges, edges[1:]):
+        # of a very long word: a short one with its affixes, then what its trigrams differ in, in slices
+        part = [w if len(w) <= SLICE else w[:3] + w[-3:] for w in words[a:z]]
+        rows, of = features(part, model.lexicon)
+        out[a:z] = _summed(model.weights, rows, of, len(part))
+        for k, (w, short) in enumerate(zip(words[a:z], part)):
+            if w is not short:
+                marked = f"<{w}>"
+                for at in range(0, len(w), SLICE):
+                    out[a + k] += model.weights[_trigrams(_points(marked[at : at + SLICE + 2]))].sum(axis=0)
+                out[a + k] -= model.weights[_trigrams(_points(f"<{short}>"))].sum(axis=0)
+    return out
 
 
 def train(texts: list[str], labels: list[str]) -> Model:
     """Fit by gradient ascent on the conditional likelihood (adaptive steps), in a fixed order: reruns agree."""
     languages = sorted(set(labels))
     label = {x: i for i, x in enumerate(languages)}
-    words = [_WORD.findall(t.lower()) for t in texts]
+    words = [words_of(t) for t in texts]
     lexicon = {w: i for i, (w, _) in enumerate(sorted(Counter(w for ws in words for w in ws).items(), key=lambda x: (-x[1], x[0]))[:LEXICON])}
     k = len(languages)
     weights, transitions = np.zeros((HASHED + LEXICON, k)), np.zeros((k, k))
     owners = np.repeat(np.arange(len(texts)), [len(w) for w in words])
     if not len(owners):
-        return Model(languages, lexicon, weights.astype(np.float32), transitions)
+        return Model(languages, lexicon, weights, transitions)
     codes, known = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-    rows = [features(w, lexicon) for w in known]
-    starts = np.r_[0, np.cumsum([len(r) for r in rows])[:-1]]
-    flat = np.concatenate(rows)
-    word_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    rows, word_of = features(list(known), lexicon)
     laid, lengths, owner = runs(codes, owners)
     live = np.arange(len(laid))[:, None] < lengths[None, :]
     truth = np.array([label[x] for x in labels])[owner]
@@ -145,7 +225,7 @@ def train(texts: list[str], labels: list[str]) -> Model:
     width = max(1, HELD // (len(laid) * k))
     seen_w, seen_t = np.full_like(weights, 1e-8), np.full_like(transitions, 1e-8)
     for _ in range(ROUNDS):
-        scores = np.add.reduceat(weights[flat], starts, axis=0)
+        scores = _summed(weights, rows, word_of, len(known))
         gradient, joint = wanted.copy(), np.zeros((k, k))
         for at in range(0, laid.shape[1], width):
             part, alive = laid[:, at : at + width], live[:, at : at + width]
@@ -153,13 +233,13 @@ def train(texts: list[str], labels: list[str]) -> Model:
             joint += some
             for j in range(k):
                 gradient[:, j] -= np.bincount(part[alive], found[alive][:, j], len(known))
-        step = np.stack([np.bincount(flat, gradient[word_of, j], len(weights)) for j in range(k)], axis=1) / total - DECAY * weights
+        step = np.stack([np.bincount(rows, gradient[word_of, j], len(weights)) for j in range(k)], axis=1) / total - DECAY * weights
         turn = (wanted_pairs - joint) / total - DECAY * transitions
         seen_w += step**2
         seen_t += turn**2
         weights += RATE * step / np.sqrt(seen_w)
         transitions += RATE * turn / np.sqrt(seen_t)
-    return Model(languages, lexicon, weights.astype(np.float32), transitions)
+    return Model(languages, lexicon, weights, transitions)
 
 
 def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
@@ -172,35 +252,19 @@ def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tup
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
-_scores: dict[str, np.ndarray] = {}
-_scores_of: list = [None]
-
-
-def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
+def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    if _scores_of[0] is not model:
-        _scores.clear()
-        _scores_of[0] = model
-    words = [_WORD.findall(t.lower()) if t else [] for t in texts]
-    counts = np.array([len(w) for w in words])
+    words = [words_of(t) for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
     total = int(counts.sum())
     shares = np.zeros((len(texts), max(1, len(model.languages))))
     if total and model.languages:
         owners = np.repeat(np.arange(len(texts)), counts)
         codes, known = pd.factorize(np.fromiter((w for ws in words for w in ws), dtype=object, count=total))
-        if len(_scores) > CACHE:
-            _scores.clear()
-        rows = []
-        for w in known:
-            found = _scores.get(w)
-            if found is None:
-                found = word_scores(w, model)
-                if len(w) <= CACHED_LENGTH:
-                    _scores[w] = found
-            rows.append(found)
         laid, lengths, owner = runs(codes, owners)
-        posterior, _ = posteriors(np.array(rows, np.float32)[laid], lengths, model.transitions.astype(np.float32))
-        summed = posterior.sum(axis=0, dtype=np.float64)
+        first = np.r_[True, owner[1:] != owner[:-1]]
+        posterior, _ = posteriors(word_scores(list(known), model)[laid], lengths, model.transitions, first=first)
+        summed = posterior.sum(axis=0)
         for j in range(shares.shape[1]):
             shares[:, j] = np.bincount(owner, summed[:, j], len(texts))
         shares /= np.maximum(counts, 1)[:, None]
@@ -210,34 +274,38 @@ def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, one row per input row. A text that is null or has no letter is ``und`` with
-    score 0, as is every text if nothing could be learned; ties go to the first language by name."""
-    batch_rows(documents.sparkSession)
+    """doc_id, held_out, lang_pred, score, one row per input row, rows that repeat alike.
+
+    A text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learned; ties go
+    to the first language by name; a very long text is one chain, a very long word is scored in slices; an empty table
+    gives no rows; other columns are not used, whatever their names.
+    """
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lang, score = predict(list(b["text"]), sent.value)
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": score})
-        _scores.clear()
 
     shape = "doc_id bigint, held_out boolean, lang_pred string, score double"
     return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(work, shape)
 
 
-def labelled(documents: DataFrame, model: Model) -> DataFrame:
-    """The documents in all their columns, with ``_lang`` and ``_score``."""
-    batch_rows(documents.sparkSession)
+def labelled(documents: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
+    """The documents in all their columns, with two more, language and score, and the names of these."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
+    names = fresh(documents, "lang_pred", "score")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = predict(b.column(place).to_pylist(), sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*b.schema.names, "_lang", "_score"])
-        _scores.clear()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*b.schema.names, *names])
 
-    return documents.mapInArrow(work, StructType([*documents.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())]))
+    added = [StructField(n, t) for n, t in zip(names, (StringType(), DoubleType()))]
+    return documents.mapInArrow(work, StructType([*documents.schema.fields, *added])), *names
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from herald.llm.common import batch_rows, table
+from herald.llm.common import small_batches, table
 
 LENGTH = 100
 GRAM = 32
@@ -202,7 +202,7 @@ def deduplicated(documents: DataFrame, digest: bool = False) -> DataFrame:
     smallest) stand at the same place, neither before the other, and texts of theirs that differ may lose bytes to
     each other's repeats; an empty table gives no rows.
     """
-    batch_rows(documents.sparkSession, 256)
+    small_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     found = docs.select("key", "data").mapInPandas(_anchor_rows, "anchor bigint, key bigint, place bigint, covered bigint")
     alike = W.partitionBy("anchor", "covered").orderBy("key", "place")

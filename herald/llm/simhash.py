@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herald.llm.common import batch_rows, connected_components, cut, table
+from herald.llm.common import small_batches, connected_components, cut, table
 
 RADIUS = 3
 SHINGLE = 3
@@ -51,7 +51,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(documents: DataFrame, *carried: str) -> DataFrame:
     """doc_id, carried columns (bigint, no nulls), fp (the fingerprint as a signed 64-bit number). Null texts count as empty."""
-    batch_rows(documents.sparkSession)
+    small_batches(documents.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
