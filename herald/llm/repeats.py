@@ -9,7 +9,9 @@ README), so the work is done on sampled suffixes instead, with the same results:
    equal windows have equal anchors at the same place, and one anchor serves about 35 windows in a row.
 2. Anchors are shuffled by hash and sorted, with a hash of all the bytes that their windows cover. An anchor that
    occurs once has no repeated window. One whose covered bytes occurred before, in (doc_id, position) order, has
-   repeated windows only. These two are settled without their bytes; most anchors are.
+   repeated windows only. These two are settled without their bytes; most anchors are. A task settles by itself what it
+   has met before in a smaller doc_id, and deals that by a hash of its place: of a passage that stands everywhere, the
+   task of its anchor gets a row or so from every task, not one from every document.
 3. The others stand at the ends of repeats: their covered bytes are sorted by (anchor, doc_id, position) in Spark's
    external sort and streamed: a window is repeated if it occurred before in that order.
 4. Repeated windows are united per document and its other bytes hashed.
@@ -34,6 +36,8 @@ from herald.llm.common import small_batches, table
 
 LENGTH = 100
 GRAM = 32
+#: Repeated pairs that a task remembers.
+MET = 1 << 18
 #: Window starts that are handled at a time in a long text.
 CHUNK = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -96,15 +100,49 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tup
         yield h[place], place + at, first + at, last + at, covered
 
 
+class _Met:
+    """Pairs of hashes that repeat in a task, with the smallest key met. Forgets all when full: less is settled early."""
+
+    def __init__(self) -> None:
+        self.pairs, self.keys = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def later(self, pairs: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Which of them have been met with a smaller key, here or before."""
+        order = np.lexsort((keys, pairs))
+        sorted_pairs, sorted_keys = pairs[order], keys[order]
+        opens = np.flatnonzero(np.r_[True, sorted_pairs[1:] != sorted_pairs[:-1]])
+        sizes = np.diff(np.r_[opens, len(order)])
+        names, least = sorted_pairs[opens], sorted_keys[opens].copy()
+        if len(self.pairs):
+            at = np.minimum(np.searchsorted(self.pairs, names), len(self.pairs) - 1)
+            known = self.pairs[at] == names
+            least[known] = np.minimum(least[known], self.keys[at[known]])
+        out = np.empty(len(order), bool)
+        out[order] = sorted_keys > np.repeat(least, sizes)
+        often = sizes > 1
+        if len(self.pairs):
+            often |= known
+        merged = np.r_[names[often], self.pairs] if len(self.pairs) < MET else names[often]
+        keys_ = np.r_[least[often], self.keys] if len(self.pairs) < MET else least[often]
+        self.pairs, first = np.unique(merged, return_index=True)
+        self.keys = keys_[first]
+        return out
+
+
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """anchor, key (of the document), place (position, and how far before it windows start: packed), covered (hash)."""
+    """anchor, key and row (of the document), place (position, and how far before it windows start: packed), covered
+    (hash), sure (settled here: its windows are repeated; then anchor is a hash of its place)."""
+    met = _Met()
     for b in batches:
         found = []
-        for doc, text in zip(b["key"], b["data"]):
+        for doc, row, text in zip(b["key"], b["row"], b["data"]):
             for h, place, first, last, covered in anchors(bytes(text)):
-                found.append((h.view(np.int64), np.full(len(h), doc), place << 16 | (place - first) << 8 | (place - last), covered.view(np.int64)))
+                found.append((h, np.full(len(h), doc), np.full(len(h), row), place << 16 | (place - first) << 8 | (place - last), covered))
         if found:
-            yield pd.DataFrame({c: np.concatenate([x[i] for x in found]) for i, c in enumerate(("anchor", "key", "place", "covered"))})
+            h, key, row, place, covered = (np.concatenate([x[i] for x in found]) for i in range(5))
+            sure = met.later(_spread(h * np.uint64(_BASES[1]) ^ covered), key)
+            spread = _spread(row.view(np.uint64) ^ place.view(np.uint64) * np.uint64(_BASES[0]))
+            yield pd.DataFrame({"anchor": np.where(sure, spread, h).view(np.int64), "key": key, "row": row, "place": place, "covered": covered.view(np.int64), "sure": sure})
 
 
 def _unpacked(places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,22 +153,26 @@ def _unpacked(places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each anchor that is not settled: its hash, where its windows start, and the bytes that they cover."""
     for b in batches:
-        for doc, text, places in zip(b["key"], b["data"], b["open"]):
+        for doc, row, text, places in zip(b["key"], b["row"], b["data"], b["open"]):
             if places is None or not len(places):
                 continue
             text = bytes(text)
             place, first, last = _unpacked(np.unique(places))
-            good = last + LENGTH <= len(text)  # rows that share a doc_id may have other texts
-            place, first, last = place[good], first[good], last[good]
-            if len(place):
-                h = hashes(np.frombuffer(text, np.uint8), GRAM)[place].view(np.int64)
-                yield pd.DataFrame({"anchor": h, "key": doc, "first": first, "covered": [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())]})
+            h = hashes(np.frombuffer(text, np.uint8), GRAM)[place].view(np.int64)
+            yield pd.DataFrame({"anchor": h, "key": doc, "row": row, "first": first, "covered": [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())]})
+
+
+def _again(windows: pd.DataFrame) -> np.ndarray:
+    """Which windows stand earlier too: in a smaller key, or in the same row before. For rows that share a key."""
+    smallest = windows.groupby(["x", "y"])["key"].transform("min")
+    start = windows.groupby(["x", "y", "key", "row"])["start"].transform("min")
+    return ((windows["key"] > smallest) | (windows["start"] > start)).to_numpy()
 
 
 def _repeated_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ranges of bytes under repeated windows. Rows come sorted by anchor, document and place."""
-    seen = pd.DataFrame({"x": np.empty(0, np.uint64), "y": np.empty(0, np.uint64)})
-    held: int | None = None
+    """Ranges of bytes under repeated windows. Rows come sorted by anchor, key, row and place."""
+    seen: pd.DataFrame | None = None
+    held = last = None
     for b in batches:
         if not len(b):
             continue
@@ -142,19 +184,24 @@ def _repeated_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = np.repeat(np.arange(len(b)), windows)
         offset = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(windows)[:-1]], windows)
         at = starts[row] + offset
-        found = pd.DataFrame({"x": hashes(joined, LENGTH, 0)[at], "y": hashes(joined, LENGTH, 1)[at]})
-        before = seen if held is not None and held == anchor[0] else seen.iloc[:0]
-        again = pd.concat([before, found], ignore_index=True).duplicated().to_numpy()[len(before) :]
-        held = anchor[-1]
-        tail = anchor[row] == held
-        seen = pd.concat([before if anchor[0] == held else seen.iloc[:0], found[tail]], ignore_index=True).drop_duplicates()
+        key, name, first = b["key"].to_numpy(), b["row"].to_numpy(), b["first"].to_numpy()
+        found = pd.DataFrame({"x": hashes(joined, LENGTH, 0)[at], "y": hashes(joined, LENGTH, 1)[at], "key": key[row], "row": name[row], "start": first[row] + offset})
+        goes_on = seen is not None and held == anchor[0]
+        together = pd.concat([seen, found], ignore_index=True) if goes_on else found
+        # in order, a window that has been seen stands earlier, but where rows share a key, or are the same row twice
+        keys, names, firsts, groups = (np.r_[[x], y] if goes_on else y for x, y in zip(last or (0,) * 4, (key, name, first, anchor)))
+        tied = (keys[1:] == keys[:-1]) & (groups[1:] == groups[:-1]) & ((names[1:] != names[:-1]) | (firsts[1:] == firsts[:-1]))
+        again = (_again(together) if tied.any() else together.duplicated(["x", "y"]).to_numpy())[len(together) - len(found) :]
+        held, last = anchor[-1], (key[-1], name[-1], first[-1], anchor[-1])
+        tail = together[np.r_[np.full(len(together) - len(found), anchor[0] == held), anchor[row] == held]]
+        needed = ~tail.duplicated(["x", "y"]) | (tail["key"] == key[-1])
+        seen = tail[needed].drop_duplicates(["x", "y", "key", "row"])
         spots = np.flatnonzero(again)
         if len(spots):
             new = np.r_[True, (spots[1:] != spots[:-1] + 1) | (row[spots[1:]] != row[spots[:-1]])]
             ends = np.r_[np.flatnonzero(new)[1:] - 1, len(spots) - 1]
             opens, closes = spots[new], spots[ends]
-            first = b["first"].to_numpy()
-            yield pd.DataFrame({"key": b["key"].to_numpy()[row[opens]], "start": first[row[opens]] + offset[opens], "end": first[row[closes]] + offset[closes] + LENGTH})
+            yield pd.DataFrame({"key": key[row[opens]], "row": name[row[opens]], "start": first[row[opens]] + offset[opens], "end": first[row[closes]] + offset[closes] + LENGTH})
 
 
 def kept_runs(size: int, starts, ends) -> tuple[list[tuple[int, int]], int, int]:
@@ -198,25 +245,30 @@ def _kept_rows(digest: bool):
 def deduplicated(documents: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, or their SHA-256 in hex); one row per input row.
 
-    Null texts count as empty; texts under LENGTH bytes stay whole; rows that share a doc_id (null ids share one, the
-    smallest) stand at the same place, neither before the other, and texts of theirs that differ may lose bytes to
-    each other's repeats; an empty table gives no rows.
+    Null texts count as empty; texts under LENGTH bytes stay whole; a very long text is searched in chunks that overlap;
+    rows that share a doc_id (null ids share one, the smallest) are documents at the same place, neither before the
+    other: they lose nothing to each other, whether their texts differ or are equal, and each loses what it repeats
+    itself; an empty table gives no rows; other columns are not used, whatever their names.
     """
     small_batches(documents.sparkSession)
-    docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    found = docs.select("key", "data").mapInPandas(_anchor_rows, "anchor bigint, key bigint, place bigint, covered bigint")
-    alike = W.partitionBy("anchor", "covered").orderBy("key", "place")
-    same = W.partitionBy("anchor").orderBy("covered", "key", "place").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one sort serves both
-    ranked = found.repartition("anchor").withColumn("nth", F.row_number().over(alike)).withColumns({"n": F.count("*").over(same), "low": F.min("covered").over(same), "high": F.max("covered").over(same)})
-    again = F.when(F.col("nth") > 1, F.col("place"))
-    unsettled = F.when((F.col("nth") == 1) & (F.col("low") != F.col("high")), F.col("place"))
-    marks = ranked.where("n > 1 and (nth > 1 or low <> high)").groupBy("key").agg(F.collect_list(again).alias("settled"), F.collect_list(unsettled).alias("open"))
-    marked = docs.join(marks, "key", "left").select("doc_id", "key", "data", "settled", "open")
-    contexts = marked.mapInPandas(_context_rows, "anchor bigint, key bigint, first bigint, covered binary")
-    ranges = contexts.repartition("anchor").sortWithinPartitions("anchor", "key", "first").mapInPandas(_repeated_rows, "key bigint, start bigint, end bigint")
-    spans = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("row"), text.alias("data"))
+    found = docs.select("key", "row", "data").mapInPandas(_anchor_rows, "anchor bigint, key bigint, row bigint, place bigint, covered bigint, sure boolean")
+    order = ("key", "row", "place")
+    alike = W.partitionBy("anchor", "covered").orderBy(*order)
+    same = W.partitionBy("anchor").orderBy("covered", *order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one sort serves both
+    ranked = found.repartition("anchor").withColumns({"first": F.first("key").over(alike), "before": F.lag(F.struct("key", "row", "place")).over(alike)})
+    ranked = ranked.withColumns({"low": F.min("covered").over(same), "high": F.max("covered").over(same)})
+    earlier = (F.col("key") > F.col("first")) | ((F.col("before.key") == F.col("key")) & (F.col("before.row") == F.col("row")) & (F.col("before.place") < F.col("place")))
+    judged = ranked.withColumn("again", F.col("sure") | F.coalesce(earlier, F.lit(False))).where("again or low <> high")
+    settled, unsettled = F.when(F.col("again"), F.col("place")), F.when(~F.col("again"), F.col("place"))
+    marks = judged.groupBy("key", "row").agg(F.collect_list(settled).alias("settled"), F.collect_list(unsettled).alias("open"))
+    marked = docs.join(marks, ["key", "row"], "left").select("doc_id", "key", "row", "data", "settled", "open")
+    contexts = marked.mapInPandas(_context_rows, "anchor bigint, key bigint, row bigint, first bigint, covered binary")
+    ranges = contexts.repartition("anchor").sortWithinPartitions("anchor", "key", "row", "first").mapInPandas(_repeated_rows, "key bigint, row bigint, start bigint, end bigint")
+    spans = ranges.groupBy("key", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if digest else "binary")
-    return marked.join(spans, "key", "left").select("doc_id", "key", "data", "settled", "open", "spans").mapInPandas(_kept_rows(digest), shape)
+    return marked.join(spans, ["key", "row"], "left").select("doc_id", "data", "settled", "spans").mapInPandas(_kept_rows(digest), shape)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
