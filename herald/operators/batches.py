@@ -47,13 +47,12 @@ def batch_failover_flag(batched: DataFrame) -> DataFrame:
     return batched.groupBy("request_id", "batch_index").agg(F.when(on, "Y").otherwise("N").alias("failover"))
 
 
-def outbox_params(rendered: DataFrame) -> DataFrame:
+def outbox_params(rendered: DataFrame, flags: DataFrame) -> DataFrame:
     """Long form: (request_id, batch_index, slot, param, value), absent values left out; slot 0 carries the batch's flag."""
     named = ("receiver", "subject", "emtitle", "message", "button", "fsubject", "fmessage")
     pairs = F.explode(F.array(*[F.struct(F.concat_ws("_", F.lit(p), F.col("slot").cast("string")).alias("param"), F.col(p).alias("value")) for p in named])).alias("x")
     slots = rendered.select("request_id", "batch_index", "slot", pairs).select("request_id", "batch_index", "slot", "x.param", "x.value").where("value is not null")
-    flags = rendered.groupBy("request_id", "batch_index").agg(F.max("failover").alias("value"))
-    return slots.unionByName(flags.select("request_id", "batch_index", F.lit(0).cast("bigint").alias("slot"), F.lit("failover").alias("param"), "value"))
+    return slots.unionByName(flags.select("request_id", "batch_index", F.lit(0).cast("bigint").alias("slot"), F.lit("failover").alias("param"), F.col("failover").alias("value")))
 
 
 def outbox_wide(params: DataFrame) -> DataFrame:

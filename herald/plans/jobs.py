@@ -27,24 +27,27 @@ def plan_campaign(reqs: DataFrame, recipients: DataFrame, templates: DataFrame,
     batched = batches.assign_batches(sendable)
     found = resolved.where("template_found").select("request_id", *[c for c in TEMPLATE_COLUMNS if c in resolved.columns])
     joined = batched.join(found, "request_id")
-    rendered = rendering.render(joined, batches.batch_failover_flag(joined), entries)
-    return {"requests": resolved, "rendered": rendered, "outbox": batches.outbox_params(rendered), "rejects": rejects}
+    flags = batches.batch_failover_flag(joined)
+    rendered = rendering.render(joined, flags, entries)
+    return {"requests": resolved, "rendered": rendered, "outbox": batches.outbox_params(rendered, flags), "rejects": rejects}
 
 
-def settle_campaign(resolved: DataFrame, batch_sizes: DataFrame, responses: DataFrame, prices: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``outcomes`` (per batch), ``settled`` (per request, with cost), ``ledger``. Without prices, flat rates hold."""
+def settle_campaign(resolved: DataFrame, batch_sizes: DataFrame, responses: DataFrame, sent_at: Column, prices: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``outcomes`` (per batch), ``settled`` (per request, with cost), ``ledger`` (as write_send_ledger takes it). Without
+    prices, flat rates hold."""
     known = batch_sizes.join(resolved.where("template_found").select("request_id"), "request_id", "left_semi")
     outcomes = delivery.batch_outcome(delivery.reconcile_batches(known, responses))
     rolled = delivery.rollup_requests(resolved, outcomes)
     settled = costing.with_flat_cost(rolled) if prices is None else costing.with_priced_cost(resolve.attach_prices(rolled, costing.price_pivot(prices)))
-    return {"outcomes": outcomes, "settled": settled, "ledger": ledger.build_ledger_row(settled)}
+    return {"outcomes": outcomes, "settled": settled, "ledger": ledger.build_ledger_row(settled, delivery.collect_batch_results(outcomes), sent_at)}
 
 
 def sync_templates(source: DataFrame, target: DataFrame, updatable: list[str], always: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """``merged`` (with the action of each code) and ``counts``."""
+    """``merged`` (with the action of each code), ``counts`` and ``rejects`` (listed rows without a code)."""
     catalog.check_unique(target)
-    merged = catalog.merge_template_catalog(source, target, updatable, always)
-    return {"merged": merged, "counts": catalog.merge_counts(source, merged)}
+    coded = source.where("template_code is not null")
+    merged = catalog.merge_template_catalog(coded, target, updatable, always)
+    return {"merged": merged, "counts": catalog.merge_counts(coded, merged), "rejects": source.where("template_code is null")}
 
 
 def job_report(events: DataFrame, as_of: Column) -> dict[str, DataFrame]:

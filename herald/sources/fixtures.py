@@ -14,16 +14,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SQL = {
     "requests": """
         select cast(n_nationkey as bigint) as request_id, case when n_nationkey = 13 then '' else cast(n_nationkey as string) end as union_id,
-          case when n_nationkey % 10 = 9 then 'Brand#99' else 'Brand#' || cast(n_nationkey + 1 as string) end as template_code from nation""",
+          case when n_nationkey % 10 = 9 then 'Brand#99' else 'Brand#' || cast(n_nationkey + 1 as string) end as template_code,
+          'sender-' || n_name as sender_id, case when n_nationkey % 4 <> 0 then 'notice-' || cast(n_regionkey as string) end as notice_id from nation""",
     "recipients": """
         select cast(c_nationkey as bigint) as request_id, cast(row_number() over (partition by c_nationkey order by o_orderkey) - 1 as bigint) as seq,
-          case o_custkey % 6
+          case when o_orderkey % 211 = 0 then null else case o_custkey % 6
             when 0 then '010-' || substr(lpad(cast(o_custkey as string), 8, '0'), 1, 4) || '-' || substr(lpad(cast(o_custkey as string), 8, '0'), 5, 4)
             when 1 then '+82 10-' || lpad(cast(o_custkey as string), 8, '0')
             when 2 then '8210' || lpad(cast(o_custkey as string), 8, '0')
             when 3 then '+82 010-' || lpad(cast(o_custkey as string), 8, '0')
             when 4 then '02-' || lpad(cast(o_custkey as string), 7, '0')
-            else '011' || lpad(cast(o_custkey as string), 7, '0') end as phone_number,
+            else '011' || lpad(cast(o_custkey as string), 7, '0') end end as phone_number,
           c_name as name, cast(o_orderkey as string) as var_order, cast(cast(o_totalprice as decimal(18,2)) as string) as var_amount,
           case when o_orderpriority = '1-URGENT' then '[urgent] #{name} #{order}' when o_orderkey % 41 = 0 then '' end as content,
           case when o_orderkey % 97 = 0 then 'Notice for #{name}' end as failover_subject,
@@ -50,8 +51,12 @@ SQL = {
           cast(batch_size - floor(batch_size / 10) as bigint) as scnt, cast(floor(batch_size / 10) as bigint) as fcnt, cast((batch_size - floor(batch_size / 10)) * 9 as bigint) as total
         from batches where (request_id * 31 + batch_index) % 13 <> 0""",
     "prices": """
-        select 'KAKAO' as message_type, cast(15 as decimal(18,2)) as unit_price from region where r_regionkey = 0
-        union all select 'SMS', cast(20 as decimal(18,2)) from region where r_regionkey = 0""",
+        select 'KAKAO' as message_type, cast(7 + count(*) % 29 as decimal(18,2)) as unit_price from orders
+        union all select 'SMS', cast(null as decimal(18,2)) from region where r_regionkey = 0
+        union all select 'FAX', cast(count(*) as decimal(18,2)) from part""",
+    "listed_dates": """
+        select pos, template_code, case when pos % 7 = 0 then null when pos % 5 = 0 then 'on day ' || cast(pos as string)
+          else '2024-02-' || lpad(cast(1 + pos % 28 as string), 2, '0') || ' 04:05:06' end as cdate from template_source""",
     "job_events": """
         select cast(floor(event_id / 5) as bigint) as job_id, event_id, ts as event_ts,
           case event_type when 'signup' then 'pending' when 'view' then 'pending' when 'click' then 'processing' when 'purchase' then 'completed' else 'failed' end as status,

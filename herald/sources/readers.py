@@ -23,12 +23,17 @@ def _source(spark: SparkSession, stream: bool):
 
 
 def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Send requests, one JSON object a line; a line that does not parse has ``_corrupt_record``. ``ingest_file`` and
-    ``ingest_block`` say where a row came from."""
-    rows = _source(spark, stream).schema(REQUEST).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    """Send requests, one JSON object a line; a line that does not parse has ``corrupt_record``, and blank lines are none.
+
+    ``ingest_file`` and ``ingest_line`` say where a row came from, whatever the splits: a file is read as one value (so
+    files should be far below 2 GB) and its lines are numbered from 0.
+    """
+    files = _source(spark, stream).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ingest_file"), F.posexplode(F.split("value", "\r?\n")).alias("ingest_line", "line"))
+    parsed = F.from_json("line", REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = files.where(F.trim("line") != "").select("ingest_file", F.col("ingest_line").cast("bigint").alias("ingest_line"), parsed.alias("r")).select("ingest_file", "ingest_line", "r.*")
     return rows.select(
         F.col("unionId").alias("union_id"), F.col("senderId").alias("sender_id"), F.col("templateCode").alias("template_code"), F.col("noticeId").alias("notice_id"), "recipients",
-        F.col("_corrupt_record").alias("corrupt_record"), F.col("_metadata.file_path").alias("ingest_file"),
+        F.col("_corrupt_record").alias("corrupt_record"), "ingest_file", "ingest_line",
     )
 
 

@@ -40,8 +40,13 @@ def newest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def write_outbox(params: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """One row per (request_id, batch_index) with its ordered parameters; a stream's batch overwrites its own folder."""
-    if batch_id is None:
-        params.write.mode("append").parquet(path)
-    else:
+    """One row per (request_id, batch_index) with its ordered parameters; a stream's batch overwrites its own folder.
+
+    Without a batch's number, rows whose key is in the outbox already are not written again: a replay adds nothing."""
+    if batch_id is not None:
         params.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return
+    key = ["request_id", "batch_index"]
+    old = read_if_there(params.sparkSession, path)
+    new = params if old is None else params.join(old.select(*key), key, "left_anti")
+    new.write.mode("append").parquet(path)

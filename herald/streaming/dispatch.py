@@ -11,30 +11,49 @@ from herald.operators import batches, rendering, requests, resolve
 from herald.sources.writers import write_outbox
 
 
-def exploded(stream: DataFrame) -> DataFrame:
-    """Accepted nested requests as recipients with request_id, position and batch: no shuffle, no streaming state."""
-    counted = stream.withColumn("recipient_count", F.coalesce(F.size("recipients"), F.lit(0)))
-    accepted = requests.validate_requests(counted).where("reject_code is null and corrupt_record is null")
-    known = accepted.withColumn("request_id", job_id(F.col("ingest_file"), F.col("notice_id"), F.col("union_id"), F.col("template_code"), F.xxhash64(F.to_json("recipients"))))
-    each = known.select("request_id", "union_id", "template_code", F.posexplode("recipients").alias("seq", "r"))
-    rows = each.select(
+def checked(rows: DataFrame) -> DataFrame:
+    """Requests with request_id (of file and line: two equal requests differ, a replay does not) and reject_code."""
+    counted = rows.withColumn("recipient_count", F.coalesce(F.size("recipients"), F.lit(0)))
+    judged = requests.validate_requests(counted).withColumn("reject_code", F.when(F.col("corrupt_record").isNotNull(), "CORRUPT").otherwise(F.col("reject_code")))
+    return judged.withColumn("request_id", job_id(F.col("ingest_file"), F.col("ingest_line")))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """Accepted nested requests as recipients with request_id, position and batch: no shuffle, no streaming state.
+
+    Recipients without a number are left out before positions are given, so slots have no gaps."""
+    accepted = checked(rows).where("reject_code is null").withColumn("recipients", F.filter("recipients", lambda r: r["phoneNumber"].isNotNull()))
+    each = accepted.select("request_id", "union_id", "template_code", F.posexplode("recipients").alias("seq", "r"))
+    flat = each.select(
         "request_id", "union_id", "template_code", F.col("seq").cast("bigint").alias("seq"), F.col("r.phoneNumber").alias("phone_number"), F.map_entries("r.variables").alias("vars"),
         F.col("r.content").alias("content"), F.col("r.buttons").alias("buttons"), F.col("r.emtitle").alias("emtitle"), F.col("r.failoverSubject").alias("failover_subject"), F.col("r.failoverMessage").alias("failover_message"),
     )
-    return batches.assign_batches_nested(rows.where("phone_number is not null").withColumn("receiver", normalize_phone(F.col("phone_number"))))
+    return batches.assign_batches_nested(flat.withColumn("receiver", normalize_phone(F.col("phone_number"))))
+
+
+def rejects(rows: DataFrame) -> DataFrame:
+    """ingest_file, ingest_line, seq (of a recipient, else null), reject_code: lines that do not parse, requests that are
+    not valid, recipients without a number."""
+    judged = checked(rows)
+    whole = judged.where("reject_code is not null").select("ingest_file", "ingest_line", F.lit(None).cast("bigint").alias("seq"), "reject_code")
+    each = judged.where("reject_code is null").select("ingest_file", "ingest_line", F.posexplode("recipients").alias("seq", "r")).where("r.phoneNumber is null")
+    return whole.union(each.select("ingest_file", "ingest_line", F.col("seq").cast("bigint"), F.lit("NO_PHONE")))
 
 
 def outbox(recipients: DataFrame, templates: DataFrame, aliases: DataFrame, channels: DataFrame) -> DataFrame:
     """The outbox of one micro-batch (or of a whole table): long form."""
     found = resolve.resolve_template(recipients, templates).where("template_found")
     resolved = resolve.resolve_channel(resolve.resolve_sender_alias(found, aliases), channels)
-    return batches.outbox_params(rendering.render(resolved, batches.batch_failover_flag(resolved), F.col("vars")))
+    flags = batches.batch_failover_flag(resolved)
+    return batches.outbox_params(rendering.render(resolved, flags, F.col("vars")), flags)
 
 
 def stream_dispatch(stream: DataFrame, templates: DataFrame, aliases: DataFrame, channels: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Start dispatching what is there and stop. A batch that is run again overwrites its own part of the outbox."""
+    """Start dispatching what is there and stop: ``path``/outbox and ``path``/rejects. A batch that is run again
+    overwrites its own part of both."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        write_outbox(batches.outbox_wide(outbox(batch, templates, aliases, channels)), path, batch_id)
+        write_outbox(batches.outbox_wide(outbox(exploded(batch), templates, aliases, channels)), f"{path}/outbox", batch_id)
+        write_outbox(rejects(batch), f"{path}/rejects", batch_id)
 
-    return exploded(stream).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,79 +3,92 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "status string, created_ms bigint, started_ms bigint, completed_ms bigint, error string, last_ms bigint, last_event bigint, error_ms bigint, error_event bigint"
-OUTPUT = "job_id bigint, status string, created_at timestamp, started_at timestamp, completed_at timestamp, error string, timed_out boolean"
+STATE = "status string, created_us bigint, started_us bigint, completed_us bigint, error string, last_us bigint, last_event bigint, error_us bigint, error_event bigint"
+OUTPUT = "job_id bigint, status string, created_us bigint, started_us bigint, completed_us bigint, error string, timed_out boolean"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _time(ms: int | None):
-    return None if ms is None else datetime.fromtimestamp(ms / 1000, timezone.utc).replace(tzinfo=None)
-
-
 class JobProcessor(StatefulProcessor):
-    """Folds events as the batch fold does; a job that runs too long is shown as failed, and may still complete."""
+    """Folds events as the batch fold does; a job that runs too long fails, and may still complete.
 
-    def __init__(self, time_out_ms: int = 300_000, retention_ms: int = 3_600_000) -> None:
-        self.time_out_ms, self.retention_ms = time_out_ms, retention_ms
+    Every state ends: that of a finished or failed job after its retention, that of a job that never starts
+    ``abandon_ms`` after its last event. An event that comes after that begins a new state.
+    """
+
+    def __init__(self, time_out_ms: int = 300_000, retention_ms: int = 3_600_000, abandon_ms: int = 86_400_000) -> None:
+        self.time_out_ms, self.retention_ms, self.abandon_ms = time_out_ms, retention_ms, abandon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", STATE)
 
+    def _wake(self, us: int, after_ms: int) -> None:
+        self.handle.registerTimer(-(-us // 1000) + after_ms)
+
     def _out(self, job: int, s: tuple, timed_out: bool) -> Iterator[pd.DataFrame]:
         status, created, started, completed, error = s[:5]
-        row = {"job_id": job, "status": "failed" if timed_out else status, "created_at": _time(created), "started_at": _time(started), "completed_at": _time(completed), "error": "TIME_OUT" if timed_out and error is None else error, "timed_out": timed_out}
-        out = pd.DataFrame([row])
-        for c in ("created_at", "started_at", "completed_at"):
-            out[c] = pd.to_datetime(out[c])
-        yield out
+        row = {"job_id": job, "status": status, "created_us": created, "started_us": started, "completed_us": completed, "error": error, "timed_out": timed_out}
+        yield pd.DataFrame([row]).astype({c: "Int64" for c in ("created_us", "started_us", "completed_us")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status = created = started = completed = error = last = last_event = error_ms = error_event = None
+        status = created = started = completed = error = last = last_event = error_us = error_event = None
         if self.state.exists():
-            status, created, started, completed, error, last, last_event, error_ms, error_event = self.state.get()
+            status, created, started, completed, error, last, last_event, error_us, error_event = self.state.get()
         for batch in rows:
-            for ms, event, what, why in zip(batch["event_ms"].tolist(), batch["event_id"].tolist(), batch["status"].tolist(), batch["error"].tolist()):
-                created = ms if created is None else min(created, ms)
+            for us, event, what, why in zip(batch["event_us"].tolist(), batch["event_id"].tolist(), batch["status"].tolist(), batch["error"].tolist()):
+                created = us if created is None else min(created, us)
                 if what == "processing":
-                    started = ms if started is None else max(started, ms)
+                    started = us if started is None else max(started, us)
                 if what in ("completed", "failed"):
-                    completed = ms if completed is None else max(completed, ms)
-                if last is None or (ms, event) >= (last, last_event):
-                    status, last, last_event = what, ms, event
-                if isinstance(why, str) and (error_ms is None or (ms, event) >= (error_ms, error_event)):
-                    error, error_ms, error_event = why, ms, event
+                    completed = us if completed is None else max(completed, us)
+                if last is None or (us, event) >= (last, last_event):
+                    status, last, last_event = what, us, event
+                if isinstance(why, str) and (error_us is None or (us, event) >= (error_us, error_event)):
+                    error, error_us, error_event = why, us, event
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if completed is not None:
-            self.handle.registerTimer(completed + self.retention_ms)
+            self._wake(completed, self.retention_ms)
         elif started is not None:
-            self.handle.registerTimer(started + self.time_out_ms)
-        s = (status, created, started, completed, error, last, last_event, error_ms, error_event)
+            self._wake(started, self.time_out_ms)
+        else:
+            self._wake(last, self.abandon_ms)
+        s = (status, created, started, completed, error, last, last_event, error_us, error_event)
         self.state.update(s)
         yield from self._out(key[0], s, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
-        s = tuple(self.state.get())
-        if s[3] is not None:  # kept long enough
+        status, created, started, completed, error, *rest = self.state.get()
+        if completed is not None or started is None:  # kept long enough
             self.state.clear()
             return
+        s = ("failed", created, started, started + 1000 * self.time_out_ms, error or "TIME_OUT", *rest)
+        self.state.update(s)
+        self._wake(s[3], self.retention_ms)
         yield from self._out(key[0], s, True)
 
     def close(self) -> None:
         pass
 
 
-def stream_job_state(events: DataFrame, late: str = "10 minutes", time_out_ms: int = 300_000, retention_ms: int = 3_600_000) -> DataFrame:
-    """A stream of job states in update mode. The session's state store must be RocksDB (see PROVIDER)."""
-    timed = events.withWatermark("event_ts", late).withColumn("event_ms", F.unix_millis("event_ts"))
-    return timed.groupBy("job_id").transformWithStateInPandas(JobProcessor(time_out_ms, retention_ms), OUTPUT, "Update", "EventTime")
+def late_events(query) -> int:
+    """Events that came behind the watermark and were left out, as a query's progress counts them."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def stream_job_state(events: DataFrame, late: str = "10 minutes", time_out_ms: int = 300_000, retention_ms: int = 3_600_000, abandon_ms: int = 86_400_000) -> DataFrame:
+    """A stream of job states in update mode. The session's state store must be RocksDB (see PROVIDER).
+
+    An event more than ``late`` behind the newest one is left out; ``late_events`` counts them."""
+    timed = events.withWatermark("event_ts", late).withColumn("event_us", F.unix_micros("event_ts"))
+    states = timed.groupBy("job_id").transformWithStateInPandas(JobProcessor(time_out_ms, retention_ms, abandon_ms), OUTPUT, "Update", "EventTime")
+    at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_at")
+    return states.select("job_id", "status", at("created"), at("started"), at("completed"), "error", "timed_out")

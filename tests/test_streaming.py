@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -40,30 +41,54 @@ def test_time_out_stream(spark, tmp_path):
     at = lambda m: (t + datetime.timedelta(minutes=m)).isoformat()
     (tmp_path / "in").mkdir()
     files = [[(1, 1, at(0), "processing")], [(2, 2, at(60), "pending")], [(3, 3, at(61), "pending")]]
+    files.append([(4, 4, at(2), "pending"), (5, 5, at(62), "pending")])  # the first of them comes too late
+    files.append([(6, 6, at(200), "pending")])
     for k, rows in enumerate(files):
         (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(("job_id", "event_id", "event_ts", "status"), r))) for r in rows))
+        os.utime(tmp_path / f"in/{k}.json", (1.7e9 + 10 * k,) * 2)  # the source reads files by the time of their change
     stream = spark.readStream.schema(readers.JOB_EVENT).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in"))
     got = []
     query = job_state.stream_job_state(stream, "1 minute").writeStream.foreachBatch(lambda b, _: got.extend((r["job_id"], r["timed_out"]) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(WAIT)
     assert (1, False) in got and (1, True) in got and (2, True) not in got
+    assert 4 not in {j for j, _ in got} and job_state.late_events(query) == 1
+
+
+def test_state_ends(spark, tmp_path):
+    """A failed job's state goes after its retention, that of a job that never starts after a day."""
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda m: (t + datetime.timedelta(minutes=m)).isoformat()
+    (tmp_path / "in").mkdir()
+    files = [[(1, 1, at(0), "processing"), (2, 2, at(0), "pending")], *[[(k, k, at(m), "pending")] for k, m in ((3, 10), (4, 200), (5, 2000), (6, 2001))]]
+    for k, rows in enumerate(files):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(("job_id", "event_id", "event_ts", "status"), r))) for r in rows))
+        os.utime(tmp_path / f"in/{k}.json", (1.7e9 + 10 * k,) * 2)
+    stream = spark.readStream.schema(readers.JOB_EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = job_state.stream_job_state(stream, "0 seconds").writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(WAIT)
+    held = spark.read.format("statestore").option("stateVarName", "job").load(str(tmp_path / "c"))
+    assert {r["key"]["job_id"] for r in held.collect()} == {5, 6}
 
 
 def test_dispatch_stream(spark, tmp_path, sf_dir):
     templates, aliases, channels = (frame(spark, sf_dir, n) for n in ("template_target", "key_aliases", "channels"))
     (tmp_path / "in").mkdir()
     for k in range(3):
-        people = [{"phoneNumber": f"010-1234-{i:04d}", "name": f"n{i}", "variables": {"name": f"n{i}", "order": str(i)}} for i in range(502)]
-        (tmp_path / f"in/{k}.json").write_text(json.dumps({"unionId": str(k), "templateCode": f"Brand#{k + 1}", "recipients": people}) + "\n" + json.dumps({"unionId": "", "templateCode": "x", "recipients": []}) + "\n")
+        people = [{"phoneNumber": f"010-1234-{i:04d}" if i != 7 else None, "name": f"n{i}", "variables": {"name": f"n{i}", "order": str(i)}} for i in range(503)]
+        (tmp_path / f"in/{k}.json").write_text(json.dumps({"unionId": str(k), "templateCode": f"Brand#{k + 1}", "recipients": people}) + "\n" + json.dumps({"unionId": "", "templateCode": "x", "recipients": []}) + "\n{broken\n")
     stream = readers.read_requests(spark, str(tmp_path / "in"), stream=True)
     query = dispatch.stream_dispatch(stream, templates, aliases, channels, str(tmp_path / "out"), str(tmp_path / "c"))
     assert query.awaitTermination(WAIT)
-    once = spark.read.parquet(str(tmp_path / "out"))
+    once = spark.read.parquet(str(tmp_path / "out/outbox"))
+    left = spark.read.parquet(str(tmp_path / "out/rejects")).groupBy("reject_code").count().collect()
+    assert {r["reject_code"]: r["count"] for r in left} == {"CORRUPT": 3, "INVALID_PARAMS": 3, "NO_PHONE": 3}
     rows = sorted((r["request_id"], r["batch_index"], len(r["params"])) for r in once.collect())
     assert len(rows) == 6
     batch = dispatch.outbox(dispatch.exploded(readers.read_requests(spark, str(tmp_path / "in"))), templates, aliases, channels)
     want = batch.groupBy("request_id", "batch_index").count().collect()
     assert rows == sorted((r["request_id"], r["batch_index"], r["count"]) for r in want)
+    slots = {int(r["slot"]) for r in batch.where("batch_index = 0 and slot > 0").select("slot").distinct().collect()}
+    assert slots == set(range(1, 501))  # no gap where a number is absent
     assert batch.where("param = 'message_1'").where(F.col("value").contains("Hello n0, order 0")).count() == 3
 
 
@@ -91,3 +116,17 @@ def test_snapshots_and_sources(spark, tmp_path):
     assert next(r for r in found if r["union_id"])["recipients"][0]["variables"] == {"k": "2"}
     (tmp_path / "l.txt").write_text("[2024-01-01 00:00:01] [INFO] GET /a - 200 (12ms)\n")
     assert readers.read_access_log(spark, str(tmp_path / "l.txt")).first()["path"] == "/a"
+
+
+def test_equal_requests_have_two_ids(spark, tmp_path):
+    line = json.dumps({"unionId": "u", "templateCode": "t", "recipients": [{"phoneNumber": "1"}]})
+    (tmp_path / "r.json").write_text(f"{line}\n\n{line}\n")
+    ids = [[r["request_id"] for r in dispatch.checked(readers.read_requests(spark, str(tmp_path / "r.json"))).orderBy("ingest_line").collect()] for _ in range(2)]
+    assert len(set(ids[0])) == 2 and ids[0] == ids[1]
+
+
+def test_outbox_replay(spark, tmp_path):
+    rows = spark.createDataFrame([(r, b) for r in range(3) for b in range(2)], "request_id long, batch_index long")
+    for part in (rows.where("request_id < 2"), rows):
+        writers.write_outbox(part, str(tmp_path / "o"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).collect())) == sorted(map(tuple, rows.collect()))
