@@ -150,11 +150,18 @@ def _unpacked(places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places >> 16, (places >> 16) - (places >> 8 & 255), (places >> 16) - (places & 255)
 
 
+def _marked(marks, settled: bool) -> np.ndarray:
+    """Of a document's marks the packed places that are settled as repeated, or those that are still open (below 0)."""
+    marks = np.asarray([] if marks is None else marks, np.int64)
+    return marks[marks >= 0] if settled else -1 - marks[marks < 0]
+
+
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each anchor that is not settled: its hash, where its windows start, and the bytes that they cover."""
     for b in batches:
-        for doc, row, text, places in zip(b["key"], b["row"], b["data"], b["open"]):
-            if places is None or not len(places):
+        for doc, row, text, marks in zip(b["key"], b["row"], b["data"], b["marks"]):
+            places = _marked(marks, settled=False)
+            if not len(places):
                 continue
             text = bytes(text)
             place, first, last = _unpacked(np.unique(places))
@@ -227,9 +234,9 @@ def _kept_rows(digest: bool):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for text, places, spans in zip(b["data"], b["settled"], b["spans"]):
+            for text, marks, spans in zip(b["data"], b["marks"], b["spans"]):
                 text = bytes(text)
-                _, first, last = _unpacked([] if places is None else places)
+                _, first, last = _unpacked(_marked(marks, settled=True))
                 starts, ends = first.tolist(), (last + LENGTH).tolist()
                 for s in [] if spans is None else spans:
                     starts.append(s["start"])
@@ -261,14 +268,14 @@ def deduplicated(documents: DataFrame, digest: bool = False) -> DataFrame:
     ranked = ranked.withColumns({"low": F.min("covered").over(same), "high": F.max("covered").over(same)})
     earlier = (F.col("key") > F.col("first")) | ((F.col("before.key") == F.col("key")) & (F.col("before.row") == F.col("row")) & (F.col("before.place") < F.col("place")))
     judged = ranked.withColumn("again", F.col("sure") | F.coalesce(earlier, F.lit(False))).where("again or low <> high")
-    settled, unsettled = F.when(F.col("again"), F.col("place")), F.when(~F.col("again"), F.col("place"))
-    marks = judged.groupBy("key", "row").agg(F.collect_list(settled).alias("settled"), F.collect_list(unsettled).alias("open"))
-    marked = docs.join(marks, ["key", "row"], "left").select("doc_id", "key", "row", "data", "settled", "open")
+    # one column, so that both readers below share one exchange of it
+    marks = judged.groupBy("key", "row").agg(F.collect_list(F.when(F.col("again"), F.col("place")).otherwise(-1 - F.col("place"))).alias("marks"))
+    marked = docs.join(marks, ["key", "row"], "left").select("doc_id", "key", "row", "data", "marks")
     contexts = marked.mapInPandas(_context_rows, "anchor bigint, key bigint, row bigint, first bigint, covered binary")
     ranges = contexts.repartition("anchor").sortWithinPartitions("anchor", "key", "row", "first").mapInPandas(_repeated_rows, "key bigint, row bigint, start bigint, end bigint")
     spans = ranges.groupBy("key", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if digest else "binary")
-    return marked.join(spans, ["key", "row"], "left").select("doc_id", "data", "settled", "spans").mapInPandas(_kept_rows(digest), shape)
+    return marked.join(spans, ["key", "row"], "left").select("doc_id", "data", "marks", "spans").mapInPandas(_kept_rows(digest), shape)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

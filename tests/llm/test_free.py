@@ -72,12 +72,50 @@ def test_lines(spark, sf_dir):
     got = {(r["doc_id"], r["line_no"]): (r["class_doc_id"], r["class_line_no"], r["kept"]) for r in lines.classed(table).collect()}
     want = {k: (*first[top[place[t]]], first[top[place[t]]] == k) for k, t in found.items()}
     assert got == want
-    left = {r["doc_id"]: r["text"] for r in lines.without_repeats(docs(spark, more, 10**6)).collect()}
+    rows, text = lines.without_repeats(docs(spark, more, 10**6))
+    left = {r["doc_id"]: r["text"] for r in rows.select("doc_id", text.alias("text")).collect()}
     assert len(left) == len(more) and left[10**6] is None and left[10**6 + 3 * 8] == "same line\nother\n"
-    assert lines.without_repeats(docs(spark, AWKWARD)).columns == docs(spark, AWKWARD).columns
     assert lines.classed(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
+def test_tiles_of_a_band(spark, monkeypatch):
+    """Lines of one band that are pairwise unlike but for a few are all compared, in tiles of any size."""
+    monkeypatch.setattr(lines, "TILE", 4)
+    test_lines_of_templates(spark)
+
+
+def test_lines_of_templates(spark):
+    random.seed(8)
+    head = "order placed and confirmed by the customer service desk number "
+    texts = [head + "".join(random.choice("0123456789") for _ in range(18)) for _ in range(60)]
+    sets = [{t[i : i + lines.SHINGLE] for i in range(len(t) - lines.SHINGLE + 1)} for t in texts]
+    edges = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    top = groups(60, edges)
+    got = {r["doc_id"] // 3: r["class_doc_id"] // 3 for r in lines.classed(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(top))
+
+
+def test_banding_recall():
+    """Pairs of similarity 0.8 and a little more share a band, at all lengths."""
+    r = random.Random(1)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    found = pairs = 0
+    for size in (40, 80, 160, 400):
+        some = []
+        while len(some) < 150:
+            t = " ".join(r.choice(vocabulary) for _ in range(size))[:size]
+            u = list(t)
+            for _ in range(max(1, int(size * r.uniform(0.004, 0.02)))):
+                u[r.randrange(size)] = r.choice("abcdefghij ")
+            x, y = lines.shingle_sets([t, "".join(u)])
+            if 0.8 <= len(np.intersect1d(x, y)) / len(np.union1d(x, y)) < 0.86:
+                some += [(t, "".join(u))]
+        keys = lines.band_keys([x for p in some for x in p])
+        found += sum(bool(np.intersect1d(a, b).size) for a, b in zip(keys[::2], keys[1::2]))
+        pairs += len(some)
+    assert found >= 0.985 * pairs
+
+
 def print_of(t):
     from xxhash import xxh64_intdigest
 
@@ -167,6 +205,35 @@ def test_repeats(spark, sf_dir, monkeypatch, chunk):
     assert repeats.deduplicated(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Neither of two rows with one id is before the other; each still loses what it repeats itself."""
+    r = random.Random(0)
+    some = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    one, two, shared = some(400), some(300), some(150)
+    run = lambda rows: sorted((tuple(x) for x in repeats.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed").collect()), key=str)
+    assert run([(5, one), (5, one)]) == [(5, 400, 0)] * 2 and run([(None, one), (None, one)]) == [(None, 400, 0)] * 2
+    assert run([(5, one + shared), (5, two + shared)]) == [(5, 450, 0), (5, 550, 0)]
+
+    def removed_of(rows):
+        out = []
+        for doc, text in rows:
+            data = text.encode()
+            gone = bytearray(len(data))
+            for at in range(len(data) - 99):
+                w = data[at : at + 100]
+                if data.find(w) < at or any((-1 if d is None else d) < (-1 if doc is None else doc) and w in t.encode() for d, t in rows):
+                    gone[at : at + 100] = b"\1" * 100
+            out.append((doc, len(data), sum(gone)))
+        return sorted(out, key=str)
+
+    for seed in range(3):
+        r.seed(seed)
+        passages = [some(r.randint(90, 260)) for _ in range(4)]
+        rows = [(r.choice([None, 1, 2, 3, 4, 5, 6]), "".join(r.choice([*passages, some(r.randint(1, 40))]) for _ in range(r.randint(0, 6)))) for _ in range(25)]
+        rows += rows[:4]
+        assert run(rows) == removed_of(rows)
+
+
 def base_secrets(t):
     either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     words = "|".join([*map(either, ("password", "passwd", "secret", "token")), either("api") + "_?" + either("key")])
@@ -209,22 +276,44 @@ def test_secrets_inside_a_run(spark):
     one, two = key(), key()
     texts = [f"token = {key()}" for _ in range(200)] + [f"MY_OWN_NAME={one}", f"https://some.host.example/v1/{one}/list?auth={two}", f"token={one}/{two}", f"x.{one}.y"]
     grammar = {"assign": secrets.Grammar([key() for _ in range(300)])}
-    found = [[t[a:b] for a, _, b in secrets.added_spans(t, [], grammar)] for t in texts[200:]]
+    added = lambda t, base, g: secrets.added_spans(t, base, secrets.Scorer(g))[0]
+    found = [[t[a:b] for a, _, b in added(t, [], grammar)] for t in texts[200:]]
     assert found == [[one], [one, two], [one, two], [one]]
     t = f"AKIA{'A' * 16}/{one}"
-    assert [t[a:b] for a, _, b in secrets.added_spans(t, [(0, "access", 20)], grammar)] == [one]
+    assert [t[a:b] for a, _, b in added(t, [(0, "access", 20)], grammar)] == [one]
     short = {"assign": secrets.Grammar([key(8) for _ in range(300)])}
     t = "NAME=" + key(8)
-    assert [t[a:b] for a, _, b in secrets.added_spans(t, [], short)] == [t[5:]]
-    assert secrets.added_spans("see abandoned2 and MY_OWN_NAME=thequick1brown", [], grammar) == []
+    assert [t[a:b] for a, _, b in added(t, [], short)] == [t[5:]]
+    assert added("see abandoned2 and MY_OWN_NAME=thequick1brown", [], grammar) == []
+
+
+def test_added_spans_are_the_definition(spark):
+    """Of tokens without a mark inside, those are added whose best format saves enough; the others' scores are shown."""
+    random.seed(6)
+    key = lambda n=24: "sk" + "".join(random.choice("0123456789abcdef") for _ in range(n))
+    word = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [f"token = {key()}" for _ in range(150)] + [" ".join(random.choice([key(), key(10), word(random.randint(3, 30)), str(random.randint(10**8, 10**20))]) for _ in range(20)) for _ in range(30)]
+    table = docs(spark, texts)
+    grammars = secrets.learn(table).values()
+    rows = {r["doc_id"]: r for r in secrets.scan(table).collect()}
+    for i, t in enumerate(texts[150:], 150):
+        want, rest = [], []
+        for m in re.finditer(r"\S{8,}", t):
+            best = max(g.saved(m[0]) for g in grammars)
+            mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+            (want if best >= secrets.SAVED and mixed else rest).append((m.start(), m.end(), None if best == -np.inf else best))
+        r = rows[3 * i]
+        assert [(s["start"], s["end"], s["score"]) for s in r["spans"]] == want and [(s["start"], s["end"], s["score"]) for s in r["candidates"]] == rest
+    assert any(r["kind"] == "format" for x in rows.values() for r in x["spans"])
+    assert secrets.added_spans(texts[160], [], secrets.Scorer({}))[0] == []  # nothing without a grammar
 
 
 def test_language(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").union(docs(spark, [None, "", "12 !", "der die das und", "der die das und"], 10**6).select("doc_id", "text", "lang"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").union(docs(spark, [None, "", "12 !", "½ ² ⅷ ①", "der die das und", "der½die² das und"], 10**6).select("doc_id", "text", "lang"))
     model = language.train(*language.training_rows(table))
     rows = {r["doc_id"]: r for r in language.identify(table, model).collect()}
-    assert len(rows) == 205 and all(0 <= r["score"] <= 1 for r in rows.values())
-    assert [rows[10**6 + 3 * k]["lang_pred"] for k in range(5)] == ["und", "und", "und", "de", "de"]
+    assert len(rows) == 206 and all(0 <= r["score"] <= 1 for r in rows.values())
+    assert [rows[10**6 + 3 * k]["lang_pred"] for k in range(6)] == ["und", "und", "und", "und", "de", "de"]
     held = [(rows[r["doc_id"]]["lang_pred"], r["lang"]) for r in table.collect() if rows[r["doc_id"]]["held_out"] and r["doc_id"] < 10**6]
     assert len(held) > 30 and sum(a == b for a, b in held) >= 0.95 * len(held)
     nothing = language.train([], [])
@@ -256,14 +345,35 @@ def test_mixed_text_gets_its_parts():
     assert names == ["de", "fr", "de"] and scores[2] < scores[0]
 
 
-def test_text_without_spaces_is_judged_by_all_of_it():
+def test_text_without_spaces_is_judged_by_all_of_it(monkeypatch):
     """The middle and end of a long unbroken word count, also beyond a slice."""
     one, two = "ababacabad" * 4, "ghighjghkg" * 4
     model = language.train([one] * 5 + [two] * 5, ["aa"] * 5 + ["bb"] * 5)
     names, _ = language.predict([one, two, one[:30] + two * 50 + one[:10], two[:30] + one * 500 + two[:10]], model)
     assert names == ["aa", "bb", "bb", "aa"]
-    assert len(language.features("x" * 9000, {})) == 6 + 9000
-    assert np.allclose(language.word_scores("ab" * 9000, model), model.weights[language.features("ab" * 9000, {})].sum(axis=0), rtol=1e-3)
+    assert len(language.features(["x" * 9000], {})[0]) == 6 + 9000
+    some = ["ab" * 9000, "gh", "a", "ghighj" * 700, "abab"]
+    whole = language.word_scores(some, model)
+    monkeypatch.setattr(language, "SLICE", 50)
+    assert np.allclose(language.word_scores(some, model), whole)
+    assert np.allclose(whole[0], model.weights[language.features(some[:1], {})[0]].sum(axis=0))
+
+
+def test_runs_make_one_chain(monkeypatch):
+    """Posteriors by runs are those of the whole text in one run."""
+    rng = np.random.default_rng(4)
+    counts = np.array([1, 3, 4, 5, 17, 40])
+    owners = np.repeat(np.arange(len(counts)), counts)
+    scores, t = rng.normal(size=(len(owners), 3)) * 3, rng.normal(size=(3, 3))
+    monkeypatch.setattr(language, "RUN", 4)
+    laid, lengths, owner = language.runs(np.arange(len(owners)), owners)
+    got, _ = language.posteriors(scores[laid], lengths, t, first=np.r_[True, owner[1:] != owner[:-1]])
+    live = np.arange(len(laid))[:, None] < lengths[None, :]
+    by_word = np.empty_like(scores)
+    by_word[laid[live]] = got[live]
+    for k, n in enumerate(counts):
+        one, _ = language.posteriors(scores[owners == k][:, None, :], np.array([n]), t)
+        assert np.allclose(one[:, 0], by_word[owners == k])
 
 
 def test_every_language_is_learned(spark):

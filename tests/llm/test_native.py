@@ -53,6 +53,41 @@ def test_quality_prefers_the_target(spark):
     assert quality.ratios(table, labels.limit(0)) == [0.0] * quality.BUCKETS
 
 
+def chained_hash(*words):
+    from xxhash import xxh64_intdigest
+
+    h = 42
+    for w in words:
+        h = xxh64_intdigest(w.encode(), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_quality_score_is_the_definition(spark, sf_dir):
+    """Counts, smoothed ratios, mean and verdict in plain Python; and columns of any name stay."""
+    import math
+
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(docs(spark, first=10**6).select("doc_id", "text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in table.collect()}
+    of = lambda w: [chained_hash(x) % quality.BUCKETS for x in w] + [chained_hash(*x) % quality.BUCKETS for x in zip(w, w[1:])]
+    raw, target = collections.Counter(), collections.Counter()
+    for d, w in texts.items():
+        raw.update(of(w))
+        target.update(of(w) if d in good else [])
+    prior = quality.PRIOR * quality.BUCKETS
+    share = lambda b: (raw[b] + 0.5) / (sum(raw.values()) + 0.5 * quality.BUCKETS)
+    ratio = lambda b: math.log((target[b] + prior * share(b)) / (sum(target.values()) + prior) / share(b))
+    clashing = table.withColumns({c: F.lit("mine") for c in ("words", "row", "hashes", "lines", "bucket", "SCORE")})
+    for r in quality.rules(clashing, quality.ratios(table, labels)).collect():
+        f = of(texts[r["doc_id"]])
+        want = sum(map(ratio, f)) / len(f) if f else None
+        assert (r["score"] is None) if want is None else abs(r["score"] - want) < 2e-6
+        if want is not None and abs(want - quality.THRESHOLD) > 1e-5:
+            assert r["kept"] == (not r["base_failed"] and want >= quality.THRESHOLD)
+        assert (r["words"], r["row"], r["hashes"], r["lines"], r["bucket"]) == ("mine",) * 5
+
+
 def luhn(s):
     return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(s)))) % 10 == 0
 
@@ -92,6 +127,7 @@ def test_account_numbers_and_context(spark, monkeypatch):
     assert shown["base_sha256"] == hashlib.sha256(b"").hexdigest() and shown["spans"] == "iban:5:32"
     assert [s["kind"] for s in found[texts[0]]] == ["iban"] and not [s for s in found[texts[1]] if s["kind"] == "iban"] and [s["kind"] for s in found[texts[2]]] == ["iban"]
     assert found[texts[3]][0]["score"] > found[texts[4]][0]["score"]
+    assert shown["scores"] == "90"
     assert pii.find(empty(spark)).count() == 0
 
 
@@ -103,6 +139,44 @@ def test_account_numbers_in_running_text(spark):
     assert [found[t] for t in texts] == [[number], [spaced], [spaced], [spaced], [number] * 2, [spaced, "GB82 WEST 1234 5698 7654 32"], [], []]
 
 
+def account(country, digits):
+    """A number that mod-97 confirms."""
+    for check in range(100):
+        turned = digits + country + f"{check:02d}"
+        if int("".join(str(int(c, 36)) for c in turned)) % 97 == 1:
+            return f"{country}{check:02d}{digits}"
+
+
+UNKNOWN = account("ZZ", "12345678901234")
+CONTEXT = [("konto " + UNKNOWN, True), (UNKNOWN, False), ("GB82WEST12345698765432", True), ("order GB82WEST12345698765432", False), ("order, bank GB82WEST12345698765432", True), ("serial " + UNKNOWN, False)]
+
+
+def test_context_decides(spark, monkeypatch):
+    """Words near a number that holds add it and take it away; without context points other spans come out."""
+    texts = [t for t, _ in CONTEXT]
+    kinds = lambda: [[s["kind"] for s in r["pii"]] for r in pii.find(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert kinds() == [["iban"] if kept else [] for _, kept in CONTEXT]
+    monkeypatch.setattr(pii, "FOR_POINTS", 0)
+    monkeypatch.setattr(pii, "AGAINST_POINTS", 0)
+    assert kinds() != [["iban"] if kept else [] for _, kept in CONTEXT]
+
+
+def test_pii_sql_on_planted_texts(spark, monkeypatch):
+    import duckdb
+    import pandas as pd
+
+    number, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [*[t for t, _ in CONTEXT], f"IBAN {number} Bitte", f"{spaced} BIC COBADEFFXXX", f"{spaced} 25 Euro", f"AB12 3456 7890 1234 {spaced} Danke", f"{number} {number}", f"{spaced} UND GB82 WEST 1234 5698 7654 32 Gut", number + "x"]
+    texts += [t for t in PII if len(t) < 1000] + ["call +49 30 1234567, version 1.2.3.4, visa 4111 1111 1111 1111, mail a@b.co", None]
+    documents = pd.DataFrame({"doc_id": [3 * i for i in range(len(texts))], "text": texts})  # noqa: F841
+    want = duckdb.sql(pii.SQL)
+    names = sorted(want.columns)
+    rows = want.fetchall()
+    monkeypatch.setattr(pii, "table", lambda *a: docs(spark, texts))
+    got = {r["doc_id"]: [r[c] for c in names] for r in pii.op5_pii(spark, "").collect()}
+    assert got == {r[want.columns.index("doc_id")]: [r[want.columns.index(c)] for c in names] for r in rows}
+
+
 def test_fingerprints(spark, sf_dir, monkeypatch):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(docs(spark, first=10**6).select("doc_id", "text"))
     monkeypatch.setattr(fingerprints, "table", lambda *a: table)
@@ -117,11 +191,15 @@ def test_fingerprints(spark, sf_dir, monkeypatch):
             assert r["n_chars"] == len(a) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
             assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
             assert r["near_next"] == 1 if a == b else True
+            after = got[(i + 1) % len(got)]["fingerprint"]
+            for near, other in (("near_edited", r["edited_fingerprint"]), ("near_next", after)):
+                x, y = ({p.split(":")[1] for p in f.split(",") if p} for f in (r["fingerprint"], other))
+                assert abs(r[near] - (len(x & y) / len(x | y) if x | y else 1)) < 1e-9
     by_text = collections.defaultdict(set)
     for t, r in zip(texts, got):
         by_text[t].add(r["fingerprint"])
     assert all(len(x) == 1 for x in by_text.values())
-    assert fingerprints.edited(empty(spark)).count() == 0 and fingerprints.edited(docs(spark, ["only one"])).first()["next"]["text"] == "only one"
+    assert fingerprints.edited(empty(spark)).count() == 0 and fingerprints.edited(docs(spark, ["only one"])).first()["edited"] == "onlyonly"
 
 
 def test_winnowing_is_the_definition(spark):
@@ -129,15 +207,17 @@ def test_winnowing_is_the_definition(spark):
 
     random.seed(5)
     texts = [" ".join(random.choice("abc") for _ in range(n)) for n in (1, 4, 5, 12, 20, 21, 60, 300)]
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - fingerprints.GRAM), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get("w", i + k) for k in range(fingerprints.GRAM)]), 21))
-    rows = docs(spark, texts).withColumn("w", common.words(F.col("text"))).withColumn("fp", fingerprints.winnow(F.col("text")))
-    for r in rows.where(F.size("w") >= fingerprints.GRAM).withColumn("g", grams).withColumn("at", fingerprints.positions(F.col("fp"))).collect():
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - fingerprints.GRAM), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.xxhash64(F.get("w", i + k)) for k in range(fingerprints.GRAM)]), 21))
+    # the third way packs no positions: as for texts of more words than they have bits for
+    rows = docs(spark, texts).withColumn("w", common.words(F.col("text"))).withColumns({"fp": fingerprints.winnow(F.col("text")), "long": fingerprints.winnow(F.col("text"), places=4)})
+    for r in rows.where(F.size("w") >= fingerprints.GRAM).withColumn("g", grams).collect():
         h, want = r["g"], []
+        assert r["fp"] == r["long"]
         for s in range(max(1, len(h) - fingerprints.WINDOW + 1)):
             window = h[s : s + fingerprints.WINDOW]
             k = s + max(i for i, x in enumerate(window) if x == min(window))
             want += [k] if not want or want[-1] != k else []
-        assert list(r["at"]) == want
+        assert [x["position"] for x in r["fp"]] == want and [x["hash"] for x in r["fp"]] == [h[k] for k in want]
 
 
 def test_shared_runs_share_a_hash(spark):
@@ -149,8 +229,8 @@ def test_shared_runs_share_a_hash(spark):
 
 def test_mixing(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").union(docs(spark, first=10**6).select("doc_id", "text", "source"))
-    for block in (4, 64):
-        rows = mixing.taken(table, block=block).collect()
+    for block, shard in ((4, 50), (64, mixing.SHARD)):
+        rows = mixing.taken(table, block=block, shard=shard).collect()
         assert len(rows) == 200 + len(AWKWARD)
         assert all(r["taken"] <= 3 * r["size"] for r in rows)
         assert abs(sum({r["source"]: r["target"] for r in rows}.values()) - sum(r["size"] for r in rows)) < 1
@@ -163,6 +243,32 @@ def test_mixing(spark, sf_dir):
     assert once == again
 
 
+def test_permutations(spark):
+    """Every index once, for block counts of all shapes; another turn is another permutation."""
+    counts = [*range(1, 40), 63, 64, 65, 97, 100, 997, 1000, 4096, 5000]
+    rows = spark.createDataFrame([(n, k) for n in counts for k in (0, 1)], "blocks long, turn long").withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    found = collections.defaultdict(dict)
+    for r in mixing.permuted(rows, "index", "blocks", "turn").collect():
+        found[r["blocks"], r["turn"]][r["index"]] = r["place"]
+    assert all(sorted(x.values()) == list(range(n)) for (n, _), x in found.items())
+    assert found[1000, 0] != found[1000, 1] and sum(abs(a - b) < 100 for a, b in found[1000, 0].items()) < 350
+
+
+def test_draws(spark):
+    """Counts of shards vary as draws do, and add up to what each source is to have."""
+    sources = spark.createDataFrame([(0, 64_000, 64_000.0), (1, 6_400, 12_800.0), (2, 640, 1_920.0)], "rank int, source_size long, target double")
+    rows = mixing.shard_counts(sources, shard=100).collect()
+    total = collections.Counter()
+    for r in sorted(rows, key=lambda r: (r["rank"], r["shard"])):
+        assert r["before"] == total[r["rank"]]
+        total[r["rank"]] += r["n"]
+    assert total == {0: 1000, 1: 200, 2: 30}
+    per = collections.Counter()
+    for r in rows:
+        per[r["shard"]] += r["n"]
+    assert all(n == 100 for s, n in per.items() if s < 12) and len({r["n"] for r in rows if r["rank"] == 1}) > 3
+
+
 def test_level_of_targets(spark):
     """Water filling against its definition: stop what is too much, share again."""
     sizes = {"a": 10, "b": 1000, "c": 50, "d": 0, "e": 3000, None: 7}
