@@ -11,6 +11,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 #: Keys of repeated rows that may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Copies of a row that are numbered in one array.
+TILE = 1 << 16
 #: Bounds of an Arrow batch.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
@@ -54,7 +56,11 @@ def keyed(documents: DataFrame, *used: str) -> DataFrame:
         return hashed.select(*shown)
     those = F.broadcast(repeated) if many <= BROADCAST_KEYS else repeated
     copies = hashed.join(those, "row_key", "left_semi").groupBy("row_key", "row").count()
-    numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "count"))).withColumn("row_key", F.xxhash64("row_key", "copy"))
+    # counted out by tiles, so that no array is longer than one, however often a row repeats; the cut is between the two
+    # explosions, as Catalyst loses fields of the struct that it reads through both
+    tiled = cut(copies.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / TILE)))))
+    numbers = F.sequence(F.col("tile") * TILE + 1, F.least("count", (F.col("tile") + 1) * TILE))
+    numbered = tiled.withColumn("copy", F.explode(numbers)).withColumn("row_key", F.xxhash64("row_key", "copy"))
     return hashed.join(those, "row_key", "left_anti").unionByName(numbered.select("row", "row_key")).select(*shown)
 
 
