@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from herald.llm import bpe, fingerprints, language, lines, mixing, pii, quality, repeats, secrets, simhash
+from herald.llm import bpe, decontamination, fingerprints, language, lines, mixing, pii, quality, repeats, secrets, simhash
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_language": language.op8_language,
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe.op10_bpe,
+        "op13_decontamination": decontamination.op13_decontamination,
     }
 
 
 def oracle_sql():
-    return {"op4_repeats": repeats.SQL, "op5_pii": pii.SQL, "op9_mixing": mixing.SQL}
+    return {"op4_repeats": repeats.SQL, "op5_pii": pii.SQL, "op9_mixing": mixing.SQL, "op13_decontamination": decontamination.SQL}
