@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from herald.llm import bpe, conversations, decontamination, fingerprints, language, lines, mixing, pii, quality, repeats, secrets, simhash
+from herald.llm import bpe, conversations, decontamination, fingerprints, language, lines, mixing, pii, quality, repeats, secrets, simhash, whitening
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_mixing": mixing.op9_mixing,
         "op10_bpe": bpe.op10_bpe,
         "op11_conversations": conversations.op11_conversations,
+        "op12_whitening": whitening.op12_whitening,
         "op13_decontamination": decontamination.op13_decontamination,
     }
 
