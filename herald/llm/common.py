@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,14 @@ def words(text: Column) -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the checkpoint folder that the session names. Where it names none, one of the warehouse's, which is shared too."""
+    """Use the checkpoint folder that the session names. Where it names none and all runs on one machine, one beside the
+    warehouse; on a cluster that is an error, as the warehouse's default is the driver's own disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,9 +51,11 @@ def keyed(documents: DataFrame, *used: str) -> DataFrame:
     matter, names in the documents clash with none, and keys are the same in every reading.
 
     The key is a hash of all columns. Rows equal in all of them can stand for each other: they are counted, and the
-    key takes in a number within the equal ones. Of 10**9 rows two share a key with probability 0.03.
+    key takes in a number within the equal ones. Of 10**9 rows two share a key with probability 0.03. Maps and variants,
+    which Spark does not hash, are hashed as JSON.
     """
-    columns = [F.col("row").getField(c) for c in documents.columns]
+    plain = {f.name: not re.search(r"\b(map<|variant\b)", f.dataType.simpleString()) for f in documents.schema}
+    columns = [F.col("row").getField(c) if plain[c] else F.to_json(F.col("row").getField(c)) for c in documents.columns]
     hashed = documents.select(F.struct("*").alias("row")).withColumn("row_key", F.xxhash64(*columns, *[c.isNull() for c in columns]))
     shown = ["row", "row_key", *[F.col("row").getField(c).alias(c) for c in used]]
     repeated = cut(hashed.groupBy("row_key").count().where("count > 1").select("row_key"))
@@ -55,7 +63,8 @@ def keyed(documents: DataFrame, *used: str) -> DataFrame:
     if not many:
         return hashed.select(*shown)
     those = F.broadcast(repeated) if many <= BROADCAST_KEYS else repeated
-    copies = hashed.join(those, "row_key", "left_semi").groupBy("row_key", "row").count()
+    whole = F.col("row") if all(plain.values()) else F.to_json("row")
+    copies = hashed.join(those, "row_key", "left_semi").groupBy("row_key", whole.alias("_same")).agg(F.first("row").alias("row"), F.count("*").alias("count"))
     # counted out by tiles, so that no array is longer than one, however often a row repeats; the cut is between the two
     # explosions, as Catalyst loses fields of the struct that it reads through both
     tiled = cut(copies.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / TILE)))))

@@ -11,8 +11,8 @@ Forward-backward works on runs of ``RUN`` words side by side: the product of a r
 messages pass from run to run of a text, in both directions, before they pass from word to word. The result is that of
 one chain over the text, whatever its length.
 
-Training: about ``PER_LANGUAGE`` documents of each language (chosen by a hash of doc_id, at rates from the languages'
-counts), of ``LONGEST`` code points at most, none of them held out; every word of such a text has the text's label.
+Training: ``PER_LANGUAGE`` documents of each language at most (those of the least hashes of id and text), of ``LONGEST``
+code points at most, none of them held out; every word of such a text has the text's label.
 Training sequences are runs of at most ``RUN`` words. Every language that stands in ``lang`` is learned, so the model
 and the training grow with the number of languages, but not with the table.
 """
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -175,6 +175,8 @@ class Model:
     lexicon: dict[str, int]
     weights: np.ndarray
     transitions: np.ndarray
+    #: Which weight rows are of features of the training words.
+    seen: np.ndarray
 
 
 def _summed(weights: np.ndarray, rows: np.ndarray, of: np.ndarray, many: int) -> np.ndarray:
@@ -182,8 +184,9 @@ def _summed(weights: np.ndarray, rows: np.ndarray, of: np.ndarray, many: int) ->
     return np.stack([np.bincount(of, weights[rows, j], many) for j in range(weights.shape[1])], axis=1)
 
 
-def word_scores(words: list[str], model: Model) -> np.ndarray:
-    """(words, languages): the score of each language for each word, the sum over its features."""
+def word_scores(words: list[str], model: Model, known: np.ndarray | None = None) -> np.ndarray:
+    """(words, languages): the score of each language for each word, the sum over its features. ``known``: gets the share
+    of each word's features that training words have too."""
     out = np.zeros((len(words), len(model.languages)))
     ends = np.cumsum([min(len(w), SLICE) for w in words]) // SLICE
     edges = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(words)]
@@ -192,11 +195,17 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
         part = [w if len(w) <= SLICE else w[:3] + w[-3:] for w in words[a:z]]
         rows, of = features(part, model.lexicon)
         out[a:z] = _summed(model.weights, rows, of, len(part))
+        if known is not None:
+            known[a:z] = np.bincount(of, model.seen[rows], len(part)) / np.bincount(of, minlength=len(part))
         for k, (w, short) in enumerate(zip(words[a:z], part)):
             if w is not short:
-                marked = f"<{w}>"
+                marked, hits = f"<{w}>", 0
                 for at in range(0, len(w), SLICE):
-                    out[a + k] += model.weights[_trigrams(_points(marked[at : at + SLICE + 2]))].sum(axis=0)
+                    found = _trigrams(_points(marked[at : at + SLICE + 2]))
+                    out[a + k] += model.weights[found].sum(axis=0)
+                    hits += int(model.seen[found].sum())
+                if known is not None:
+                    known[a + k] = hits / len(w)
                 out[a + k] -= model.weights[_trigrams(_points(f"<{short}>"))].sum(axis=0)
     return out
 
@@ -211,7 +220,7 @@ def train(texts: list[str], labels: list[str]) -> Model:
     weights, transitions = np.zeros((HASHED + LEXICON, k)), np.zeros((k, k))
     owners = np.repeat(np.arange(len(texts)), [len(w) for w in words])
     if not len(owners):
-        return Model(languages, lexicon, weights, transitions)
+        return Model(languages, lexicon, weights, transitions, np.zeros(len(weights), bool))
     codes, known = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
     rows, word_of = features(list(known), lexicon)
     laid, lengths, owner = runs(codes, owners)
@@ -239,38 +248,50 @@ def train(texts: list[str], labels: list[str]) -> Model:
         seen_t += turn**2
         weights += RATE * step / np.sqrt(seen_w)
         transitions += RATE * turn / np.sqrt(seen_t)
-    return Model(languages, lexicon, weights, transitions)
+    return Model(languages, lexicon, weights, transitions, np.bincount(rows, minlength=len(weights)) > 0)
 
 
 def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """Texts and labels of the bounded sample, in the order of doc_id."""
-    learnable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST))
-    counts = learnable.groupBy("lang").count().withColumn("_rate", (1e6 * per_language / F.col("count")).cast("bigint") + 1).select("lang", "_rate")
-    chosen = learnable.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_rate"))
+    """Texts and labels of the sample, in the order of doc_id: ``per_language`` documents of a language at most, whatever
+    their ids (null or repeated ones too), those of the least hashes of id and text.
+
+    The limit is taken in each task before the shuffle, so no task gets more than that of a language from each other one."""
+    learnable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST)).select("doc_id", "text", "lang")
+    hashed = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    chosen = learnable.withColumn("_place", F.row_number().over(hashed)).where(F.col("_place") <= per_language)
     # null ids come first (the column may hold some)
-    rows = sorted(chosen.select("doc_id", "text", "lang").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["lang"]))
+    rows = sorted(chosen.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["lang"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
+    return judged(texts, model)[:2]
+
+
+def judged(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and the share of its words that look like words of any learned language: those
+    half of whose features or more training words have. That share does not depend on how many languages there are."""
     words = [words_of(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     total = int(counts.sum())
     shares = np.zeros((len(texts), max(1, len(model.languages))))
+    familiar = np.zeros(len(texts))
     if total and model.languages:
         owners = np.repeat(np.arange(len(texts)), counts)
         codes, known = pd.factorize(np.fromiter((w for ws in words for w in ws), dtype=object, count=total))
         laid, lengths, owner = runs(codes, owners)
         first = np.r_[True, owner[1:] != owner[:-1]]
-        posterior, _ = posteriors(word_scores(list(known), model)[laid], lengths, model.transitions, first=first)
+        alike = np.zeros(len(known))
+        posterior, _ = posteriors(word_scores(list(known), model, alike)[laid], lengths, model.transitions, first=first)
+        familiar = np.bincount(owners, alike[codes] >= 0.5, len(texts)) / np.maximum(counts, 1)
         summed = posterior.sum(axis=0)
         for j in range(shares.shape[1]):
             shares[:, j] = np.bincount(owner, summed[:, j], len(texts))
         shares /= np.maximum(counts, 1)[:, None]
     best = shares.argmax(axis=1)
     some = (counts > 0) & bool(model.languages)
-    return [model.languages[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, np.clip(shares.max(axis=1), 0, 1), 0.0)
+    return [model.languages[b] if s else UNKNOWN for b, s in zip(best, some)], np.where(some, np.clip(shares.max(axis=1), 0, 1), 0.0), familiar
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
@@ -292,19 +313,18 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(work, shape)
 
 
-def labelled(documents: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
-    """The documents in all their columns, with two more, language and score, and the names of these."""
+def labelled(documents: DataFrame, model: Model) -> tuple[DataFrame, str, str, str]:
+    """The documents in all their columns, with three more, language, score and share of familiar words, and their names."""
     small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
-    names = fresh(documents, "lang_pred", "score")
+    names = fresh(documents, "lang_pred", "score", "familiar")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score = predict(b.column(place).to_pylist(), sent.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, judged(b.column(place).to_pylist(), sent.value))], [*b.schema.names, *names])
 
-    added = [StructField(n, t) for n, t in zip(names, (StringType(), DoubleType()))]
+    added = [StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), DoubleType()))]
     return documents.mapInArrow(work, StructType([*documents.schema.fields, *added])), *names
 
 

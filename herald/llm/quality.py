@@ -4,9 +4,10 @@ Base rules count words, symbols, repeated lines and repeated 5-word windows of a
 hashed n-gram log-likelihood ratio: words and word pairs are hashed to ``BUCKETS`` features, whose frequencies make two
 multinomials, one of a trusted target (documents labelled of good quality) and one of the whole raw corpus. A
 document's score is the mean of log(target / raw) over its features, so length does not matter, and every document is
-kept or not by one fixed threshold, with no random draw. The target's multinomial is joined by PRIOR * BUCKETS features
-drawn as in the raw corpus: a small target says little, so fewer documents are rejected on its word (scores shrink by
-target / (target + prior): to 0.36 for 280 thousand features, 0.85 for 2.8 million, 0.96 for TRUSTED documents).
+kept or not by one fixed threshold, with no random draw. The target's multinomial is joined by a share PRIOR of features
+drawn as in the raw corpus, so that a feature which the target lacks says no more than log(PRIOR / (1 + PRIOR)). All of
+it is made of shares: a table and many copies of it give the same scores. PRIOR and THRESHOLD were fitted together on
+labels held out of the target (see README).
 
 Bounds: the trusted target is at most ``TRUSTED`` labelled documents (in a hashed order of doc_id), broadcast as ids;
 the raw multinomial counts all documents. The model is one array of BUCKETS numbers, whatever the corpus.
@@ -25,9 +26,9 @@ from herald.llm.common import table, words
 BUCKETS = 10_000
 TRUSTED = 20_000
 #: Mean log-ratio from which a document is kept. Text like the corpus scores about 0; text unlike the target, below.
-THRESHOLD = -0.03
-#: Weight of the raw corpus in the target's multinomial, in features per bucket: rare features then say little.
-PRIOR = 50
+THRESHOLD = -0.05
+#: Weight of the raw corpus in the target's multinomial, as a share of the target's own features.
+PRIOR = 0.5
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -45,7 +46,7 @@ def _after(w: Column) -> Column:
 
 
 def ratios(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[float]:
-    """log(target / raw) of each feature; the target's counts are joined by PRIOR * BUCKETS features drawn as in the raw corpus."""
+    """log(target / raw) of each feature, the target joined by a share PRIOR of the raw corpus; 0 for features that no document has."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
     docs = documents.select("doc_id", words(F.col("text")).alias("words"))
     marked = docs.join(F.broadcast(good.withColumn("good", F.lit(1))), "doc_id", "left").select("words", F.coalesce("good", F.lit(0)).alias("good"))
@@ -55,9 +56,8 @@ def ratios(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> l
     raw, target = sum(n for n, _ in counts.values()), sum(g for _, g in counts.values())
     if not target:
         return [0.0] * BUCKETS
-    prior = PRIOR * BUCKETS
-    share = lambda n: (n + 0.5) / (raw + 0.5 * BUCKETS)
-    return [math.log((g + prior * share(n)) / (target + prior) / share(n)) for n, g in (counts.get(k, (0, 0)) for k in range(BUCKETS))]
+    # quotients of whole numbers alone: they do not change if all counts are multiplied
+    return [math.log(((g / target) / (n / raw) + PRIOR) / (1 + PRIOR)) if n else 0.0 for n, g in (counts.get(k, (0, 0)) for k in range(BUCKETS))]
 
 
 def _score(w: Column, logs: list[float]) -> Column:

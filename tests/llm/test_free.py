@@ -376,6 +376,84 @@ def test_runs_make_one_chain(monkeypatch):
         assert np.allclose(one[:, 0], by_word[owners == k])
 
 
+def test_training_sample_is_bounded_whatever_the_ids(spark):
+    texts = [f"der die das nummer{i}" for i in range(5000)]
+    shape = "doc_id long, text string, lang string"
+    for ids in ([None] * 5000, [1] * 5000, range(0, 20000, 4)):
+        got, labels = language.training_rows(spark.createDataFrame(list(zip(ids, texts, ["de"] * 5000)), shape), per_language=50)
+        assert len(got) == len(set(got)) == 50 and set(labels) == {"de"}
+    few = [(None, "le la", "fr"), (None, "le la", "fr"), (3, "un deux", "fr")]
+    assert sorted(language.training_rows(spark.createDataFrame(few, shape), 50)[0]) == ["le la", "le la", "un deux"]
+
+
+def test_gradient_of_training_is_that_of_the_likelihood(monkeypatch):
+    """One step from zero weights goes along finite differences of the log-likelihood of the words' labels."""
+    from itertools import product
+
+    texts, labels = ["ab ba", "ba bb ab"], ["x", "y"]
+    monkeypatch.setattr(language, "ROUNDS", 1)
+    model = language.train(texts, labels)
+
+    def likelihood(w, t):
+        total = 0.0
+        for text, label in zip(texts, labels):
+            words = language.words_of(text)
+            s = language.word_scores(words, language.Model(model.languages, model.lexicon, w, t, model.seen))
+            value = lambda path: sum(s[i, p] for i, p in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:]))  # noqa: E731, B023
+            gold = [model.languages.index(label)] * len(words)
+            total += value(gold) - np.log(sum(np.exp(value(p)) for p in product(range(2), repeat=len(words))))
+        return total
+
+    zero_w, zero_t, h = np.zeros_like(model.weights), np.zeros((2, 2)), 1e-5
+    slope = lambda w, t: (likelihood(w, t) - likelihood(-w, -t)) / (2 * h)
+    for row, j in zip(np.flatnonzero(model.seen)[:25], [0, 1] * 13):
+        step = zero_w.copy()
+        step[row, j] = h
+        # the first adaptive step is RATE * g / sqrt(g**2 + 1e-8), g the slope over the number of words
+        g = slope(step, zero_t) / 5
+        assert abs(model.weights[row, j] - language.RATE * g / np.sqrt(g**2 + 1e-8)) < 1e-6
+    for a, b in product(range(2), repeat=2):
+        step = zero_t.copy()
+        step[a, b] = h
+        g = slope(zero_w, step) / 5
+        assert abs(model.transitions[a, b] - language.RATE * g / np.sqrt(g**2 + 1e-8)) < 1e-6
+
+
+def test_words_of_switched_texts(spark, sf_dir):
+    """Trained on texts of one label, the chain labels the words of texts that switch."""
+    held = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null and length(text) > 300").select("doc_id", "text", "lang")
+    rows = [r for r in held.collect()]
+    model = language.train(*language.training_rows(held))
+    by = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).extend(language.words_of(r["text"])[:200])
+    names = sorted(by)
+    right = total = 0
+    for width in (4, 40):
+        mixed = [(by[n][k : k + width], n) for k in range(0, 160, width) for n in names]
+        words, truth = [w for ws, _ in mixed for w in ws], [n for ws, n in mixed for _ in ws]
+        laid, lengths, owner = language.runs(np.arange(len(words)), np.zeros(len(words), np.int64))
+        found, _ = language.posteriors(language.word_scores(words, model)[laid], lengths, model.transitions, first=np.r_[True, np.zeros(len(lengths) - 1, bool)])
+        live = np.arange(len(laid))[:, None] < lengths[None, :]
+        best = np.empty(len(words), np.int64)
+        best[laid[live]] = found.argmax(axis=2)[live]
+        right += sum(model.languages[b] == t for b, t in zip(best, truth))
+        total += len(words)
+    assert right > 0.97 * total
+
+
+def test_familiar_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    model = language.train(*language.training_rows(docs))
+    texts = [r["text"] for r in docs.collect()]
+    mixed = " ".join(" ".join(t.split()[:9]) for t in texts[:60])
+    random.seed(3)
+    junk = " ".join("".join(random.choice("qxzjvkwpñß") for _ in range(8)) for _ in range(100))
+    *_, share = language.judged([mixed, junk, "", None, "qxzjv" * 300_000, *texts], model)
+    assert share[0] > 0.9 and share[1] < 0.1 and share[2] == share[3] == 0 and share[4] == 0
+    assert sum(s >= 0.5 for s, t in zip(share[5:], texts) if language.words_of(t)) == sum(bool(language.words_of(t)) for t in texts)
+
+
 def test_every_language_is_learned(spark):
     words = {f"l{k:02d}": " ".join(chr(97 + k // 26) + chr(97 + k % 26) + c for c in "aeiou") for k in range(80)}
     rows = [(3 * i, t, n) for i, (n, t) in enumerate((n, t) for n, t in words.items() for _ in range(6))]

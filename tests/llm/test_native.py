@@ -75,9 +75,8 @@ def test_quality_score_is_the_definition(spark, sf_dir):
     for d, w in texts.items():
         raw.update(of(w))
         target.update(of(w) if d in good else [])
-    prior = quality.PRIOR * quality.BUCKETS
-    share = lambda b: (raw[b] + 0.5) / (sum(raw.values()) + 0.5 * quality.BUCKETS)
-    ratio = lambda b: math.log((target[b] + prior * share(b)) / (sum(target.values()) + prior) / share(b))
+    share = lambda counts, b: counts[b] / sum(counts.values())
+    ratio = lambda b: math.log((share(target, b) / share(raw, b) + quality.PRIOR) / (1 + quality.PRIOR))
     clashing = table.withColumns({c: F.lit("mine") for c in ("words", "row", "hashes", "lines", "bucket", "SCORE")})
     for r in quality.rules(clashing, quality.ratios(table, labels)).collect():
         f = of(texts[r["doc_id"]])
@@ -88,6 +87,28 @@ def test_quality_score_is_the_definition(spark, sf_dir):
         assert (r["words"], r["row"], r["hashes"], r["lines"], r["bucket"]) == ("mine",) * 5
 
 
+def test_quality_does_not_depend_on_the_size_of_the_table(spark):
+    """A table and ten copies of it under new ids: the same verdict on every document."""
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    copies = lambda df: df.crossJoin(spark.range(10)).withColumn("doc_id", F.col("doc_id") * 10 + F.col("id")).drop("id")
+    verdicts = lambda docs, logs: {r["doc_id"]: r["kept"] for r in quality.rules(docs, logs).select("doc_id", "kept").collect()}
+    one = quality.ratios(table, labels)
+    assert quality.ratios(copies(table), copies(labels)) == one
+    kept = verdicts(table.select("doc_id", "text"), one)
+    assert len(kept) == 1000
+    bad, good = ({r["doc_id"] for r in labels.where(f"quality = {q}").collect()} for q in (0, 1))
+    assert sum(kept[d] for d in bad) < 0.15 * len(bad)
+
+
+def test_quality_keeps_good_documents_that_are_not_in_the_target(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    good = {r["doc_id"] for r in labels.where(held).where("quality = 1").collect()}
+    rows = quality.rules(table.select("doc_id", "text"), quality.ratios(table, labels.where(~held))).select("doc_id", "base_failed", "kept").collect()
+    judged = [r["kept"] for r in rows if r["doc_id"] in good and not r["base_failed"]]
+    assert len(judged) > 40 and sum(judged) >= 0.97 * len(judged)
+
+
 def luhn(s):
     return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(s)))) % 10 == 0
 
