@@ -49,9 +49,12 @@ def priced_cost(kakao: Column, sms: Column, kakao_price: Column, sms_price: Colu
     return (kakao * kakao_price + sms * sms_price).cast("decimal(18,2)")
 
 
-def parse_cdate(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Creation date of a template, or null: absent or malformed (rows of the second kind go to the rejects)."""
-    return F.try_to_timestamp(text, F.lit(pattern))
+def parse_cdate(text: Column) -> Column:
+    """Creation date of a template, or null: absent, empty or malformed (rows of the last kind go to the rejects).
+
+    ISO dates and times are taken, with a space or a T between, seconds, their fraction and a zone or none (the session's)."""
+    bare = F.trim(text)
+    return F.when(bare.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?)?$"), F.try_to_timestamp(bare))
 
 
 def job_id(*ingest_key: Column) -> Column:

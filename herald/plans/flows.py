@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herald.operators import batches, catalog
+from herald.operators import batches
 from herald.plans import jobs as plans
-from herald.plans.registry import _LEDGER, _LISTED, _MERGED, _OUTBOX, _RESOLVED, _STATE, AS_OF, _envelopes, _lines, _planned, _query, _responses, _settled, shown_ledger
+from herald.plans.registry import _BUTTON, _LEDGER, _LISTED, _OUTBOX, _PLAIN, _RESOLVED, _SHOWN, _STATE, _STATES, _SYNCED, _TRISTATE, AS_OF, _envelopes, _lines, _planned, _query, _responses, _settled, shown_catalog, shown_ledger, synced
 from herald.sources import readers, writers
 from herald.sources.fixtures import frame, with_sql
 from herald.streaming import dispatch, job_state, ledger
@@ -178,25 +178,23 @@ def read_lookups(spark, sf_dir):
     return channels.union(aliases).union(shown(readers.read_prices(spark, f"{path}/prices"), "price", "message_type", "unit_price"))
 
 
-@_query(_LISTED + " select pos, template_code, template_name, template_content, cdate from listed")
+@_query(_LISTED + f" select page, place as pos, template_code, {_SHOWN}, cdate, {_BUTTON}, concat_ws(',', {', '.join(f"case when not ({_STATES[c].replace('s.', '')}) then '{c}' end" for c in sorted(_STATES))}) as present from listed")
 def read_provider_templates(spark, sf_dir):
-    """The provider's listing from JSON envelopes: those that failed are left out."""
-    return readers.read_provider_templates(spark, _as_json(_envelopes(spark, sf_dir), scratch(spark))).select("pos", "template_code", "template_name", "template_content", "cdate")
+    """The provider's listing from JSON envelopes: those that failed are left out; dates as they are, and which of the fields are there that may be absent."""
+    rows = readers.read_provider_templates(spark, _as_json(_envelopes(spark, sf_dir), scratch(spark)))
+    present = F.array_join(F.array_sort(F.array_intersect("present", F.array(*map(F.lit, _STATES)))), ",")
+    return rows.select("page", "pos", "template_code", "template_content", *_PLAIN, *_TRISTATE, "cdate", F.get("buttons", F.lit(0))["name"].alias("button"), present.alias("present"))
 
 
-_SYNCED = _MERGED.replace("from template_source) where n = 1", "from template_source where pos < 100 and template_code not in (select template_code from listed_dates where cdate like 'on day%')) where n = 1").replace(with_sql("template_source", "template_target"), with_sql("template_source", "template_target", "listed_dates"))
-
-
-@_query(_SYNCED + " select template_code, template_name, template_content, use_failover from merged where action <> 'delete'")
+@_query(_SYNCED + " select * exclude (action) from synced where action <> 'delete'")
 def sync_and_write_snapshot(spark, sf_dir):
-    """The listing from JSON, without malformed dates, merged into the stored catalogue and written as its newest snapshot."""
+    """The listing from JSON, without malformed dates, merged into the stored catalogue and written as its newest snapshot, all fields."""
     path = scratch(spark)
-    writers.write_template_snapshot(frame(spark, sf_dir, "template_target").withColumn("action", F.lit("keep")), f"{path}/catalogue", 1)
+    writers.write_template_snapshot(frame(spark, sf_dir, "stored_templates").withColumn("action", F.lit("keep")), f"{path}/catalogue", 1)
     listed = readers.read_provider_templates(spark, _as_json(_envelopes(spark, sf_dir), f"{path}/listing"))
-    stored = readers.read_templates(spark, f"{path}/catalogue/versions/{1:010d}")
-    merged = plans.sync_templates(catalog.split_bad_dates(listed)[0], stored, ["template_name", "template_content"])["merged"]
+    merged = synced(spark, sf_dir, listed, readers.read_templates(spark, f"{path}/catalogue/versions/{1:010d}"))["merged"]
     writers.write_template_snapshot(merged, f"{path}/catalogue", 2)
-    return writers.newest_snapshot(spark, f"{path}/catalogue").select("template_code", "template_name", "template_content", "use_failover")
+    return shown_catalog(writers.newest_snapshot(spark, f"{path}/catalogue"))
 
 
 @_query(with_sql("access_log") + " select date_trunc('second', ts) as ts, case when status >= 400 then 'ERROR' else 'INFO' end as level, method, path, status, duration_ms from access_log")

@@ -42,11 +42,12 @@ def settle_campaign(resolved: DataFrame, batch_sizes: DataFrame, responses: Data
     return {"outcomes": outcomes, "settled": settled, "ledger": ledger.build_ledger_row(settled, delivery.collect_batch_results(outcomes), sent_at)}
 
 
-def sync_templates(source: DataFrame, target: DataFrame, updatable: list[str], always: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """``merged`` (with the action of each code), ``counts`` and ``rejects`` (listed rows without a code)."""
+def sync_templates(source: DataFrame, target: DataFrame, updatable: list[str] = catalog.UPDATED, always: tuple[str, ...] = catalog.ALWAYS, synced_at: Column | None = None) -> dict[str, DataFrame]:
+    """``merged`` (with the action of each code), ``counts`` and ``rejects`` (listed rows without a code). Every field of
+    the listing is written unless fewer are named; ``synced_at`` is the time of the sync."""
     catalog.check_unique(target)
     coded = source.where("template_code is not null")
-    merged = catalog.merge_template_catalog(coded, target, updatable, always)
+    merged = catalog.merge_template_catalog(coded, target, updatable, always, synced_at)
     return {"merged": merged, "counts": catalog.merge_counts(coded, merged), "rejects": source.where("template_code is null")}
 
 

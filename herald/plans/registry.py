@@ -126,28 +126,51 @@ def f1_normalize_phone(spark, sf_dir):
     return requests.with_phones(frame(spark, sf_dir, "recipients")).select("request_id", "seq", "receiver", "valid_phone")
 
 
+#: Fields of the listing that are absent, null or there, by (pos + k) % 3 = 0, 1, 2.
+_TRISTATE = {"template_title": 0, "template_subtitle": 1, "template_image_name": 2, "template_image_url": 0, "comments": 1}
+_NAMED = {c: f for f, c in catalog.FIELDS.items()}
+
+
 def _envelopes(spark, sf_dir) -> DataFrame:
-    """One envelope per page of the listing (position div 100): every other page answers an error."""
-    item = F.struct(F.col("template_code").alias("templtCode"), F.col("template_name").alias("templtName"), F.col("template_content").alias("templtContent"), "cdate", F.col("pos").alias("at"))
-    pages = frame(spark, sf_dir, "template_source").join(frame(spark, sf_dir, "listed_dates"), ["template_code", "pos"]).groupBy((F.col("pos") >= 100).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").alias("o"), item.alias("t")))).alias("l"))
-    return pages.select(F.when(F.col("page") == 0, 0).otherwise(-1).alias("code"), F.transform("l", lambda x: x["t"]).alias("list"))
+    """One envelope per page of the listing (position div 5): every page that leaves 3 when divided by 4 answers an error.
 
+    A null content is absent in every other row and null in the others; ``_TRISTATE`` fields likewise; every third
+    template has a button; a field that is not stored is there too."""
+    quoted = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":|\}$', ""), F.lit("null"))
+    value = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(quoted(c))
+    absent = {c: (F.col("pos") + k) % 3 == 0 for c, k in _TRISTATE.items()} | {"template_content": F.col("template_content").isNull() & (F.col("pos") % 4 == 1), "cdate": F.col("cdate").isNull() & (F.col("pos") % 2 == 0)}
+    parts = [F.when(~absent.get(c, F.lit(False)), F.concat(F.lit(f'"{_NAMED[c]}":'), value(c))) for c in _NAMED if c != "buttons"]
+    button = F.when(F.col("pos") % 3 == 0, F.concat(F.lit('"buttons":[{"ordering":1,"name":"b'), F.col("pos").cast("string"), F.lit('","linkType":"WL"}]')))
+    item = F.concat(F.lit("{"), F.concat_ws(",", *parts, button, F.lit('"unknown":1')), F.lit("}"))
+    pages = frame(spark, sf_dir, "listed_templates").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("raw")))).alias("l"))
+    return pages.select("page", F.when(F.col("page") % 4 == 3, -1).otherwise(0).alias("code"), F.transform("l", lambda x: x["raw"]).alias("list"))
 
-_LISTED = with_sql("template_source", "listed_dates") + """, listed as (select cast(row_number() over (order by s.pos) - 1 as int) as pos, s.template_code, template_name, template_content, cdate, try_cast(cdate as timestamp) as parsed
-  from template_source s join listed_dates d on s.template_code = d.template_code and s.pos = d.pos where s.pos < 100)"""
+
+_LISTED = with_sql("listed_templates") + """, listed as (select *, cast(row_number() over (partition by page order by pos) - 1 as int) as place, try_cast(cdate as timestamp) as parsed from listed_templates where page % 4 <> 3),
+good as (select * from listed where cdate is null or parsed is not null)"""
 
 
 def _listed(spark, sf_dir) -> DataFrame:
     return catalog.map_provider_template(catalog.explode_templates(catalog.unwrap_success_envelope(_envelopes(spark, sf_dir))))
 
 
-@_query(_LISTED + " select pos, template_code, template_name, template_content, parsed as cdate from listed where cdate is null or parsed is not null")
+_PLAIN = ("template_name", "status", "insp_status", "sender_key", "template_type", "template_em_type")
+_SHOWN = ", ".join(("template_content", *_PLAIN, *_TRISTATE))
+_BUTTON = "case when pos % 3 = 0 then 'b' || pos end as button"
+
+
+def shown_templates(rows: DataFrame, *first: str) -> DataFrame:
+    """All 15 fields of templates, the buttons by the name of the first."""
+    return rows.withColumn("cdate", F.col("cdate").cast("timestamp_ntz")).select(*first, "template_code", "template_content", *_PLAIN, *_TRISTATE, "cdate", F.get("buttons", F.lit(0))["name"].alias("button"))
+
+
+@_query(_LISTED + f" select page, place as pos, template_code, {_SHOWN}, parsed as cdate, {_BUTTON} from good")
 def p4_p5_g2_provider_templates(spark, sf_dir):
     """Unwrap, flatten and rename the listing; creation dates parsed (F10)."""
-    return catalog.split_bad_dates(_listed(spark, sf_dir))[0].withColumn("cdate", F.col("cdate").cast("timestamp_ntz")).select("pos", "template_code", "template_name", "template_content", "cdate")
+    return shown_templates(catalog.split_bad_dates(_listed(spark, sf_dir))[0], "page", "pos")
 
 
-@_query(_LISTED + " select pos, template_code, cdate, 'BAD_CDATE' as reject_code from listed where cdate is not null and parsed is null")
+@_query(_LISTED + " select place as pos, template_code, cdate, 'BAD_CDATE' as reject_code from listed where cdate is not null and parsed is null")
 def f10_bad_dates(spark, sf_dir):
     """Listed templates whose creation date is malformed."""
     return catalog.split_bad_dates(_listed(spark, sf_dir))[1].select("pos", "template_code", "cdate", "reject_code")
@@ -178,6 +201,29 @@ def j4_merge_template_catalog(spark, sf_dir):
     return _merge(spark, sf_dir)["merged"].select("template_code", "action", "template_name", "template_content", "use_failover")
 
 
+_STATES = {"template_content": "s.template_content is null and s.pos % 4 = 1"} | {c: f"(s.pos + {k}) % 3 = 0" for c, k in _TRISTATE.items()}
+_SYNCED_FIELDS = ", ".join(f"case when s.template_code is null or {_STATES.get(c, 'false')} then t.{c} else s.{c} end as {c}" for c in ("template_content", *_PLAIN, *_TRISTATE))
+_SYNCED = f"""{_LISTED}, {with_sql('stored_templates').split(' as (', 1)[0].removeprefix('with ')} as ({with_sql('stored_templates').split(' as (', 1)[1]},
+last as (select * from (select *, row_number() over (partition by template_code order by page desc, pos desc) as n from good) where n = 1),
+synced as (select coalesce(s.template_code, t.template_code) as template_code, case when s.template_code is null then 'delete' when t.template_code is null then 'insert' else 'update' end as action, {_SYNCED_FIELDS},
+  case when s.template_code is null then t.cdate else s.parsed end as cdate, case when s.pos % 3 = 0 then 'b' || s.pos end as button, coalesce(t.use_failover, false) as use_failover,
+  case when s.template_code is null then t.synced_at else timestamp '{AS_OF}' end as synced_at from last s full outer join stored_templates t on s.template_code = t.template_code)"""
+
+
+def synced(spark, sf_dir, listed: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
+    return plans.sync_templates(catalog.split_bad_dates(listed)[0], stored, synced_at=F.lit(AS_OF).cast("timestamp"))
+
+
+def shown_catalog(rows: DataFrame, *first: str) -> DataFrame:
+    return shown_templates(rows, *first, "use_failover", F.col("synced_at").cast("timestamp_ntz").alias("synced_at"))
+
+
+@_query(_SYNCED + " select * from synced")
+def j4_sync_all_fields(spark, sf_dir):
+    """sync_templates over every field of the listing: absent keeps, null clears, the creation date and the time of the sync are always written."""
+    return shown_catalog(synced(spark, sf_dir, _listed(spark, sf_dir), frame(spark, sf_dir, "stored_templates"))["merged"], "action")
+
+
 @_query(with_sql("template_source", "template_target") + " select template_code, template_name from template_target where template_code not in (select template_code from template_source)")
 def j5_stale_templates(spark, sf_dir):
     return catalog.stale_templates(frame(spark, sf_dir, "template_target"), frame(spark, sf_dir, "template_source")).select("template_code", "template_name")

@@ -56,7 +56,17 @@ SQL = {
         union all select 'FAX', cast(count(*) as decimal(18,2)) from part""",
     "listed_dates": """
         select pos, template_code, case when pos % 7 = 0 then null when pos % 5 = 0 then 'on day ' || cast(pos as string)
-          else '2024-02-' || lpad(cast(1 + pos % 28 as string), 2, '0') || ' 04:05:06' end as cdate from template_source""",
+          else '2024-02-' || lpad(cast(1 + pos % 28 as string), 2, '0') || case when pos % 3 = 1 then 'T04:05:06Z' else ' 04:05:06' end end as cdate from template_source""",
+    "listed_templates": """
+        select s.template_code, s.pos, cast(floor(s.pos / 5) as bigint) as page, s.template_name, s.template_content, d.cdate, case s.pos % 3 when 0 then 'A' when 1 then 'S' else 'R' end as status,
+          case when s.pos % 4 = 0 then 'REJ' else 'APR' end as insp_status, 'key-' || cast(s.pos % 4 as string) as sender_key, case when s.pos % 2 = 0 then 'BA' else 'EX' end as template_type,
+          case when s.pos % 3 = 0 then 'TEXT' else 'NONE' end as template_em_type, case when s.pos % 3 = 2 then 'title ' || cast(s.pos as string) end as template_title,
+          case when (s.pos + 1) % 3 = 2 then 'subtitle ' || cast(s.pos as string) end as template_subtitle, case when (s.pos + 2) % 3 = 2 then cast(s.pos as string) || '.png' end as template_image_name,
+          case when s.pos % 3 = 2 then 'https://example.com/' || cast(s.pos as string) end as template_image_url, case when (s.pos + 1) % 3 = 2 then 'comment ' || cast(s.pos as string) end as comments
+        from template_source s join listed_dates d on s.template_code = d.template_code and s.pos = d.pos""",
+    "stored_templates": """
+        select t.*, 'A' as status, 'REQ' as insp_status, 'old-key' as sender_key, 'BA' as template_type, 'old.png' as template_image_name, 'https://example.com/old' as template_image_url,
+          timestamp '2020-01-01 00:00:00' as cdate, 'old comment' as comments, timestamp '2020-01-01 00:00:00' as synced_at from template_target t""",
     "job_events": """
         select cast(floor(event_id / 5) as bigint) as job_id, event_id, ts as event_ts,
           case event_type when 'signup' then 'pending' when 'view' then 'pending' when 'click' then 'processing' when 'purchase' then 'completed' else 'failed' end as status,

@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herald.operators.access_log import parse_access_log
-from herald.operators.catalog import explode_templates, map_provider_template, unwrap_success_envelope
+from herald.operators.catalog import BUTTON, explode_templates, map_provider_template, unwrap_success_envelope
 
-BUTTON = "struct<ordering:int,name:string,linkType:string,linkTypeName:string,linkMo:string,linkPc:string,linkIos:string,linkAnd:string>"
 RECIPIENT = f"struct<phoneNumber:string,name:string,variables:map<string,string>,content:string,buttons:array<{BUTTON}>,emtitle:string,failoverSubject:string,failoverMessage:string>"
 REQUEST = f"unionId string, senderId string, templateCode string, noticeId string, recipients array<{RECIPIENT}>, _corrupt_record string"
-LISTED = f"""templtCode string, templtName string, templtContent string, status string, inspStatus string, senderKey string, buttons array<{BUTTON}>, cdate string, templateType string,
- templateEmType string, templateExtra string, templateAdvert string, templtTitle string, templtSubtitle string, templtImageUrl string"""
-ENVELOPE = f"code int, message string, list array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in LISTED.split(', '))}>>"
+ENVELOPE = "page bigint, code int, message string, list array<string>"
 RESPONSE = "request_id bigint, batch_index bigint, code int, message string, info struct<type:string,mid:string,current:string,unit:decimal(18,2),total:decimal(18,2),scnt:bigint,fcnt:bigint>"
 JOB_EVENT = "job_id bigint, event_id bigint, event_ts timestamp, status string, error string"
 
@@ -55,7 +52,8 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_provider_templates(spark: SparkSession, path: str) -> DataFrame:
-    """The provider's listing: successful envelopes, flattened and renamed, with the position in the list."""
+    """The provider's listing: successful envelopes, one JSON object a line, flattened and renamed, with page, position in
+    the list, and the names of the fields that each template has, null or not."""
     return map_provider_template(explode_templates(unwrap_success_envelope(spark.read.schema(ENVELOPE).json(path))))
 
 

@@ -110,3 +110,30 @@ def test_job_fold_and_retention(spark):
 def test_access_lines(spark):
     lines = spark.createDataFrame([("[2024-01-01 00:00:01] [INFO] GET /a - 404 (12ms)",), ("junk",)], "value string")
     assert [(r["level"], r["method"], r["path"], r["status"], r["duration_ms"]) for r in access_log.parse_access_log(lines).collect()] == [("ERROR", "GET", "/a", 404, 12)]
+
+
+@pytest.mark.parametrize("text, hour", [("2024-02-01 04:05:06", 4), ("2024-02-01T04:05:06", 4), ("2024-02-01T04:05:06Z", 4), ("2024-02-01T04:05:06.123Z", 4), ("2024-02-01T04:05:06+09:00", 19), ("2024-02-01", 0), (" 2024-02-01 04:05 ", 4), ("2024-02", 0), ("04:05:06", None), ("on day 3", None), ("2024-13-01", None), ("", None), (None, None)])
+def test_creation_dates(spark, text, hour):
+    got = one(spark, text, "string", fn.parse_cdate)
+    assert got is None if hour is None else got.hour == hour
+
+
+def test_absent_and_empty_dates_are_no_rejects(spark):
+    rows = spark.createDataFrame([("a", None), ("b", ""), ("c", "soon"), ("d", "2024-02-01T00:00:00Z")], "template_code string, cdate string")
+    good, bad = catalog.split_bad_dates(rows)
+    assert {r["template_code"]: r["cdate"] is None for r in good.collect()} == {"a": True, "b": True, "d": False} and [r["template_code"] for r in bad.collect()] == ["c"]
+
+
+def test_fields_in_three_states(spark):
+    """Absent keeps, null clears, a value replaces; the creation date is always written; pages come before positions."""
+    raw = ['{"templtCode":"a","templtName":"A2","comments":null,"unknown":1}', '{"templtCode":"b","comments":"new","cdate":"2024-02-01T00:00:00Z","buttons":[{"name":"x"}]}', '{"templtCode":"a","templtName":"A1","comments":"late"}']
+    pages = spark.createDataFrame([(2, 0, raw[:2]), (1, 0, raw[2:]), (3, -1, raw)], "page long, code int, list array<string>")
+    listed = catalog.map_provider_template(catalog.explode_templates(catalog.unwrap_success_envelope(pages)))
+    assert set(listed.columns) == {"page", "pos", "present", *catalog.FIELDS.values()} and listed.count() == 3
+    stored = spark.createDataFrame([("a", "A", "old", "kept.png", True)], "template_code string, template_name string, comments string, template_image_name string, use_failover boolean").withColumn("cdate", F.lit("2020-01-01").cast("timestamp"))
+    merged = catalog.merge_template_catalog(catalog.split_bad_dates(listed)[0], stored, catalog.UPDATED, catalog.ALWAYS, F.lit("2024-03-01").cast("timestamp"))
+    rows = {r["template_code"]: r for r in merged.collect()}
+    a, b = rows["a"], rows["b"]
+    assert (a["action"], a["template_name"], a["comments"], a["template_image_name"], a["cdate"], a["use_failover"], a["synced_at"].month) == ("update", "A2", None, "kept.png", None, True, 3)
+    assert (b["action"], b["template_name"], b["comments"], b["cdate"].year, b["buttons"][0]["name"], b["use_failover"]) == ("insert", None, "new", 2024, "x", False)
+    assert set(merged.columns) == {"action", "synced_at", "use_failover", *catalog.FIELDS.values()}
