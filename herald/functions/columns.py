@@ -39,6 +39,19 @@ def substitute_vars(text: Column, entries: Column) -> Column:
     return F.aggregate(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), text, step)
 
 
+def ordered_variables(json: Column) -> Column:
+    """Array of (key, value) of a JSON object's text: whole numbers below 2**32 - 1 first, ascending, then the other keys as
+    they stand; a key that stands twice has its first place and its last value; null is null, no object has none."""
+    def arranged(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+        number = lambda k: F.when(k.rlike("^(0|[1-9][0-9]{0,9})$") & (k.cast("bigint") < (1 << 32) - 1), k.cast("bigint"))
+        place = F.transform(keys, lambda k, i: F.struct(number(k).isNull().alias("later"), F.coalesce(number(k), i.cast("bigint")).alias("at"), k.alias("key"), last(k).alias("value")))
+        return F.transform(F.array_sort(place), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+
+    return F.get(F.transform(F.array(F.map_entries(F.from_json(json, "map<string,string>"))), arranged), F.lit(0))
+
+
 def flat_cost(kakao: Column, sms: Column, kakao_rate=KAKAO_RATE, sms_rate=SMS_RATE) -> Column:
     """Cost at fixed rates (the queued path)."""
     return (kakao * kakao_rate + sms * sms_rate).cast("decimal(18,2)")

@@ -15,12 +15,12 @@ def reconcile_batches(batches: DataFrame, responses: DataFrame) -> DataFrame:
     return batches.join(responses, ["request_id", "batch_index"], "left")
 
 
-def batch_outcome(reconciled: DataFrame) -> DataFrame:
-    """request_id, batch_index, batch_size, success, success_count, sms_count, fail_count, actual_cost, error."""
+def batch_outcome(reconciled: DataFrame, *kept: str) -> DataFrame:
+    """request_id, batch_index, batch_size, the ``kept`` columns, success, success_count, sms_count, fail_count, actual_cost, error."""
     ok = F.coalesce((F.col("code") == 0) & F.col("info").isNotNull(), F.lit(False))
     zero = F.lit(0).cast("bigint")
     return reconciled.select(
-        "request_id", "batch_index", "batch_size", ok.alias("success"), F.when(ok, count_or_zero(F.col("info.scnt"))).otherwise(zero).alias("success_count"), zero.alias("sms_count"),
+        "request_id", "batch_index", "batch_size", *kept, ok.alias("success"), F.when(ok, count_or_zero(F.col("info.scnt"))).otherwise(zero).alias("success_count"), zero.alias("sms_count"),
         F.when(ok, count_or_zero(F.col("info.fcnt"))).otherwise(F.col("batch_size")).alias("fail_count"),
         F.when(ok, F.coalesce(F.col("info.total").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))).otherwise(F.lit(0).cast("decimal(18,2)")).alias("actual_cost"),
         F.when(~ok, F.coalesce("message", F.lit(NO_RESPONSE))).alias("error"),
@@ -37,10 +37,14 @@ def rollup_requests(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("batch_count"), F.bool_and("success").alias("_all"), F.sum("success_count").alias("success_count"), F.sum("sms_count").alias("sms_count"),
         F.sum("fail_count").alias("fail_count"), F.sum("actual_cost").cast("decimal(18,2)").alias("actual_cost"),
     )
-    joined = requests.join(per, "request_id", "left")
+    return rolled_up(requests.join(per, "request_id", "left"), requests.columns)
+
+
+def rolled_up(joined: DataFrame, columns: list[str], *kept: str) -> DataFrame:
+    """The requests' columns and outcome, of requests beside the sums over their batches (null where they have none)."""
     zero = lambda c: count_or_zero(F.col(c)).alias(c)
     return joined.select(
-        *requests.columns, zero("batch_count"), F.when(F.col("template_found"), F.coalesce("_all", F.lit(True))).otherwise(False).alias("success"), zero("success_count"), zero("sms_count"),
+        *columns, *kept, zero("batch_count"), F.when(F.col("template_found"), F.coalesce("_all", F.lit(True))).otherwise(False).alias("success"), zero("success_count"), zero("sms_count"),
         F.when(F.col("template_found"), count_or_zero(F.col("fail_count"))).otherwise(F.col("recipient_count")).alias("fail_count"), F.coalesce("actual_cost", F.lit(0).cast("decimal(18,2)")).alias("actual_cost"),
     )
 

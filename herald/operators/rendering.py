@@ -47,7 +47,12 @@ def pick_failover(flag: Column, subject: Column, message: Column, template_flag:
 def render(batched: DataFrame, flags: DataFrame, entries: Column) -> DataFrame:
     """Recipients with their template's columns and batch -> receiver, subject, emtitle, message, button, fsubject,
     fmessage, failover."""
-    rows = batched.join(flags, ["request_id", "batch_index"]).withColumn("_vars", entries)
+    return render_flagged(batched.join(flags, ["request_id", "batch_index"]), entries)
+
+
+def render_flagged(flagged: DataFrame, entries: Column) -> DataFrame:
+    """The same for recipients that carry the flag of their batch."""
+    rows = flagged.withColumn("_vars", entries)
     for c, kind in (("emtitle", "string"), ("buttons", "array<struct<name:string,linkType:string,linkTypeName:string,linkMo:string,linkPc:string>>"), ("template_buttons", "array<struct<name:string,linkType:string,linkTypeName:string,linkMo:string,linkPc:string>>")):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast(kind))

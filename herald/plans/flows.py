@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herald.operators import batches
+from herald.operators import batches, requests
 from herald.plans import jobs as plans
 from herald.plans.registry import _BUTTON, _LEDGER, _LISTED, _OUTBOX, _PLAIN, _RESOLVED, _SHOWN, _STATE, _STATES, _SYNCED, _TRISTATE, AS_OF, _envelopes, _lines, _planned, _query, _responses, _settled, shown_catalog, shown_ledger, synced
 from herald.sources import readers, writers
 from herald.sources.fixtures import frame, with_sql
-from herald.streaming import dispatch, job_state, ledger
+from herald.streaming import dispatch, job_state, ledger, settlement
 
 #: Seconds that a stream over the given tables may take.
 WAIT = 3600
@@ -57,12 +57,34 @@ def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dispatched(spark: SparkSession, sf_dir: str) -> str:
     path = scratch(spark)
     _request_lines(spark, sf_dir).write.text(f"{path}/in")
-    lookups = [frame(spark, sf_dir, n) for n in ("template_target", "key_aliases", "channels")]
-    stream = readers.read_requests(spark, f"{path}/in", stream=True)
-    _ended(dispatch.stream_dispatch(stream, *lookups, f"{path}/out", f"{path}/state"))
+    for name in ("key_aliases", "channels"):
+        frame(spark, sf_dir, name).write.parquet(f"{path}/{name}")
+    writers.write_template_snapshot(frame(spark, sf_dir, "template_target").withColumn("action", F.lit("keep")), f"{path}/catalogue", 1)
+    lookups = dispatch.newest_lookups(spark, f"{path}/catalogue", f"{path}/key_aliases", f"{path}/channels")
+    _ended(dispatch.stream_dispatch(readers.request_lines(spark, f"{path}/in", stream=True), lookups, f"{path}/out", f"{path}/state"))
     return f"{path}/out"
 
 
+@_query(_RESOLVED.replace("resolved as (", "numbered as (select union_id, template_code, recipient_count, row_number() over (order by request_id) - 1 as line from (select r.*, coalesce(c.recipient_count, 0) as recipient_count from requests r left join counts c using (request_id))), resolved as (")
+        + " select cast(line as bigint) as ingest_line, union_id, template_code, cast(recipient_count as int) as recipient_count from numbered")
+def read_request_lines(spark, sf_dir):
+    """Requests of one file of JSON lines, read in splits of 64 KB: each has its line's number."""
+    path = scratch(spark)
+    heads = frame(spark, sf_dir, "requests").select("request_id", F.to_json(F.struct(F.col("union_id").alias("unionId"), F.col("template_code").alias("templateCode"))).alias("head"))
+    people = frame(spark, sf_dir, "recipients").groupBy("request_id").agg(F.count("*").cast("int").alias("n"))
+    nested = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit('{"phoneNumber":"'), k.cast("string"), F.lit('"}'))), ",")
+    lines = heads.join(people, "request_id", "left").select("request_id", F.concat(F.regexp_replace("head", r"\}$", ""), F.lit(',"recipients":['), F.when(F.col("n") > 0, nested).otherwise(""), F.lit("]}")).alias("value"))
+    lines.repartitionByRange(1, "request_id").sortWithinPartitions("request_id").select("value").write.text(path)
+    held, size = spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "64k")
+    try:
+        rows = readers.read_requests(spark, path).select("ingest_line", "union_id", "template_code", F.coalesce(F.size("recipients"), F.lit(0)).alias("recipient_count"))
+        rows.write.parquet(f"{path}-rows")
+    finally:
+        spark.conf.set(size, held)
+    return spark.read.parquet(f"{path}-rows")
+
+
 @_query(_OUTBOX.format(""))
 def t1_stream_dispatch(spark, sf_dir):
     """Nested requests as a stream of files, to the outbox. Request ids are hashes of file and line, so they are left out."""
@@ -143,6 +165,42 @@ def t5_stream_ledger(spark, sf_dir):
     return shown_ledger(spark.read.parquet(f"{path}/ledger")).select(*_LEDGER_COLUMNS)
 
 
+def _settlement_inputs(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Sent batches and answers as JSON, in files that arrive one after the other: an answer up to four minutes after its
+    batch, those of odd batches a file later. At last time moves on, so that batches without an answer fail. -> requests."""
+    resolved = plans.resolved_requests(frame(spark, sf_dir, "requests"), requests.recipient_count(frame(spark, sf_dir, "recipients")), *[frame(spark, sf_dir, n) for n in ("template_target", "key_aliases", "channels")])
+    found = resolved.where("template_found").select("request_id")
+    many = frame(spark, sf_dir, "batches").groupBy("request_id").agg(F.count("*").alias("n_batches"))
+    begun = lambda seconds: (_as_of() + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("sent_ts")
+    sent = frame(spark, sf_dir, "batches").join(found, "request_id").join(many, "request_id").select("request_id", "batch_index", "batch_size", "n_batches", begun(F.col("request_id") * 60 + F.col("batch_index")))
+    none = resolved.join(sent, "request_id", "left_anti").select("request_id", F.lit(-1).cast("bigint").alias("batch_index"), F.lit(0).cast("bigint").alias("batch_size"), F.lit(0).cast("bigint").alias("n_batches"), begun(F.col("request_id") * 60))
+    answers = _responses(spark, sf_dir).join(sent.select("request_id", "batch_index", "sent_ts"), ["request_id", "batch_index"])
+    timed = answers.withColumn("answered_ts", F.col("sent_ts") + F.make_dt_interval(mins=F.pmod("batch_index", F.lit(5)).cast("int"))).drop("sent_ts")
+    tick = lambda day: (_as_of() + F.make_dt_interval(days=F.lit(day)))
+    no_batch = lambda day: spark.range(1).select(F.lit(-day).cast("bigint").alias("request_id"), F.lit(0).cast("bigint").alias("batch_index"), F.lit(0).cast("bigint").alias("batch_size"), F.lit(1).cast("bigint").alias("n_batches"), tick(day).alias("sent_ts"))
+    no_answer = lambda day: spark.range(1).select(F.lit(-day).cast("bigint").alias("request_id"), F.lit(-1).cast("bigint").alias("batch_index"), tick(day).alias("answered_ts"))
+    for part in (sent.union(none), no_batch(1), no_batch(2), no_batch(3)):
+        _as_json(part.coalesce(1), f"{path}/sent", "append")
+    for part in (timed.where("batch_index % 2 = 0"), timed.where("batch_index % 2 = 1"), no_answer(2), no_answer(3)):
+        _as_json(part.coalesce(1), f"{path}/answers", "append")
+    resolved.write.parquet(f"{path}/resolved")
+    return spark.read.parquet(f"{path}/resolved")
+
+
+@_query(_LEDGER_SHOWN)
+def t5_stream_settlement(spark, sf_dir):
+    """Batches and answers as two streams that meet by event time, one file of each in a micro-batch: the ledger is that of settle_campaign."""
+    path = scratch(spark)
+    resolved = _settlement_inputs(spark, sf_dir, path)
+    frame(spark, sf_dir, "prices").write.parquet(f"{path}/prices")
+    prices = readers.read_prices(spark, f"{path}/prices")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", job_state.PROVIDER)
+    for _ in range(2):  # the second run has nothing new
+        query = settlement.stream_settlement(readers.read_sent_batches(spark, f"{path}/sent", 1), readers.read_answers(spark, f"{path}/answers", 1), resolved, _as_of(), f"{path}/ledger", f"{path}/state", prices, wait="5 minutes")
+        _ended(query)
+    return shown_ledger(spark.read.parquet(f"{path}/ledger")).select(*_LEDGER_COLUMNS)
+
+
 @_query(_LEDGER_SHOWN)
 def settle_and_write_ledger(spark, sf_dir):
     """settle_campaign, its answers read from JSON, to write_send_ledger; written twice."""

@@ -42,6 +42,15 @@ def settle_campaign(resolved: DataFrame, batch_sizes: DataFrame, responses: Data
     return {"outcomes": outcomes, "settled": settled, "ledger": ledger.build_ledger_row(settled, delivery.collect_batch_results(outcomes), sent_at)}
 
 
+def settled_ledger(rolled: DataFrame, sent_at: Column, prices: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of resolved requests that stand beside the sums and results of their batches."""
+    sums = ("batch_count", "_all", "success_count", "sms_count", "fail_count", "actual_cost", "batch_results")
+    known = rolled.withColumnRenamed("all_ok", "_all")
+    settled = delivery.rolled_up(known, [c for c in known.columns if c not in sums], "batch_results")
+    costed = costing.with_flat_cost(settled) if prices is None else costing.with_priced_cost(resolve.attach_prices(settled, costing.price_pivot(prices)))
+    return ledger.build_ledger_row(costed.drop("batch_results"), costed.select("request_id", "batch_results"), sent_at)
+
+
 def sync_templates(source: DataFrame, target: DataFrame, updatable: list[str] = catalog.UPDATED, always: tuple[str, ...] = catalog.ALWAYS, synced_at: Column | None = None) -> dict[str, DataFrame]:
     """``merged`` (with the action of each code), ``counts`` and ``rejects`` (listed rows without a code). Every field of
     the listing is written unless fewer are named; ``synced_at`` is the time of the sync."""

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from herald.operators.access_log import parse_access_log
 from herald.operators.catalog import BUTTON, explode_templates, map_provider_template, unwrap_success_envelope
 
-RECIPIENT = f"struct<phoneNumber:string,name:string,variables:map<string,string>,content:string,buttons:array<{BUTTON}>,emtitle:string,failoverSubject:string,failoverMessage:string>"
+RECIPIENT = f"struct<phoneNumber:string,name:string,variables:string,content:string,buttons:array<{BUTTON}>,emtitle:string,failoverSubject:string,failoverMessage:string>"
 REQUEST = f"unionId string, senderId string, templateCode string, noticeId string, recipients array<{RECIPIENT}>, _corrupt_record string"
 ENVELOPE = "page bigint, code int, message string, list array<string>"
 RESPONSE = "request_id bigint, batch_index bigint, code int, message string, info struct<type:string,mid:string,current:string,unit:decimal(18,2),total:decimal(18,2),scnt:bigint,fcnt:bigint>"
+SENT = "request_id bigint, batch_index bigint, batch_size bigint, n_batches bigint, sent_ts timestamp"
 JOB_EVENT = "job_id bigint, event_id bigint, event_ts timestamp, status string, error string"
 
 
@@ -19,21 +21,41 @@ def _source(spark: SparkSession, stream: bool):
     return spark.readStream if stream else spark.read
 
 
-def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Send requests, one JSON object a line; a line that does not parse has ``corrupt_record``, and blank lines are none.
+def request_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The lines of request files as they are split for reading: ingest_file, ingest_block (where the split begins), value."""
+    return _source(spark, stream).text(path).select(F.col("_metadata.file_path").alias("ingest_file"), F.col("_metadata.file_block_start").alias("ingest_block"), "value")
 
-    ``ingest_file`` and ``ingest_line`` say where a row came from, whatever the splits: a file is read as one value (so
-    files should be far below 2 GB) and its lines are numbered from 0.
-    """
-    files = _source(spark, stream).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("ingest_file"), F.posexplode(F.split("value", "\r?\n")).alias("ingest_line", "line"))
-    parsed = F.from_json("line", REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = files.where(F.trim("line") != "").select("ingest_file", F.col("ingest_line").cast("bigint").alias("ingest_line"), parsed.alias("r")).select("ingest_file", "ingest_line", "r.*")
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """Adds ``ingest_line``, a line's number in its file from 0, whatever the splits: the lines of each split are counted
+    (the first of two passes; one row a split), the counts of a file's splits are summed, and a line has its place in its
+    split besides. No line is shuffled. On a stream, for the rows of one micro-batch."""
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    splits = placed.groupBy("ingest_file", "ingest_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy("ingest_file").orderBy("ingest_block").rowsBetween(W.unboundedPreceding, -1)
+    before = splits.select("ingest_file", "ingest_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    return placed.join(before, ["ingest_file", "ingest_block"]).withColumn("ingest_line", (F.col("_base") + F.col("_at") - F.col("_first")).cast("bigint")).drop("_at", "_first", "_base")
+
+
+def parse_requests(lines: DataFrame) -> DataFrame:
+    """Numbered lines as requests; a line that does not parse has ``corrupt_record``, and blank lines are none.
+
+    A recipient's ``variables`` stay JSON text, as a map would lose the order and the repeats of their keys."""
+    parsed = F.from_json("value", REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.where(F.trim("value") != "").select("ingest_file", "ingest_line", parsed.alias("r")).select("ingest_file", "ingest_line", "r.*")
     return rows.select(
         F.col("unionId").alias("union_id"), F.col("senderId").alias("sender_id"), F.col("templateCode").alias("template_code"), F.col("noticeId").alias("notice_id"), "recipients",
         F.col("_corrupt_record").alias("corrupt_record"), "ingest_file", "ingest_line",
     )
 
 
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Send requests, one JSON object a line, with file and line, which are the same for splits of any size.
+
+    A stream takes ``request_lines`` instead and numbers and parses each micro-batch."""
+    return parse_requests(numbered_lines(request_lines(spark, path)))
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -61,6 +83,21 @@ def read_provider_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE).json(path)
 
 
+def _file_stream(spark: SparkSession, schema: str, path: str, files: int | None) -> DataFrame:
+    source = spark.readStream.schema(schema)
+    return (source.option("maxFilesPerTrigger", files) if files else source).json(path)
+
+
+def read_sent_batches(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Sent batches as a stream of JSON files, at most ``files`` of them in a micro-batch."""
+    return _file_stream(spark, SENT, path, files)
+
+
+def read_answers(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The provider's answers as a stream of JSON files, with the time of the answer."""
+    return _file_stream(spark, f"{RESPONSE}, answered_ts timestamp", path, files)
+
+
 def read_job_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return _source(spark, stream).schema(JOB_EVENT).json(path)
 

@@ -26,17 +26,27 @@ def write_send_ledger(rows: DataFrame, path: str, key: str = "request_id") -> No
     rows.dropDuplicates([key]).write.mode("append").partitionBy("sent_date").parquet(path)
 
 
+def version_path(root: str, version: int) -> str:
+    return f"{root}/versions/{version:010d}"
+
+
 def write_template_snapshot(merged: DataFrame, root: str, version: int) -> str:
     """The catalogue after a merge, as a new version; the pointer table moves on only when it is whole."""
-    path = f"{root}/versions/{version:010d}"
+    path = version_path(root, version)
     merged.where("action <> 'delete'").drop("action").write.mode("overwrite").parquet(path)
     merged.sparkSession.createDataFrame([(version, path)], "version bigint, path string").write.mode("append").parquet(f"{root}/pointer")
     return path
 
 
-def newest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+def newest_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Number and path of the newest snapshot."""
     pointer = read_if_there(spark, f"{root}/pointer")
-    return None if pointer is None else spark.read.parquet(pointer.agg(F.max_by("path", "version")).first()[0])
+    return None if pointer is None else tuple(pointer.agg(F.max(F.struct("version", "path")).alias("x")).select("x.*").first())
+
+
+def newest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    found = newest_version(spark, root)
+    return None if found is None else spark.read.parquet(found[1])
 
 
 def write_outbox(params: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -1,14 +1,26 @@
-"""Continuous dispatch: requests are read as a stream, resolved against static tables, rendered and put into the outbox."""
+"""Continuous dispatch: requests are read as a stream, resolved against the newest lookups, rendered and put into the outbox.
+
+A request is resolved before its recipients are exploded, and the flags of its batches are taken from the nested array, so
+no recipient is shuffled before the outbox gathers batches. A micro-batch is read once, held on the executors (memory, then
+their disks; what is lost is read again) and serves both sinks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from herald.functions.columns import job_id, normalize_phone
+from herald.functions.columns import filled, job_id, normalize_phone, ordered_variables
 from herald.operators import batches, rendering, requests, resolve
-from herald.sources.writers import write_outbox
+from herald.plans.jobs import TEMPLATE_COLUMNS
+from herald.sources import readers, writers
+
+#: Templates, key aliases and channels.
+Lookups = tuple[DataFrame, DataFrame, DataFrame]
 
 
 def checked(rows: DataFrame) -> DataFrame:
@@ -18,42 +30,71 @@ def checked(rows: DataFrame) -> DataFrame:
     return judged.withColumn("request_id", job_id(F.col("ingest_file"), F.col("ingest_line")))
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """Accepted nested requests as recipients with request_id, position and batch: no shuffle, no streaming state.
+def resolved(judged: DataFrame, lookups: Lookups) -> DataFrame:
+    """Accepted requests that have a template, with it, sender and channel, and ``flags``, the failover flag of each batch.
 
     Recipients without a number are left out before positions are given, so slots have no gaps."""
-    accepted = checked(rows).where("reject_code is null").withColumn("recipients", F.filter("recipients", lambda r: r["phoneNumber"].isNotNull()))
-    each = accepted.select("request_id", "union_id", "template_code", F.posexplode("recipients").alias("seq", "r"))
-    flat = each.select(
-        "request_id", "union_id", "template_code", F.col("seq").cast("bigint").alias("seq"), F.col("r.phoneNumber").alias("phone_number"), F.map_entries("r.variables").alias("vars"),
+    templates, aliases, channels = lookups
+    accepted = judged.where("reject_code is null").withColumn("recipients", F.filter("recipients", lambda r: r["phoneNumber"].isNotNull()))
+    found = resolve.resolve_template(accepted, templates).where("template_found")
+    named = resolve.resolve_channel(resolve.resolve_sender_alias(found, aliases), channels)
+    failing = lambda part: F.coalesce("use_failover", F.lit(False)) | F.exists(part, lambda r: filled(r["failoverMessage"]).isNotNull())
+    return named.withColumn("flags", F.transform(batches.chunk_array(F.col("recipients")), lambda part: F.when(failing(part), "Y").otherwise("N")))
+
+
+def outbox(found: DataFrame) -> DataFrame:
+    """The outbox of resolved requests: long form. No shuffle."""
+    kept = [c for c in TEMPLATE_COLUMNS if c in found.columns]
+    each = found.select("request_id", *kept, "flags", F.posexplode("recipients").alias("seq", "r"))
+    placed = batches.assign_batches_nested(each.withColumn("seq", F.col("seq").cast("bigint")))
+    flat = placed.select(
+        "request_id", *kept, "seq", "batch_index", "slot", F.get("flags", F.col("batch_index").cast("int")).alias("failover"), F.col("r.phoneNumber").alias("phone_number"), F.col("r.variables").alias("variables"),
         F.col("r.content").alias("content"), F.col("r.buttons").alias("buttons"), F.col("r.emtitle").alias("emtitle"), F.col("r.failoverSubject").alias("failover_subject"), F.col("r.failoverMessage").alias("failover_message"),
     )
-    return batches.assign_batches_nested(flat.withColumn("receiver", normalize_phone(F.col("phone_number"))))
+    rendered = rendering.render_flagged(flat.withColumn("receiver", normalize_phone(F.col("phone_number"))), ordered_variables(F.col("variables")))
+    flags = found.select("request_id", F.posexplode("flags").alias("at", "failover")).select("request_id", F.col("at").cast("bigint").alias("batch_index"), "failover")
+    return batches.outbox_params(rendered, flags)
 
 
-def rejects(rows: DataFrame) -> DataFrame:
+def rejects(judged: DataFrame) -> DataFrame:
     """ingest_file, ingest_line, seq (of a recipient, else null), reject_code: lines that do not parse, requests that are
     not valid, recipients without a number."""
-    judged = checked(rows)
     whole = judged.where("reject_code is not null").select("ingest_file", "ingest_line", F.lit(None).cast("bigint").alias("seq"), "reject_code")
     each = judged.where("reject_code is null").select("ingest_file", "ingest_line", F.posexplode("recipients").alias("seq", "r")).where("r.phoneNumber is null")
     return whole.union(each.select("ingest_file", "ingest_line", F.col("seq").cast("bigint"), F.lit("NO_PHONE")))
 
 
-def outbox(recipients: DataFrame, templates: DataFrame, aliases: DataFrame, channels: DataFrame) -> DataFrame:
-    """The outbox of one micro-batch (or of a whole table): long form."""
-    found = resolve.resolve_template(recipients, templates).where("template_found")
-    resolved = resolve.resolve_channel(resolve.resolve_sender_alias(found, aliases), channels)
-    flags = batches.batch_failover_flag(resolved)
-    return batches.outbox_params(rendering.render(resolved, flags, F.col("vars")), flags)
+def newest_lookups(spark: SparkSession, catalogue: str, aliases: str, channels: str) -> Callable[[str], Lookups]:
+    """Lookups of a micro-batch: the catalogue's newest snapshot as the batch begins, aliases and channels as they are then.
+
+    The version that a batch uses is noted first (at the path it is given), so a batch that is run again uses the same."""
 
+    def lookups(note: str) -> Lookups:
+        noted = writers.read_if_there(spark, note)
+        if noted is None:
+            version, _ = writers.newest_version(spark, catalogue)
+            spark.createDataFrame([(version,)], "version bigint").write.mode("overwrite").parquet(note)
+        else:
+            version = noted.first()["version"]
+        return readers.read_templates(spark, writers.version_path(catalogue, version)), readers.read_key_aliases(spark, aliases), readers.read_channels(spark, channels)
 
-def stream_dispatch(stream: DataFrame, templates: DataFrame, aliases: DataFrame, channels: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    return lookups
+
+
+def stream_dispatch(lines: DataFrame, lookups: Lookups | Callable[[str], Lookups], path: str, checkpoint: str) -> StreamingQuery:
     """Start dispatching what is there and stop: ``path``/outbox and ``path``/rejects. A batch that is run again
-    overwrites its own part of both."""
+    overwrites its own part of both.
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        write_outbox(batches.outbox_wide(outbox(exploded(batch), templates, aliases, channels)), f"{path}/outbox", batch_id)
-        write_outbox(rejects(batch), f"{path}/rejects", batch_id)
+    ``lines``: a stream of ``readers.request_lines``; ``lookups``: fixed tables, or what gives them for each micro-batch."""
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def put(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        judged = checked(readers.parse_requests(readers.numbered_lines(held)))
+        tables = lookups(f"{path}/lookups/batch_id={batch_id}") if callable(lookups) else lookups
+        try:
+            writers.write_outbox(batches.outbox_wide(outbox(resolved(judged, tables))), f"{path}/outbox", batch_id)
+            writers.write_outbox(rejects(judged), f"{path}/rejects", batch_id)
+        finally:
+            held.unpersist()
+
+    return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -137,3 +137,12 @@ def test_fields_in_three_states(spark):
     assert (a["action"], a["template_name"], a["comments"], a["template_image_name"], a["cdate"], a["use_failover"], a["synced_at"].month) == ("update", "A2", None, "kept.png", None, True, 3)
     assert (b["action"], b["template_name"], b["comments"], b["cdate"].year, b["buttons"][0]["name"], b["use_failover"]) == ("insert", None, "new", 2024, "x", False)
     assert set(merged.columns) == {"action", "synced_at", "use_failover", *catalog.FIELDS.values()}
+
+
+@pytest.mark.parametrize("text, entries", [
+    ('{"10":"x","2":"y","b":"z","a":null}', [("2", "y"), ("10", "x"), ("b", "z"), ("a", None)]), ('{"b":"1","a":"2","b":"3"}', [("b", "3"), ("a", "2")]), ('{"01":"x","-1":"y","1":"z","4294967295":"u","4294967294":"v"}', [("1", "z"), ("4294967294", "v"), ("01", "x"), ("-1", "y"), ("4294967295", "u")]),
+    ('{"n":5,"t":true,"e":""}', [("n", "5"), ("t", "true"), ("e", "")]), ("{}", []), (None, None),
+])
+def test_ordered_variables(spark, text, entries):
+    got = one(spark, text, "string", fn.ordered_variables)
+    assert (None if got is None else [tuple(e) for e in got]) == entries

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from herald.operators import jobs
 from herald.sources import readers, writers
 from herald.sources.fixtures import frame
-from herald.streaming import dispatch, job_state, ledger
+from herald.streaming import dispatch, job_state, ledger, settlement
 
 WAIT = 120
 
@@ -76,15 +76,15 @@ def test_dispatch_stream(spark, tmp_path, sf_dir):
     for k in range(3):
         people = [{"phoneNumber": f"010-1234-{i:04d}" if i != 7 else None, "name": f"n{i}", "variables": {"name": f"n{i}", "order": str(i)}} for i in range(503)]
         (tmp_path / f"in/{k}.json").write_text(json.dumps({"unionId": str(k), "templateCode": f"Brand#{k + 1}", "recipients": people}) + "\n" + json.dumps({"unionId": "", "templateCode": "x", "recipients": []}) + "\n{broken\n")
-    stream = readers.read_requests(spark, str(tmp_path / "in"), stream=True)
-    query = dispatch.stream_dispatch(stream, templates, aliases, channels, str(tmp_path / "out"), str(tmp_path / "c"))
+    stream = readers.request_lines(spark, str(tmp_path / "in"), stream=True)
+    query = dispatch.stream_dispatch(stream, (templates, aliases, channels), str(tmp_path / "out"), str(tmp_path / "c"))
     assert query.awaitTermination(WAIT)
     once = spark.read.parquet(str(tmp_path / "out/outbox"))
     left = spark.read.parquet(str(tmp_path / "out/rejects")).groupBy("reject_code").count().collect()
     assert {r["reject_code"]: r["count"] for r in left} == {"CORRUPT": 3, "INVALID_PARAMS": 3, "NO_PHONE": 3}
     rows = sorted((r["request_id"], r["batch_index"], len(r["params"])) for r in once.collect())
     assert len(rows) == 6
-    batch = dispatch.outbox(dispatch.exploded(readers.read_requests(spark, str(tmp_path / "in"))), templates, aliases, channels)
+    batch = dispatch.outbox(dispatch.resolved(dispatch.checked(readers.read_requests(spark, str(tmp_path / "in"))), (templates, aliases, channels)))
     want = batch.groupBy("request_id", "batch_index").count().collect()
     assert rows == sorted((r["request_id"], r["batch_index"], r["count"]) for r in want)
     slots = {int(r["slot"]) for r in batch.where("batch_index = 0 and slot > 0").select("slot").distinct().collect()}
@@ -92,6 +92,76 @@ def test_dispatch_stream(spark, tmp_path, sf_dir):
     assert batch.where("param = 'message_1'").where(F.col("value").contains("Hello n0, order 0")).count() == 3
 
 
+def test_dispatch_uses_the_newest_snapshot(spark, tmp_path):
+    """A template stored between two micro-batches is used by the second; a batch run again uses the version it used; the
+    source is scanned once for both sinks."""
+    catalogue = lambda text: spark.createDataFrame([("t", "T", text, "keep")], "template_code string, template_name string, template_content string, action string").withColumns({c: F.lit(None).cast("string") for c in ("template_em_type", "template_title", "template_subtitle")}).withColumn("use_failover", F.lit(False))
+    spark.createDataFrame([("union_u_sender_key", "k")], "name string, key_alias string").write.parquet(str(tmp_path / "aliases"))
+    spark.createDataFrame([("u", "c")], "id string, kakao_channel_id string").write.parquet(str(tmp_path / "channels"))
+    lookups = dispatch.newest_lookups(spark, str(tmp_path / "catalogue"), str(tmp_path / "aliases"), str(tmp_path / "channels"))
+    (tmp_path / "in").mkdir()
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    for k in range(2):
+        writers.write_template_snapshot(catalogue(f"text {k} #{{2}}#{{10}}"), str(tmp_path / "catalogue"), k + 1)
+        (tmp_path / f"in/{k}.json").write_text('{"unionId":"u","templateCode":"t","recipients":[{"phoneNumber":"010","variables":{"b":"x","10":"#{b}","2":"#{10}"}}]}\n{broken\n')
+        lines = readers.request_lines(spark, str(tmp_path / "in"), stream=True)
+        assert dispatch.stream_dispatch(lines.mapInPandas(counted, lines.schema), lookups, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(WAIT)
+    sent = spark.read.parquet(str(tmp_path / "out/outbox")).select("batch_id", F.inline("params")).where("param = 'message_1'")
+    assert {(r["batch_id"], r["value"]) for r in sent.collect()} == {(0, "text 0 xx"), (1, "text 1 xx")}
+    assert reads.value == 4
+    assert lookups(str(tmp_path / "out/lookups/batch_id=0"))[0].first()["template_content"].startswith("text 0")
+
+
+def test_request_lines_whatever_the_splits(spark, tmp_path):
+    """Splits of 1 KB and of 128 MB give the same lines of each file, blank and long ones included."""
+    (tmp_path / "in").mkdir()
+    texts = [[json.dumps({"unionId": f"{f}-{k}", "recipients": [{"name": "x" * (k * 37 % 3000)}]}) if k % 7 else "" for k in range(200)] for f in range(2)]
+    for f, part in enumerate(texts):
+        (tmp_path / f"in/{f}.json").write_bytes(("\r\n" if f else "\n").join(part).encode() + b"\n")
+    size, found = "spark.sql.files.maxPartitionBytes", []
+    held = spark.conf.get(size)
+    try:
+        for bytes_ in ("1k", "128m"):
+            spark.conf.set(size, bytes_)
+            rows = readers.read_requests(spark, str(tmp_path / "in"))
+            found.append({(r["union_id"], r["ingest_file"][-6:], r["ingest_line"]) for r in rows.collect()})
+            splits = readers.request_lines(spark, str(tmp_path / "in")).select("ingest_file", "ingest_block").distinct().count()
+            assert splits > 100 if bytes_ == "1k" else splits == 2
+    finally:
+        spark.conf.set(size, held)
+    assert found[0] == found[1] == {(f"{f}-{k}", f"{f}.json", k) for f in range(2) for k in range(200) if k % 7}
+
+
+def test_settlement_stream(spark, tmp_path):
+    """Answers that are split over files, come twice, come too late, or never."""
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda s: (t + datetime.timedelta(seconds=s)).isoformat()
+    sent = [(1, 0, 500, 2, at(0)), (1, 1, 20, 2, at(1)), (2, 0, 10, 1, at(2)), (3, 0, 7, 1, at(3)), (4, -1, 0, 0, at(4)), (5, 0, 9, 1, at(5))]
+    ok = lambda n: {"code": 0, "info": {"scnt": n - 1, "fcnt": 1, "total": 9}}
+    answers = [[(1, 0, at(30), ok(500)), (2, 0, at(40), {"code": -5, "message": "no"})], [(1, 0, at(31), ok(400)), (3, 0, at(900), ok(7))], [(1, 1, at(200), ok(20))]]
+    days = [[(-d, 0, 1, 1, at(86400 * d))] for d in (1, 2)]
+    put = lambda name, k, rows: ((tmp_path / name).mkdir(exist_ok=True), (tmp_path / f"{name}/{k}.json").write_text("\n".join(map(json.dumps, rows))), os.utime(tmp_path / f"{name}/{k}.json", (1.7e9 + 10 * k,) * 2))
+    for k, rows in enumerate([sent, [], [], *days]):
+        put("sent", k, [dict(zip(("request_id", "batch_index", "batch_size", "n_batches", "sent_ts"), r)) for r in rows])
+    for k, rows in enumerate([*answers, *[[(-d, 0, at(86400 * d), {})] for d in (1, 2)]]):
+        put("answers", k, [{"request_id": r, "batch_index": b, "answered_ts": a, **x} for r, b, a, x in rows])
+    shape = "request_id long, template_code string, template_found boolean, recipient_count long, union_id string, sender_id string, sender_alias string, channel_name string, template_name string, template_content string, notice_id string"
+    requests = spark.createDataFrame([(k, "t", k != 4, n, *["x"] * 7) for k, n in ((1, 520), (2, 10), (3, 7), (4, 30), (5, 9), (6, 1))], shape)
+    for _ in range(2):
+        query = settlement.stream_settlement(readers.read_sent_batches(spark, str(tmp_path / "sent"), 1), readers.read_answers(spark, str(tmp_path / "answers"), 1), requests, F.lit(t).cast("timestamp"), str(tmp_path / "ledger"), str(tmp_path / "c"), wait="5 minutes")
+        assert query.awaitTermination(WAIT)
+    got = {r["request_id"]: (r["success"], r["success_count"], r["fail_count"], len(r["batch_results"]), float(r["total_cost"])) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()}
+    assert got == {1: (True, 518, 2, 2, 518 * 9), 2: (False, 0, 10, 1, 0), 3: (False, 0, 7, 1, 0), 4: (False, 0, 30, 0, 0), 5: (False, 0, 9, 1, 0)}
+    errors = {r["request_id"]: r["batch_results"][0]["error"] for r in spark.read.parquet(str(tmp_path / "ledger")).where("request_id in (2, 3)").collect()}
+    assert errors == {2: "no", 3: "NO_RESPONSE"}
+
+
 def test_ledger_replay(spark, tmp_path):
     rows = spark.createDataFrame([(k, "2024-01-01" if k % 2 else "2024-01-02") for k in range(10)], "request_id long, sent_date string")
     rows.write.parquet(str(tmp_path / "in"))
@@ -113,7 +183,7 @@ def test_snapshots_and_sources(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"unionId":"u","templateCode":"t","recipients":[{"phoneNumber":"1","variables":{"k":"1","k":"2"}}]}\n{broken\n')
     found = readers.read_requests(spark, str(tmp_path / "r.json")).collect()
     assert sum(r["corrupt_record"] is not None for r in found) == 1
-    assert next(r for r in found if r["union_id"])["recipients"][0]["variables"] == {"k": "2"}
+    assert next(r for r in found if r["union_id"])["recipients"][0]["variables"] == '{"k":"1","k":"2"}'
     (tmp_path / "l.txt").write_text("[2024-01-01 00:00:01] [INFO] GET /a - 200 (12ms)\n")
     assert readers.read_access_log(spark, str(tmp_path / "l.txt")).first()["path"] == "/a"
 
