@@ -90,6 +90,14 @@ def key_name(union_id: Column) -> Column:
 ACCESS_LINE = r"^\[([^\]]+)\] \[([A-Z]+)\] ([A-Z]+) (\S+) - ([0-9]{3}) \(([0-9]+)ms\)$"
 
 
+ACCESS_START = r"^\[[^\]]+\] [A-Z]+ \S+$"
+
+
+def access_line_kind(line: Column) -> Column:
+    """``finish`` (a call's end, with its status and duration), ``start`` (its begin) or ``other``; null counts as other."""
+    return F.when(line.rlike(ACCESS_LINE), "finish").when(line.rlike(ACCESS_START), "start").otherwise("other")
+
+
 def parse_access_line(line: Column) -> Column:
     """Struct of ts, level, method, path, status, duration_ms; null for another kind of line."""
     part = lambda k: F.regexp_extract(line, ACCESS_LINE, k)

@@ -11,6 +11,8 @@ FINISHED = ("completed", "failed")
 QUEUE_LIMIT = 100
 TIME_OUT = "5 minutes"
 RETENTION = "1 hour"
+#: Rows of an hour up to which it is one range of the depth series, and ranges of a busier one.
+RANGE, CUTS = 1_000_000, 512
 
 
 def fold_job_state(events: DataFrame) -> DataFrame:
@@ -31,19 +33,34 @@ def queue_gauge(state: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
     return counted.withColumns({"is_full": used >= limit, "available": F.greatest(F.lit(limit) - used, F.lit(0).cast("bigint"))})
 
 
-def queue_depth_series(events: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
+def depth_ranges(rows: DataFrame, most: int = RANGE) -> DataFrame:
+    """Adds ``_hour`` and ``_range``: ranges of (event_ts, event_id), in order. An hour of more than ``most`` rows is cut at
+    approximate quantiles of its rows, by time and, within one time, by event id, so one instant may be many ranges."""
+    hourly = rows.withColumn("_hour", F.date_trunc("hour", "event_ts"))
+    hot = hourly.groupBy("_hour").agg(F.count("*").alias("_n"), F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi")).where(F.col("_n") > most).drop("_n")
+    micros = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("_hour").cast("timestamp"))
+    key = micros + (F.col("event_id").cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo") + 1)  # never falls in the order of (event_ts, event_id)
+    edges = hourly.join(hot, "_hour").groupBy("_hour").agg(F.percentile_approx(key, [k / CUTS for k in range(1, CUTS)], 10 * CUTS).alias("_edges"))
+    known = hourly.join(hot.join(edges, "_hour"), "_hour", "left")
+    jump = lambda acc, step: F.when((F.get("_edges", acc + step - 1) <= key).eqNullSafe(True), acc + step).otherwise(acc)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(CUTS.bit_length()))])
+    return known.withColumn("_range", F.when(F.col("_edges").isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), jump))).drop("_lo", "_hi", "_edges")
+
+
+def queue_depth_series(events: DataFrame, limit: int = QUEUE_LIMIT, most: int = RANGE) -> DataFrame:
     """event_ts, event_id, job_id, delta, depth, is_full: +1 at a job's first event, -1 at its last finish.
 
-    Deltas are summed per hour, hours are prefix-summed (one row an hour), and rows are summed inside their hour.
+    Deltas are summed per range of time (an hour, or a part of a busy one), ranges are prefix-summed (one row each), and
+    rows are summed inside their range.
     """
     key = F.struct("event_ts", "event_id")
     ends = events.groupBy("job_id").agg(F.min(key).alias("up"), F.max(F.when(F.col("status").isin(*FINISHED), key)).alias("down"))
     deltas = ends.select("job_id", F.explode(F.array(F.struct(F.col("up").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("down").alias("at"), F.lit(-1).alias("delta")))).alias("x")).where("x.at is not null")
-    rows = deltas.select("x.at.event_ts", "x.at.event_id", "job_id", "x.delta").withColumn("_hour", F.date_trunc("hour", "event_ts"))
-    hours = rows.groupBy("_hour").agg(F.sum("delta").alias("_sum"))
-    before = hours.select("_hour", F.coalesce(F.sum("_sum").over(W.orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.sum("delta").over(W.partitionBy("_hour").orderBy("event_ts", "event_id", F.col("delta").desc()).rowsBetween(W.unboundedPreceding, 0))
-    depth = rows.withColumn("_in", inside).join(before, "_hour").withColumn("depth", (F.col("_base") + F.col("_in")).cast("bigint"))
+    rows = depth_ranges(deltas.select("x.at.event_ts", "x.at.event_id", "job_id", "x.delta"), most)
+    part = ["_hour", "_range"]
+    before = rows.groupBy(*part).agg(F.sum("delta").alias("_sum")).select(*part, F.coalesce(F.sum("_sum").over(W.orderBy(*part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.sum("delta").over(W.partitionBy(*part).orderBy("event_ts", "event_id", F.col("delta").desc()).rowsBetween(W.unboundedPreceding, 0))
+    depth = rows.withColumn("_in", inside).join(before, part).withColumn("depth", (F.col("_base") + F.col("_in")).cast("bigint"))
     return depth.select("event_ts", "event_id", "job_id", "delta", "depth").withColumn("is_full", F.col("depth") >= limit)
 
 

@@ -6,14 +6,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from herald.operators import batches, requests
 from herald.plans import jobs as plans
-from herald.plans.registry import _BUTTON, _LEDGER, _LISTED, _OUTBOX, _PLAIN, _RESOLVED, _SHOWN, _STATE, _STATES, _SYNCED, _TRISTATE, AS_OF, _envelopes, _lines, _planned, _query, _responses, _settled, shown_catalog, shown_ledger, synced
+from herald.plans.registry import _BUTTON, _LEDGER, _LISTED, _OUTBOX, _PLAIN, _RESOLVED, _SHOWN, _STATE, _STATES, _SYNCED, _TRISTATE, AS_OF, _envelopes, _lines, _planned, _query, _responses, _settled, _shown_lines, shown_catalog, shown_ledger, synced
 from herald.sources import readers, writers
 from herald.sources.fixtures import frame, with_sql
-from herald.streaming import dispatch, job_state, ledger, settlement
+from herald.streaming import access_log, dispatch, job_state, ledger, settlement
 
 #: Seconds that a stream over the given tables may take.
 WAIT = 3600
@@ -162,7 +163,7 @@ def t5_stream_ledger(spark, sf_dir):
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     for run in ("a", "b"):
         _ended(ledger.stream_ledger(stream, f"{path}/ledger", f"{path}/{run}"))
-    return shown_ledger(spark.read.parquet(f"{path}/ledger")).select(*_LEDGER_COLUMNS)
+    return shown_ledger(readers.read_ledger(spark, f"{path}/ledger")).select(*_LEDGER_COLUMNS)
 
 
 def _settlement_inputs(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
@@ -198,7 +199,7 @@ def t5_stream_settlement(spark, sf_dir):
     for _ in range(2):  # the second run has nothing new
         query = settlement.stream_settlement(readers.read_sent_batches(spark, f"{path}/sent", 1), readers.read_answers(spark, f"{path}/answers", 1), resolved, _as_of(), f"{path}/ledger", f"{path}/state", prices, wait="5 minutes")
         _ended(query)
-    return shown_ledger(spark.read.parquet(f"{path}/ledger")).select(*_LEDGER_COLUMNS)
+    return shown_ledger(readers.read_ledger(spark, f"{path}/ledger")).select(*_LEDGER_COLUMNS)
 
 
 @_query(_LEDGER_SHOWN)
@@ -209,8 +210,21 @@ def settle_and_write_ledger(spark, sf_dir):
     resolved = plans.resolved_requests(frame(spark, sf_dir, "requests"), frame(spark, sf_dir, "recipients").groupBy("request_id").agg(F.count("*").alias("recipient_count")), *[frame(spark, sf_dir, n) for n in ("template_target", "key_aliases", "channels")])
     rows = plans.settle_campaign(resolved, frame(spark, sf_dir, "batches"), answers, _as_of(), frame(spark, sf_dir, "prices"))["ledger"]
     for _ in range(2):
-        writers.write_send_ledger(rows, f"{path}/ledger")
-    return shown_ledger(spark.read.parquet(f"{path}/ledger")).select(*_LEDGER_COLUMNS)
+        writers.write_send_ledger(rows, f"{path}/ledger", frame(spark, sf_dir, "recipients"))
+    return shown_ledger(readers.read_ledger(spark, f"{path}/ledger")).select(*_LEDGER_COLUMNS)
+
+
+@_query(_LEDGER + f" select r.request_id, seq, phone_number, name, date '{AS_OF[:10]}' as sent_date from recipients r join ledger l on r.request_id = l.request_id")
+def ledger_recipients(spark, sf_dir):
+    """The recipients of the ledger's requests, as the child table that one commit writes with it; written twice, after a
+    commit that died between the two tables and so does not count."""
+    path = scratch(spark)
+    rows, people = _settled(spark, sf_dir, priced=True)["ledger"], frame(spark, sf_dir, "recipients").select("request_id", "seq", "phone_number", "name")
+    half = rows.withColumn("commit", F.lit("died"))
+    writers._put(half, f"{path}/ledger")
+    for _ in range(2):
+        writers.write_send_ledger(rows, path, people)
+    return readers.read_recipients(spark, path).select("request_id", "seq", "phone_number", "name", "sent_date")
 
 
 @_query(_OUTBOX.format("request_id, "))
@@ -219,7 +233,7 @@ def plan_and_write_outbox(spark, sf_dir):
     path = scratch(spark)
     wide = batches.outbox_wide(_planned(spark, sf_dir)["outbox"])
     for _ in range(2):
-        writers.write_outbox(wide, path)
+        writers.write_outbox(wide, path, run_date=AS_OF[:10])
     return spark.read.parquet(path).select("request_id", "batch_index", F.inline("params")).select("request_id", "batch_index", "slot", "param", "value")
 
 
@@ -263,6 +277,56 @@ def read_access_log(spark, sf_dir):
     return readers.read_access_log(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _lines_in_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Access lines in the order of time in three files; at the last one lines that begin a call, others, and a much later time."""
+    third = F.ntile(3).over(W.orderBy("ts", "event_id"))
+    rows = frame(spark, sf_dir, "access_log").withColumn("part", third)
+    for k in (1, 2, 3):
+        _shown_lines(rows.where(F.col("part") == k)).coalesce(1).write.mode("append").text(path)
+    others = frame(spark, sf_dir, "region").select(F.explode(F.array(F.concat(F.lit("[2024-01-01 00:00:00] GET /"), F.col("r_regionkey").cast("string")), F.concat(F.lit("broken "), "r_name"), F.lit(" "))).alias("value"))
+    for day in (1, 2, 3):
+        later = spark.range(1).select(F.concat(F.lit("["), F.date_format(F.lit("2100-01-01").cast("timestamp") + F.make_dt_interval(days=F.lit(day)), "yyyy-MM-dd HH:mm:ss"), F.lit("] [INFO] GET /later - 200 (1ms)")).alias("value"))
+        (later.union(others) if day == 1 else later).coalesce(1).write.mode("append").text(path)
+
+
+def _access_stream(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark)
+    _lines_in_files(spark, sf_dir, f"{path}/in")
+    for query in access_log.stream_access_log(readers.access_lines(spark, f"{path}/in", stream=True, files=1), path, f"{path}/state"):
+        _ended(query)
+    return path
+
+
+@_query(with_sql("access_log") + " select date_trunc('hour', ts) as window_start, method, path, count(*) as calls, count(*) filter (where status >= 400) as errors, cast(sum(duration_ms) as bigint) as duration_ms from access_log group by 1, 2, 3")
+def l1_stream_levels(spark, sf_dir):
+    """The access log as a stream: hourly counts, each window once it has ended."""
+    rows = spark.read.parquet(_access_stream(spark, sf_dir) + "/levels").where("path <> '/later'")
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@_query("select 'broken ' || r_name as value, 'NO_ACCESS_LINE' as reject_code from region")
+def l1_stream_rejects(spark, sf_dir):
+    """Lines that begin or end no call."""
+    return spark.read.parquet(_access_stream(spark, sf_dir) + "/rejects")
+
+
+_FILES, _LATE = 4, "10 days"
+
+
+@_query(with_sql("job_events") + f""", e as (select *, (event_id * 7 + job_id) % {_FILES} as k from job_events),
+m as (select k, max(max(event_ts)) over (order by k rows between unbounded preceding and 1 preceding) - interval {_LATE} as mark from e group by k)
+select event_id, job_id, event_ts, status, error, case when event_ts <= mark then 'LATE' end as reject_code from e join m on e.k = m.k""")
+def t2_stream_late_events(spark, sf_dir):
+    """Job events whose files arrive out of the order of time, split by the watermark: late ones are kept, with a code."""
+    path = scratch(spark)
+    events = frame(spark, sf_dir, "job_events")
+    for k in range(_FILES):
+        _as_json(events.where((F.col("event_id") * 7 + F.col("job_id")) % _FILES == k).coalesce(1), f"{path}/in", "append")
+    _ended(job_state.gate(readers.read_job_events(spark, f"{path}/in", stream=True, files=1), path, f"{path}/state", _LATE))
+    both = spark.read.parquet(f"{path}/accepted").unionByName(spark.read.parquet(f"{path}/late"), allowMissingColumns=True)
+    return both.select("event_id", "job_id", F.col("event_ts").cast("timestamp_ntz").alias("event_ts"), "status", "error", "reject_code")
+
+
 @_query(_STATE + f""" select job_id, status, started_at, completed_at, coalesce(coalesce(completed_at, timestamp '{AS_OF}') > started_at + interval 5 minutes, false) as timed_out from state
 where completed_at is null or completed_at >= timestamp '{AS_OF}' - interval 1 hour""")
 def job_report_state(spark, sf_dir):

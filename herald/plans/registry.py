@@ -406,8 +406,12 @@ def f11_job_id(spark, sf_dir):
 
 
 def _lines(spark, sf_dir) -> DataFrame:
+    return _shown_lines(frame(spark, sf_dir, "access_log"))
+
+
+def _shown_lines(calls: DataFrame) -> DataFrame:
     level = F.when(F.col("status") >= 400, "ERROR").otherwise("INFO")
-    return frame(spark, sf_dir, "access_log").select(F.format_string("[%s] [%s] %s %s - %d (%dms)", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, "method", "path", "status", "duration_ms").alias("value"))
+    return calls.select(F.format_string("[%s] [%s] %s %s - %d (%dms)", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, "method", "path", "status", "duration_ms").alias("value"))
 
 
 @_query(with_sql("access_log") + " select date_trunc('second', ts) as ts, case when status >= 400 then 'ERROR' else 'INFO' end as level, method, path, status, duration_ms from access_log")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from herald.operators.access_log import parse_access_log
 from herald.operators.catalog import BUTTON, explode_templates, map_provider_template, unwrap_success_envelope
+from herald.sources.writers import read_ledger, read_recipients  # noqa: F401  the ledger's readers
 
 RECIPIENT = f"struct<phoneNumber:string,name:string,variables:string,content:string,buttons:array<{BUTTON}>,emtitle:string,failoverSubject:string,failoverMessage:string>"
 REQUEST = f"unionId string, senderId string, templateCode string, noticeId string, recipients array<{RECIPIENT}>, _corrupt_record string"
@@ -98,9 +99,17 @@ def read_answers(spark: SparkSession, path: str, files: int | None = None) -> Da
     return _file_stream(spark, f"{RESPONSE}, answered_ts timestamp", path, files)
 
 
-def read_job_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    return _source(spark, stream).schema(JOB_EVENT).json(path)
+def read_job_events(spark: SparkSession, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """Job transitions; of a stream at most ``files`` files in a micro-batch."""
+    return _file_stream(spark, JOB_EVENT, path, files) if stream else spark.read.schema(JOB_EVENT).json(path)
+
+
+def access_lines(spark: SparkSession, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """Lines of the access log (``value``), at most ``files`` files of them in a micro-batch."""
+    source = _source(spark, stream)
+    return (source.option("maxFilesPerTrigger", files) if files else source).text(path)
 
 
 def read_access_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    return parse_access_log(_source(spark, stream).text(path))
+    """The calls that ended, as columns; ``operators.access_log.access_log_rejects`` of ``access_lines`` has what is no access line."""
+    return parse_access_log(access_lines(spark, path, stream))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+
+from herald.sources.writers import read_if_there
 
 STATE = "status string, created_us bigint, started_us bigint, completed_us bigint, error string, last_us bigint, last_event bigint, error_us bigint, error_event bigint"
 OUTPUT = "job_id bigint, status string, created_us bigint, started_us bigint, completed_us bigint, error string, timed_out boolean"
@@ -79,15 +83,64 @@ class JobProcessor(StatefulProcessor):
         pass
 
 
-def late_events(query) -> int:
-    """Events that came behind the watermark and were left out, as a query's progress counts them."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateEvents(StreamingQueryListener):
+    """Adds up the events that came behind the watermark of a query and were left out, over all its micro-batches: a
+    query's own ``recentProgress`` forgets all but the last ones. Add it to ``spark.streams`` before the query starts."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        found = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + found
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def of(self, query, wait: float = 60) -> int:
+        """The number for a query that has ended; waits till its last progress has been told."""
+        until = time.monotonic() + wait
+        while str(query.id) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.dropped.get(str(query.id), 0)
+
+
+def gate(events: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", time_column: str = "event_ts") -> StreamingQuery:
+    """Split a stream of events by its watermark, and stop: ``path``/accepted and ``path``/late (with ``reject_code``).
+
+    The watermark of a micro-batch is the largest event time of those before it, less ``late``; an event at or behind it is
+    late. It is noted at ``path``/marks before a batch is split, so a batch that is run again is split alike, and both
+    tables have a folder a batch. A stateful stream over ``accepted`` with the same or a longer ``late`` leaves no event
+    out: its own watermark, of fewer events, is never ahead of the gate's.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            marks = read_if_there(spark, f"{path}/marks")
+            mark = None if marks is None else marks.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+            held.agg(F.max(time_column).alias("newest")).write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+            behind = F.lit(False) if mark is None else F.coalesce(F.col(time_column) <= F.lit(mark) - F.expr(f"interval {late}"), F.lit(False))
+            held.where(~behind).write.mode("overwrite").parquet(f"{path}/accepted/batch_id={batch_id}")
+            held.where(behind).withColumn("reject_code", F.lit("LATE")).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        finally:
+            held.unpersist()
+
+    return events.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_job_state(events: DataFrame, late: str = "10 minutes", time_out_ms: int = 300_000, retention_ms: int = 3_600_000, abandon_ms: int = 86_400_000) -> DataFrame:
     """A stream of job states in update mode. The session's state store must be RocksDB (see PROVIDER).
 
-    An event more than ``late`` behind the newest one is left out; ``late_events`` counts them."""
+    An event more than ``late`` behind the newest one is left out; ``LateEvents`` counts them, ``gate`` keeps their rows."""
     timed = events.withWatermark("event_ts", late).withColumn("event_us", F.unix_micros("event_ts"))
     states = timed.groupBy("job_id").transformWithStateInPandas(JobProcessor(time_out_ms, retention_ms, abandon_ms), OUTPUT, "Update", "EventTime")
     at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_at")

@@ -108,8 +108,9 @@ def test_job_fold_and_retention(spark):
 
 
 def test_access_lines(spark):
-    lines = spark.createDataFrame([("[2024-01-01 00:00:01] [INFO] GET /a - 404 (12ms)",), ("junk",)], "value string")
+    lines = spark.createDataFrame([("[2024-01-01 00:00:01] [INFO] GET /a - 404 (12ms)",), ("junk",), ("[2024-01-01 00:00:01] GET /a",), (None,), (" ",)], "value string")
     assert [(r["level"], r["method"], r["path"], r["status"], r["duration_ms"]) for r in access_log.parse_access_log(lines).collect()] == [("ERROR", "GET", "/a", 404, 12)]
+    assert [tuple(r) for r in access_log.access_log_rejects(lines).collect()] == [("junk", "NO_ACCESS_LINE")]
 
 
 @pytest.mark.parametrize("text, hour", [("2024-02-01 04:05:06", 4), ("2024-02-01T04:05:06", 4), ("2024-02-01T04:05:06Z", 4), ("2024-02-01T04:05:06.123Z", 4), ("2024-02-01T04:05:06+09:00", 19), ("2024-02-01", 0), (" 2024-02-01 04:05 ", 4), ("2024-02", 0), ("04:05:06", None), ("on day 3", None), ("2024-13-01", None), ("", None), (None, None)])
@@ -146,3 +147,20 @@ def test_fields_in_three_states(spark):
 def test_ordered_variables(spark, text, entries):
     got = one(spark, text, "string", fn.ordered_variables)
     assert (None if got is None else [tuple(e) for e in got]) == entries
+
+
+def test_depth_of_a_busy_minute(spark):
+    """Very many events within a minute, half of them at one instant: ranges of bounded size, and the depth of one window over all."""
+    n = 100_000
+    events = spark.range(n).select((F.col("id") / 2).cast("bigint").alias("job_id"), F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, F.lit("pending")).otherwise("completed").alias("status"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.when(F.col("id") < n / 2, F.lit(7)).otherwise(F.pmod(F.xxhash64("id"), F.lit(60))).cast("decimal(18,6)"))).alias("event_ts"))
+    deltas = events.withColumn("delta", F.lit(1))
+    sizes = [r["count"] for r in jobs.depth_ranges(deltas, 1000).groupBy("_hour", "_range").count().collect()]
+    assert sum(sizes) == n and len(sizes) > 400 and max(sizes) < 4 * n / jobs.CUTS
+    assert [r["count"] for r in jobs.depth_ranges(deltas, n).groupBy("_hour", "_range").count().collect()] == [n]
+    got, want = (sorted((r["event_ts"], r["event_id"], -r["delta"], r["depth"]) for r in jobs.queue_depth_series(events, most=m).collect()) for m in (1000, 10 * n))
+    assert got == want and len(got) == n
+    depth = 0
+    for _, _, delta, shown in got:
+        depth -= delta
+        assert shown == depth

@@ -4,12 +4,13 @@ import datetime
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from herald.operators import jobs
 from herald.sources import readers, writers
 from herald.sources.fixtures import frame
-from herald.streaming import dispatch, job_state, ledger, settlement
+from herald.streaming import access_log, dispatch, job_state, ledger, settlement
 
 WAIT = 120
 
@@ -47,11 +48,13 @@ def test_time_out_stream(spark, tmp_path):
         (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(("job_id", "event_id", "event_ts", "status"), r))) for r in rows))
         os.utime(tmp_path / f"in/{k}.json", (1.7e9 + 10 * k,) * 2)  # the source reads files by the time of their change
     stream = spark.readStream.schema(readers.JOB_EVENT).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in"))
-    got = []
+    got, told = [], job_state.LateEvents()
+    spark.streams.addListener(told)
     query = job_state.stream_job_state(stream, "1 minute").writeStream.foreachBatch(lambda b, _: got.extend((r["job_id"], r["timed_out"]) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(WAIT)
     assert (1, False) in got and (1, True) in got and (2, True) not in got
-    assert 4 not in {j for j, _ in got} and job_state.late_events(query) == 1
+    assert 4 not in {j for j, _ in got} and told.of(query) == 1
+    spark.streams.removeListener(told)
 
 
 def test_state_ends(spark, tmp_path):
@@ -156,19 +159,51 @@ def test_settlement_stream(spark, tmp_path):
     for _ in range(2):
         query = settlement.stream_settlement(readers.read_sent_batches(spark, str(tmp_path / "sent"), 1), readers.read_answers(spark, str(tmp_path / "answers"), 1), requests, F.lit(t).cast("timestamp"), str(tmp_path / "ledger"), str(tmp_path / "c"), wait="5 minutes")
         assert query.awaitTermination(WAIT)
-    got = {r["request_id"]: (r["success"], r["success_count"], r["fail_count"], len(r["batch_results"]), float(r["total_cost"])) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()}
+    got = {r["request_id"]: (r["success"], r["success_count"], r["fail_count"], len(r["batch_results"]), float(r["total_cost"])) for r in readers.read_ledger(spark, str(tmp_path / "ledger")).collect()}
     assert got == {1: (True, 518, 2, 2, 518 * 9), 2: (False, 0, 10, 1, 0), 3: (False, 0, 7, 1, 0), 4: (False, 0, 30, 0, 0), 5: (False, 0, 9, 1, 0)}
-    errors = {r["request_id"]: r["batch_results"][0]["error"] for r in spark.read.parquet(str(tmp_path / "ledger")).where("request_id in (2, 3)").collect()}
+    errors = {r["request_id"]: r["batch_results"][0]["error"] for r in readers.read_ledger(spark, str(tmp_path / "ledger")).where("request_id in (2, 3)").collect()}
     assert errors == {2: "no", 3: "NO_RESPONSE"}
 
 
+def _finished(spark, keys):
+    return spark.createDataFrame([(k, datetime.date(2024, 1, 1 + k % 2)) for k in keys], "request_id long, sent_date date")
+
+
 def test_ledger_replay(spark, tmp_path):
-    rows = spark.createDataFrame([(k, "2024-01-01" if k % 2 else "2024-01-02") for k in range(10)], "request_id long, sent_date string")
+    rows = _finished(spark, range(10))
     rows.write.parquet(str(tmp_path / "in"))
+    people = spark.createDataFrame([(k, n) for k in range(12) for n in range(3)], "request_id long, seq long")
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     for run in ("a", "b"):
-        assert ledger.stream_ledger(stream, str(tmp_path / "ledger"), str(tmp_path / run)).awaitTermination(WAIT)
-    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 10
+        assert ledger.stream_ledger(stream, str(tmp_path / "ledger"), str(tmp_path / run), recipients=people).awaitTermination(WAIT)
+    assert sorted(map(tuple, readers.read_ledger(spark, str(tmp_path / "ledger")).select("request_id", "sent_date").collect())) == sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, readers.read_recipients(spark, str(tmp_path / "ledger")).select("request_id", "seq").collect())) == [(k, n) for k in range(10) for n in range(3)]
+
+
+def test_ledger_job_that_dies_between_its_tables(spark, tmp_path, monkeypatch):
+    """Readers see neither half of a commit that was not finished; the replay brings both tables, whole and once."""
+    path, people = str(tmp_path / "l"), spark.createDataFrame([(k, n) for k in range(6) for n in range(2)], "request_id long, seq long")
+    assert readers.read_ledger(spark, path) is None and readers.read_recipients(spark, path) is None
+    writers.write_send_ledger(_finished(spark, [0, 1]), path, people)
+    put, calls = writers._put, []
+
+    def dies(rows, where):
+        calls.append(where)
+        if where.endswith("/recipients"):
+            raise RuntimeError("lost")
+        put(rows, where)
+
+    keys = lambda rows: sorted(r["request_id"] for r in rows.collect())
+    for _ in range(2):
+        monkeypatch.setattr(writers, "_put", dies)
+        with pytest.raises(RuntimeError):
+            writers.write_send_ledger(_finished(spark, range(6)), path, people)
+        assert keys(readers.read_ledger(spark, path)) == [0, 1] and keys(readers.read_recipients(spark, path)) == [0, 0, 1, 1]
+    assert len(calls) == 4
+    monkeypatch.setattr(writers, "_put", put)
+    for _ in range(2):
+        writers.write_send_ledger(_finished(spark, range(6)), path, people)
+        assert keys(readers.read_ledger(spark, path)) == list(range(6)) and keys(readers.read_recipients(spark, path)) == sorted([*range(6)] * 2)
 
 
 def test_snapshots_and_sources(spark, tmp_path):
@@ -196,7 +231,65 @@ def test_equal_requests_have_two_ids(spark, tmp_path):
 
 
 def test_outbox_replay(spark, tmp_path):
-    rows = spark.createDataFrame([(r, b) for r in range(3) for b in range(2)], "request_id long, batch_index long")
-    for part in (rows.where("request_id < 2"), rows):
-        writers.write_outbox(part, str(tmp_path / "o"))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "o")).collect())) == sorted(map(tuple, rows.collect()))
+    """A replay adds nothing, other runs of the day and of other days stay, and only the day's partitions are read."""
+    rows = spark.createDataFrame([(r, b) for r in range(30) for b in range(2)], "request_id long, batch_index long")
+    path = str(tmp_path / "o")
+    for part, day in ((rows.where("request_id < 10"), "2024-01-01"), (rows, "2024-01-01"), (rows, "2024-01-01"), (rows.where("request_id < 3"), "2024-01-02")):
+        writers.write_outbox(part, path, run_date=day)
+    found = spark.read.parquet(path)
+    assert sorted(map(tuple, found.where("run_date = '2024-01-01'").select("request_id", "batch_index").collect())) == sorted(map(tuple, rows.collect()))
+    assert found.where("run_date = '2024-01-02'").count() == 6
+    marked = rows.withColumns({"run_date": F.lit("2024-01-02").cast("date"), "bucket": writers.bucket_of(F.col("request_id"))})
+    plan = writers.unsent(marked, found, "2024-01-02")._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("\n") if "FileScan" in x and "run_date" in x)
+    assert "PartitionFilters: [isnotnull(run_date" in scan and "2024-01-02" in scan
+    with pytest.raises(ValueError):
+        writers.write_outbox(rows, path)
+
+
+def test_late_events_are_kept_and_counted(spark, tmp_path):
+    """Over many more micro-batches than a query's progress remembers: the listener's count is exact, and the gate's rows
+    are those that come behind the watermark; none of the accepted ones is late for the state."""
+    t, key = datetime.datetime(2024, 1, 1), "spark.sql.streaming.numRecentProgressUpdates"
+    (tmp_path / "in").mkdir()
+    newest, late = None, set()
+    for k in range(25):
+        events = [(100 * k + n, 60 * k - (7200 if n == 3 and k > 2 else 0)) for n in range(5)]  # minutes move on; one of five comes two hours late
+        if newest is not None:
+            late |= {e for e, s in events if s <= newest - 3600}
+        newest = max(s for _, s in events) if newest is None else max(newest, max(s for _, s in events))
+        (tmp_path / f"in/{k:02d}.json").write_text("\n".join(json.dumps({"job_id": e, "event_id": e, "event_ts": (t + datetime.timedelta(seconds=s)).isoformat(), "status": "pending"}) for e, s in events))
+        os.utime(tmp_path / f"in/{k:02d}.json", (1.7e9 + 10 * k,) * 2)
+    assert len(late) == 22
+    held = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    told = job_state.LateEvents()
+    spark.streams.addListener(told)
+    try:
+        fold = lambda events, name: job_state.stream_job_state(events, "1 hour").writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query = fold(readers.read_job_events(spark, str(tmp_path / "in"), stream=True, files=1), "c1")
+        assert query.awaitTermination(WAIT) and told.of(query) == len(late)
+        assert len(query.recentProgress) <= 3
+        assert job_state.gate(readers.read_job_events(spark, str(tmp_path / "in"), stream=True, files=1), str(tmp_path / "g"), str(tmp_path / "c2"), "1 hour").awaitTermination(WAIT)
+        assert {(r["event_id"], r["reject_code"]) for r in spark.read.parquet(str(tmp_path / "g/late")).collect()} == {(e, "LATE") for e in late}
+        good = spark.readStream.schema(readers.JOB_EVENT).option("maxFilesPerTrigger", 5).parquet(str(tmp_path / "g/accepted"))
+        query = fold(good, "c3")
+        assert query.awaitTermination(WAIT) and told.of(query) == 0
+        assert spark.read.parquet(str(tmp_path / "g/accepted")).count() == 125 - len(late)
+    finally:
+        spark.streams.removeListener(told)
+        spark.conf.set(key, held)
+
+
+def test_access_log_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = lambda h, m, path, status: f"[2024-01-01T{h:02d}:{m:02d}:00.000Z] [INFO] GET {path} - {status} (10ms)"
+    files = [[line(0, 5, "/a", 200), "[2024-01-01T00:05:00.000Z] GET /a", "Server listening", ""], [line(0, 50, "/a", 500), line(1, 10, "/b", 200)], [line(2, 0, "/a", 200)], [line(9, 0, "/a", 200), line(0, 1, "/a", 200)], [line(9, 1, "/a", 200)]]
+    for k, rows in enumerate(files):
+        (tmp_path / f"in/{k}.txt").write_text("\n".join(rows) + "\n")
+        os.utime(tmp_path / f"in/{k}.txt", (1.7e9 + 10 * k,) * 2)
+    for query in access_log.stream_access_log(readers.access_lines(spark, str(tmp_path / "in"), stream=True, files=1), str(tmp_path / "out"), str(tmp_path / "c")):
+        assert query.awaitTermination(WAIT)
+    got = {(r["window_start"].hour, r["path"], r["calls"], r["errors"], r["duration_ms"]) for r in spark.read.parquet(str(tmp_path / "out/levels")).collect()}
+    assert got == {(0, "/a", 2, 1, 20), (1, "/b", 1, 0, 10), (2, "/a", 1, 0, 10)}  # the line of 0:01 comes behind the watermark
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/rejects")).collect()] == [("Server listening", "NO_ACCESS_LINE")]
