@@ -253,15 +253,20 @@ def train(texts: list[str], labels: list[str]) -> Model:
 
 def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """Texts and labels of the sample, in the order of doc_id: ``per_language`` documents of a language at most, whatever
-    their ids (null or repeated ones too), those of the least hashes of id and text.
-
-    The limit is taken in each task before the shuffle, so no task gets more than that of a language from each other one."""
-    learnable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST)).select("doc_id", "text", "lang")
-    hashed = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    chosen = learnable.withColumn("_place", F.row_number().over(hashed)).where(F.col("_place") <= per_language)
+    their ids (null or repeated ones too), those of the least hashes of id and text. Rows that repeat count once.
+
+    A first look counts a language's different documents, about; then only hashes up to some four times the wanted number
+    pass, equal ones are merged in each task before a shuffle, and the rest is ordered: no task gets more than a few
+    thousand documents of a language, however large the table and whatever share of it one document has."""
+    hashed = F.xxhash64("doc_id", "text")
+    learnable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST)).select("doc_id", "text", F.col("lang").alias("label"), hashed.alias("hash"))
+    rates = learnable.groupBy(F.col("label").alias("of")).agg((4.0 * per_language / F.approx_count_distinct("hash")).alias("rate"))
+    passed = learnable.join(rates, F.col("label") == F.col("of")).where((F.col("hash") / 2.0**64 + 0.5) <= F.col("rate"))
+    once = passed.groupBy("label", "hash").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    chosen = once.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash"))).where(F.col("place") <= per_language)
     # null ids come first (the column may hold some)
-    rows = sorted(chosen.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["lang"]))
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+    rows = sorted(chosen.select("row.doc_id", "row.text", "label").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["label"]))
+    return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:

@@ -383,7 +383,9 @@ def test_training_sample_is_bounded_whatever_the_ids(spark):
         got, labels = language.training_rows(spark.createDataFrame(list(zip(ids, texts, ["de"] * 5000)), shape), per_language=50)
         assert len(got) == len(set(got)) == 50 and set(labels) == {"de"}
     few = [(None, "le la", "fr"), (None, "le la", "fr"), (3, "un deux", "fr")]
-    assert sorted(language.training_rows(spark.createDataFrame(few, shape), 50)[0]) == ["le la", "le la", "un deux"]
+    assert sorted(language.training_rows(spark.createDataFrame(few, shape), 50)[0]) == ["le la", "un deux"]
+    copies = [(1, "la la", "fr")] * 4000 + [(3, f"un {k}", "fr") for k in range(3)] + [(3, "uno", "es")]
+    assert sorted(language.training_rows(spark.createDataFrame(copies, shape), 50)[0]) == ["la la", "un 0", "un 1", "un 2", "uno"]
 
 
 def test_gradient_of_training_is_that_of_the_likelihood(monkeypatch):
