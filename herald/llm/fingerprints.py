@@ -83,31 +83,40 @@ def shown(fingerprint: Column) -> Column:
 
 
 def _ranges(documents: DataFrame, range_rows: int) -> list[int]:
-    """Ids that cut the rows into ranges of about ``range_rows`` rows."""
+    """Ids that cut the rows into ranges of about ``range_rows`` rows, ascending; one that very many rows share stands more than once."""
     parts = min(RANGES, documents.count() // range_rows)
     if parts < 2:
         return []
     share = F.from_json(F.lit("[" + ",".join(str(k / parts) for k in range(1, parts)) + "]"), "array<double>")
-    return sorted(set(documents.agg(F.percentile_approx("key", share, F.lit(min(1 << 21, 20 * parts)))).first()[0] or []))
+    return sorted(documents.agg(F.percentile_approx("key", share, F.lit(min(1 << 21, 20 * parts)))).first()[0] or [])
+
+
+def _part(key: Column, edges: list[int]) -> Column:
+    """The range of a row: the edges below its id, and, of the edges at its id, as many as its text's hash is far."""
+    below, times = place_among(key, [e + 1 for e in edges]), place_among(key, edges)
+    many = times - below
+    far = F.floor((F.col("hash") / 2.0**64 + 0.5) * many).cast("int") + 1
+    return below + F.when(many > 0, F.least(far, many)).otherwise(0)
 
 
 def pairs(documents: DataFrame, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, object]:
     """doc_id, text, next (the text that follows in ascending doc_id; the last row's: the first), copy; and the window.
 
-    Rows are dealt to ranges of doc_id, cut at approximate percentiles, and ordered inside each; every range also gets a
-    copy of the first row of the range after it (one row a range, ``copy`` = 1), so the texts are shuffled once and no
-    task holds more than a range. The window orders a range. Null ids come first, a range like any other; rows with
-    equal ids follow each other by text. Null texts count as empty.
+    Rows are dealt to ranges of (doc_id, hash of the text), cut at approximate percentiles of the ids and, for an id that
+    fills several ranges, evenly by hash; they are ordered inside each range. Every range also gets a copy of the first row
+    of the range after it (one row a range, ``copy`` = 1), so the texts are shuffled once and no task holds more than a
+    range. The window orders a range. Null ids come first, cut as any other id; rows with equal ids follow each other by
+    hash and text. Null texts count as empty.
     """
     # null ids: below all others
-    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key"))
-    dealt = keyed.withColumn("part", place_among(F.col("key"), _ranges(keyed.select("key"), range_rows)))
-    firsts = dealt.groupBy("part").agg(F.min("key").alias("key"))
+    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key")).withColumn("hash", F.xxhash64("text"))
+    dealt = keyed.withColumn("part", _part(F.col("key"), _ranges(keyed.select("key"), range_rows)))
+    firsts = dealt.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("first"))
     before = F.coalesce(F.lag("part").over(W.orderBy("part")), F.max("part").over(W.partitionBy()))
-    ends = firsts.select("key", before.alias("to"))  # one row per range
-    heads = dealt.join(F.broadcast(ends), "key").groupBy("to", "doc_id", "key").agg(F.min("text").alias("text"))
-    copies = heads.select("doc_id", "text", "key", F.col("to").alias("part"), F.lit(1).alias("copy"))
-    window = W.partitionBy("part").orderBy("copy", "key", "text")
+    ends = firsts.select("part", "first.key", "first.hash", before.alias("to"))  # one row per range
+    heads = dealt.join(F.broadcast(ends), ["part", "key", "hash"]).groupBy("to", "doc_id", "key", "hash").agg(F.min("text").alias("text"))
+    copies = heads.select("doc_id", "text", "key", "hash", F.col("to").alias("part"), F.lit(1).alias("copy"))
+    window = W.partitionBy("part").orderBy("copy", "key", "hash", "text")
     return dealt.withColumn("copy", F.lit(0)).unionByName(copies).withColumn("next", F.lead("text").over(window)), window
 
 
@@ -123,7 +132,7 @@ def edited(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     changed = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.col("next"), F.lit(1), half))
     made = paired.withColumn("edited", F.when(F.col("copy") == 0, changed)).drop("next").withColumns({"fingerprint": winnow(F.col("text")), "edited_fingerprint": winnow(F.col("edited"))})
-    return made.withColumn("next_hashes", F.lead(hashes(F.col("fingerprint"))).over(window)).where("copy = 0").drop("copy", "key", "part")
+    return made.withColumn("next_hashes", F.lead(hashes(F.col("fingerprint"))).over(window)).where("copy = 0").drop("copy", "key", "hash", "part")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,26 @@ def test_fingerprints(spark, sf_dir, monkeypatch):
     assert fingerprints.edited(empty(spark)).count() == 0 and fingerprints.edited(docs(spark, ["only one"])).first()["edited"] == "onlyonly"
 
 
+def test_fingerprints_of_rows_that_share_ids(spark):
+    """Half the ids null and a fifth of them one: no range holds them all, and each row is followed by the next in (id, hash, text)."""
+    from xxhash import xxh64_intdigest
+
+    ids = lambda k: None if k % 2 else 7 if k % 5 == 0 else k
+    rows = [(ids(k), f"text {k % 900} of some") for k in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    signed = lambda t: (h := xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
+    want = collections.Counter((a, t, order[(i + 1) % len(order)][1]) for i, (a, t) in enumerate(order))
+    for size in (100, 10**6):
+        got, _ = fingerprints.pairs(table, size)
+        found = got.where("copy = 0").select("doc_id", "text", "next", "part").collect()
+        assert collections.Counter((r["doc_id"], r["text"], r["next"]) for r in found) == want
+        parts = collections.Counter(r["part"] for r in found)
+        assert max(parts.values()) < 250 if size == 100 else len(parts) == 1
+    edges = [fingerprints._ranges(table.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key")), 100)][0]
+    assert len(edges) > len(set(edges))
+
+
 def test_winnowing_is_the_definition(spark):
     import random
 
