@@ -4,6 +4,7 @@ read back, and the streams run to the end of their input."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -28,9 +29,29 @@ def _as_of() -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, deleted when the session's process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    """A setting of the caller's session, for as long as it is needed."""
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
 
 
 def _as_json(rows: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -75,15 +96,11 @@ def read_request_lines(spark, sf_dir):
     people = frame(spark, sf_dir, "recipients").groupBy("request_id").agg(F.count("*").cast("int").alias("n"))
     nested = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit('{"phoneNumber":"'), k.cast("string"), F.lit('"}'))), ",")
     lines = heads.join(people, "request_id", "left").select("request_id", F.concat(F.regexp_replace("head", r"\}$", ""), F.lit(',"recipients":['), F.when(F.col("n") > 0, nested).otherwise(""), F.lit("]}")).alias("value"))
-    lines.repartitionByRange(1, "request_id").sortWithinPartitions("request_id").select("value").write.text(path)
-    held, size = spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.files.maxPartitionBytes"
-    spark.conf.set(size, "64k")
-    try:
-        rows = readers.read_requests(spark, path).select("ingest_line", "union_id", "template_code", F.coalesce(F.size("recipients"), F.lit(0)).alias("recipient_count"))
-        rows.write.parquet(f"{path}-rows")
-    finally:
-        spark.conf.set(size, held)
-    return spark.read.parquet(f"{path}-rows")
+    lines.repartitionByRange(1, "request_id").sortWithinPartitions("request_id").select("value").write.text(f"{path}/in")
+    with _set(spark, "spark.sql.files.maxPartitionBytes", "64k"):
+        rows = readers.read_requests(spark, f"{path}/in").select("ingest_line", "union_id", "template_code", F.coalesce(F.size("recipients"), F.lit(0)).alias("recipient_count"))
+        rows.write.parquet(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows")
 
 
 @_query(_OUTBOX.format(""))
@@ -105,10 +122,10 @@ def t1_stream_rejects(spark, sf_dir):
 
 def _job_stream(spark: SparkSession, path: str, late: str) -> None:
     """All files that are there, as one micro-batch; states go to ``path``/states."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", job_state.PROVIDER)
     states = job_state.stream_job_state(readers.read_job_events(spark, f"{path}/in", stream=True), late)
     put = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/states/n={n}")
-    _ended(states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+    with _set(spark, "spark.sql.streaming.stateStore.providerClass", job_state.PROVIDER):
+        _ended(states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
 
 
 @_query(_STATE + " select * from state")
@@ -195,10 +212,9 @@ def t5_stream_settlement(spark, sf_dir):
     resolved = _settlement_inputs(spark, sf_dir, path)
     frame(spark, sf_dir, "prices").write.parquet(f"{path}/prices")
     prices = readers.read_prices(spark, f"{path}/prices")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", job_state.PROVIDER)
     for _ in range(2):  # the second run has nothing new
-        query = settlement.stream_settlement(readers.read_sent_batches(spark, f"{path}/sent", 1), readers.read_answers(spark, f"{path}/answers", 1), resolved, _as_of(), f"{path}/ledger", f"{path}/state", prices, wait="5 minutes")
-        _ended(query)
+        with _set(spark, "spark.sql.streaming.stateStore.providerClass", job_state.PROVIDER):
+            _ended(settlement.stream_settlement(readers.read_sent_batches(spark, f"{path}/sent", 1), readers.read_answers(spark, f"{path}/answers", 1), resolved, _as_of(), f"{path}/ledger", f"{path}/state", prices, wait="5 minutes"))
     return shown_ledger(readers.read_ledger(spark, f"{path}/ledger")).select(*_LEDGER_COLUMNS)
 
 
@@ -233,8 +249,8 @@ def plan_and_write_outbox(spark, sf_dir):
     path = scratch(spark)
     wide = batches.outbox_wide(_planned(spark, sf_dir)["outbox"])
     for _ in range(2):
-        writers.write_outbox(wide, path, run_date=AS_OF[:10])
-    return spark.read.parquet(path).select("request_id", "batch_index", F.inline("params")).select("request_id", "batch_index", "slot", "param", "value")
+        writers.write_outbox(wide, f"{path}/outbox", run_date=AS_OF[:10])
+    return spark.read.parquet(f"{path}/outbox").select("request_id", "batch_index", F.inline("params")).select("request_id", "batch_index", "slot", "param", "value")
 
 
 @_query(with_sql("channels", "key_aliases", "prices") + """ select 'channel' as kind, id as name, kakao_channel_id as value from channels union all select 'alias', name, key_alias from key_aliases
@@ -253,7 +269,7 @@ def read_lookups(spark, sf_dir):
 @_query(_LISTED + f" select page, place as pos, template_code, {_SHOWN}, cdate, {_BUTTON}, concat_ws(',', {', '.join(f"case when not ({_STATES[c].replace('s.', '')}) then '{c}' end" for c in sorted(_STATES))}) as present from listed")
 def read_provider_templates(spark, sf_dir):
     """The provider's listing from JSON envelopes: those that failed are left out; dates as they are, and which of the fields are there that may be absent."""
-    rows = readers.read_provider_templates(spark, _as_json(_envelopes(spark, sf_dir), scratch(spark)))
+    rows = readers.read_provider_templates(spark, _as_json(_envelopes(spark, sf_dir), f"{scratch(spark)}/listing"))
     present = F.array_join(F.array_sort(F.array_intersect("present", F.array(*map(F.lit, _STATES)))), ",")
     return rows.select("page", "pos", "template_code", "template_content", *_PLAIN, *_TRISTATE, "cdate", F.get("buttons", F.lit(0))["name"].alias("button"), present.alias("present"))
 
@@ -273,8 +289,8 @@ def sync_and_write_snapshot(spark, sf_dir):
 def read_access_log(spark, sf_dir):
     """Log lines, written as text and read back as columns."""
     path = scratch(spark)
-    _lines(spark, sf_dir).write.text(path)
-    return readers.read_access_log(spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    _lines(spark, sf_dir).write.text(f"{path}/in")
+    return readers.read_access_log(spark, f"{path}/in").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _lines_in_files(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -331,6 +347,6 @@ def t2_stream_late_events(spark, sf_dir):
 where completed_at is null or completed_at >= timestamp '{AS_OF}' - interval 1 hour""")
 def job_report_state(spark, sf_dir):
     """job_report over job events read from JSON: folded, time-outs marked, old ones gone."""
-    events = readers.read_job_events(spark, _as_json(frame(spark, sf_dir, "job_events"), scratch(spark)))
+    events = readers.read_job_events(spark, _as_json(frame(spark, sf_dir, "job_events"), f"{scratch(spark)}/in"))
     state = plans.job_report(events.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz")), _as_of())["state"]
     return state.select("job_id", "status", "started_at", "completed_at", "timed_out")
