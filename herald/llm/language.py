@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from herald.llm.common import fresh, small_batches, table
+from herald.llm.common import BROADCAST_KEYS, cut, fresh, small_batches, table
 
 HASHED = 1 << 16
 LEXICON = 4000
@@ -260,7 +260,8 @@ def training_rows(documents: DataFrame, per_language: int = PER_LANGUAGE) -> tup
     thousand documents of a language, however large the table and whatever share of it one document has."""
     hashed = F.xxhash64("doc_id", "text")
     learnable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= LONGEST)).select("doc_id", "text", F.col("lang").alias("label"), hashed.alias("hash"))
-    rates = learnable.groupBy(F.col("label").alias("of")).agg((4.0 * per_language / F.approx_count_distinct("hash")).alias("rate"))
+    rates = cut(learnable.groupBy(F.col("label").alias("of")).agg((4.0 * per_language / F.approx_count_distinct("hash")).alias("rate")))
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_KEYS else rates  # one row a language; a shuffle would deal all texts by language
     passed = learnable.join(rates, F.col("label") == F.col("of")).where((F.col("hash") / 2.0**64 + 0.5) <= F.col("rate"))
     once = passed.groupBy("label", "hash").agg(F.min(F.struct("doc_id", "text")).alias("row"))
     chosen = once.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("hash"))).where(F.col("place") <= per_language)

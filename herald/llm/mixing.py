@@ -117,7 +117,7 @@ def shard_counts(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, mos
     upto = filled.withColumn("upto", F.sum("drawn").over(in_order.rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("drawn").over(of_source))
     # given up: a source's surplus, in proportion to its draws so far
     surplus, lack = F.greatest(F.col("all") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("all"), F.lit(0))
-    share = lambda draws: F.coalesce(_whole(draws * surplus, F.col("all")), F.lit(0))
+    share = lambda draws: F.coalesce(_whole(draws * surplus, F.nullif("all", F.lit(0).cast("bigint"))), F.lit(0))  # noqa: E731  a small source may have no draw
     given = upto.withColumns({"low": share(F.col("upto") - F.col("drawn")), "high": share(F.col("upto")), "lack": lack})
     # taken up: those of all sources, in the order of the shards, by the sources that lack some, in their order
     freed = given.withColumns({"freed_low": F.sum("low").over(of_shard), "freed_high": F.sum("high").over(of_shard), "lack_high": F.sum("lack").over(of_shard.orderBy("rank").rowsBetween(W.unboundedPreceding, 0))})

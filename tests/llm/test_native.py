@@ -340,3 +340,12 @@ def test_sql(spark, sf_dir):
         got = registry.queries()[name](spark, sf_dir)
         assert sorted(got.columns) == names
         assert sorted(repr([r[c] for c in names]) for r in got.collect()) == sorted(repr([r[place[c]] for c in names]) for r in want.fetchall())
+
+
+def test_mixing_of_sources_without_a_draw(spark):
+    """Many sources of a block each beside a large one: some are never drawn, and still get what they are owed."""
+    rows = [(k, "w " * 5, f"s{k:03d}") for k in range(60)] + [(1000, "v " * 20_000, "large")]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 61 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= 64
