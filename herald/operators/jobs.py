@@ -13,6 +13,8 @@ TIME_OUT = "5 minutes"
 RETENTION = "1 hour"
 #: Rows of an hour up to which it is one range of the depth series, and ranges of a busier one.
 RANGE, CUTS = 1_000_000, 512
+#: Busy hours whose edges may be broadcast (4 KB each).
+BROADCAST_HOURS = 5000
 
 
 def fold_job_state(events: DataFrame) -> DataFrame:
@@ -35,13 +37,20 @@ def queue_gauge(state: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
 
 def depth_ranges(rows: DataFrame, most: int = RANGE) -> DataFrame:
     """Adds ``_hour`` and ``_range``: ranges of (event_ts, event_id), in order. An hour of more than ``most`` rows is cut at
-    approximate quantiles of its rows, by time and, within one time, by event id, so one instant may be many ranges."""
+    approximate quantiles of its rows, by time and, within one time, by event id, so one instant may be many ranges.
+
+    Busy hours are counted first (a job of partial counts by hour). Their edges are broadcast up to BROADCAST_HOURS hours;
+    beyond that the rows are joined by shuffle, where Spark splits a skewed hour."""
     hourly = rows.withColumn("_hour", F.date_trunc("hour", "event_ts"))
     hot = hourly.groupBy("_hour").agg(F.count("*").alias("_n"), F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi")).where(F.col("_n") > most).drop("_n")
+    busy = hot.count()
+    if not busy:
+        return hourly.withColumn("_range", F.lit(0))
+    held = (lambda rows: F.broadcast(rows)) if busy <= BROADCAST_HOURS else (lambda rows: rows)
     micros = F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("_hour").cast("timestamp"))
     key = micros + (F.col("event_id").cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo") + 1)  # never falls in the order of (event_ts, event_id)
-    edges = hourly.join(hot, "_hour").groupBy("_hour").agg(F.percentile_approx(key, [k / CUTS for k in range(1, CUTS)], 10 * CUTS).alias("_edges"))
-    known = hourly.join(hot.join(edges, "_hour"), "_hour", "left")
+    edges = hourly.join(held(hot), "_hour").groupBy("_hour").agg(F.percentile_approx(key, [k / CUTS for k in range(1, CUTS)], 10 * CUTS).alias("_edges"))
+    known = hourly.join(held(hot.join(edges, "_hour")), "_hour", "left")
     jump = lambda acc, step: F.when((F.get("_edges", acc + step - 1) <= key).eqNullSafe(True), acc + step).otherwise(acc)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(CUTS.bit_length()))])
     return known.withColumn("_range", F.when(F.col("_edges").isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), jump))).drop("_lo", "_hi", "_edges")

@@ -15,6 +15,8 @@ REQUEST = f"unionId string, senderId string, templateCode string, noticeId strin
 ENVELOPE = "page bigint, code int, message string, list array<string>"
 RESPONSE = "request_id bigint, batch_index bigint, code int, message string, info struct<type:string,mid:string,current:string,unit:decimal(18,2),total:decimal(18,2),scnt:bigint,fcnt:bigint>"
 SENT = "request_id bigint, batch_index bigint, batch_size bigint, n_batches bigint, sent_ts timestamp"
+#: Splits whose line counts may be broadcast (some 150 bytes each).
+BROADCAST_SPLITS = 1_000_000
 JOB_EVENT = "job_id bigint, event_id bigint, event_ts timestamp, status string, error string"
 
 
@@ -35,7 +37,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     splits = placed.groupBy("ingest_file", "ingest_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     earlier = W.partitionBy("ingest_file").orderBy("ingest_block").rowsBetween(W.unboundedPreceding, -1)
     before = splits.select("ingest_file", "ingest_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    return placed.join(before, ["ingest_file", "ingest_block"]).withColumn("ingest_line", (F.col("_base") + F.col("_at") - F.col("_first")).cast("bigint")).drop("_at", "_first", "_base")
+    few = len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_SPLITS
+    return placed.join(F.broadcast(before) if few else before, ["ingest_file", "ingest_block"]).withColumn("ingest_line", (F.col("_base") + F.col("_at") - F.col("_first")).cast("bigint")).drop("_at", "_first", "_base")
 
 
 def parse_requests(lines: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from herald.plans.jobs import settled_ledger
 from herald.sources.writers import write_send_ledger
 
 RESULT = "success boolean, success_count bigint, sms_count bigint, fail_count bigint, actual_cost decimal(18,2), error string"
-ROLLED = f"request_id bigint, batch_count bigint, all_ok boolean, success_count bigint, sms_count bigint, fail_count bigint, actual_cost decimal(18,2), batch_results array<struct<batch_index:bigint,{RESULT.replace(' decimal', ':decimal').replace(' boolean', ':boolean').replace(' bigint', ':bigint').replace(' string', ':string').replace(', ', ',')}>>"
+ROLLED = f"request_id bigint, batch_count bigint, all_ok boolean, success_count bigint, sms_count bigint, fail_count bigint, actual_cost decimal(18,2), batch_results array<struct<batch_index bigint, {RESULT}>>"
 
 
 def stream_outcomes(batches: DataFrame, answers: DataFrame, wait: str = "10 minutes", late: str = "1 minute") -> DataFrame:

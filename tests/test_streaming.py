@@ -141,6 +141,16 @@ def test_request_lines_whatever_the_splits(spark, tmp_path):
     assert found[0] == found[1] == {(f"{f}-{k}", f"{f}.json", k) for f in range(2) for k in range(200) if k % 7}
 
 
+def test_dispatch_shuffles_no_recipient(spark, tmp_path):
+    """Before the outbox gathers batches, only lookups and counts of lines are exchanged."""
+    (tmp_path / "r.json").write_text('{"unionId":"u","templateCode":"t","recipients":[{"phoneNumber":"1"}]}\n')
+    lookups = (spark.createDataFrame([("t", "T", "c", "n", "x", "y", False)], "template_code string, template_name string, template_content string, template_em_type string, template_title string, template_subtitle string, use_failover boolean"),
+        spark.createDataFrame([("union_u_sender_key", "k")], "name string, key_alias string"), spark.createDataFrame([("u", "c")], "id string, kakao_channel_id string"))
+    plan = dispatch.outbox(dispatch.resolved(dispatch.checked(readers.read_requests(spark, str(tmp_path / "r.json"))), lookups))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and all(any(f"hashpartitioning({k}#" in x for k in ("template_code", "name", "id", "ingest_file")) for x in exchanges)
+
+
 def test_settlement_stream(spark, tmp_path):
     """Answers that are split over files, come twice, come too late, or never."""
     t = datetime.datetime(2024, 1, 1)
