@@ -95,6 +95,21 @@ def test_lines_of_templates(spark):
     assert got == dict(enumerate(top))
 
 
+@pytest.mark.parametrize("sent", [0, 1, 3])
+def test_bands_dealt_by_task(spark, monkeypatch, sent):
+    """Lines that tasks keep in groups of their own meet the others of their bands all the same."""
+    monkeypatch.setattr(lines, "SENT", sent)
+    test_lines_of_templates(spark)
+
+
+def test_hot_band_is_many_groups():
+    """Of 100,000 rows of one band a task sends a bounded number to the band's own group, and each band's first of its own."""
+    deal = lines._Deal(7, 1024)
+    bands = np.where(np.arange(100_000) % 10 == 0, np.arange(100_000) * 7919, 5).astype(np.uint64)
+    groups, opens = map(np.concatenate, zip(*[deal.groups(x) for x in np.array_split(bands, 100)]))
+    assert set(groups) == {0, 7} and (groups[bands == 5] == 0).sum() <= 2 * 1024 and opens.sum() == 1 and groups[opens] == [7]
+
+
 def test_banding_recall():
     """Pairs of similarity 0.8 and a little more share a band, at all lengths."""
     r = random.Random(1)
