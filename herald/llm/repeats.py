@@ -13,11 +13,14 @@ README), so the work is done on sampled suffixes instead, with the same results:
    has met before in a smaller doc_id, and deals that by a hash of its place: of a passage that stands everywhere, the
    task of its anchor gets a row or so from every task, not one from every document.
 3. The others stand at the ends of repeats: their covered bytes are sorted by (anchor, doc_id, position) in Spark's
-   external sort and streamed: a window is repeated if it occurred before in that order.
+   external sort and streamed: a window is repeated if it occurred before in that order. Where an anchor has ``OFTEN`` or
+   more such occurrences, as at the ends of a passage with many surroundings, each window goes by its own hash instead:
+   one that a task has met before in a smaller doc_id is settled there, so a window that stands everywhere is a row or so
+   of every task, and no task gets all windows of such an anchor.
 4. Repeated windows are united per document and its other bytes hashed.
 
 Strings are compared by two 64-bit hashes. No step holds more than a document, a batch, or the different windows of
-one anchor in memory.
+one anchor, of fewer than ``OFTEN`` occurrences, in memory.
 """
 
 from __future__ import annotations
@@ -36,6 +39,12 @@ from herald.llm.common import small_batches, table
 
 LENGTH = 100
 GRAM = 32
+#: Open occurrences of an anchor from which its windows are dealt by their own hashes.
+OFTEN = 1024
+#: Windows that are sent in one batch.
+WINDOWS = 1 << 14
+#: Bit of a packed place that says that its windows are dealt so.
+_DEALT = 1 << 62
 #: Repeated pairs that a task remembers.
 MET = 1 << 18
 #: Window starts that are handled at a time in a long text.
@@ -156,17 +165,47 @@ def _marked(marks, settled: bool) -> np.ndarray:
     return marks[marks >= 0] if settled else -1 - marks[marks < 0]
 
 
+def _dealt_rows(met: _Met, found: list[tuple]) -> Iterator[pd.DataFrame]:
+    """The windows of anchors that occur often, by their own hashes; runs of those met in a smaller key are ranges.
+    found: key, row, text, starts of windows and their two hashes, for the documents of a batch."""
+    pairs = np.concatenate([_spread(x * np.uint64(_BASES[1]) ^ y) for *_, x, y in found])
+    known = met.later(pairs, np.concatenate([np.full(len(start), key, np.int64) for key, _, _, start, _, _ in found]))
+    for (key, row, text, start, x, _), sure in zip(found, np.split(known, np.cumsum([len(f[3]) for f in found])[:-1])):
+        left = np.flatnonzero(~sure)
+        for at in range(0, len(left), WINDOWS):
+            some = left[at : at + WINDOWS]
+            yield pd.DataFrame({"anchor": x[some].view(np.int64), "key": key, "row": row, "first": start[some], "covered": [text[a : a + LENGTH] for a in start[some].tolist()], "until": 0})
+        held = start[sure]
+        if len(held):
+            opens = held[np.r_[True, held[1:] != held[:-1] + 1]]
+            until = held[np.r_[held[1:] != held[:-1] + 1, True]] + LENGTH
+            spread = _spread(np.full(len(opens), row, np.int64).view(np.uint64) ^ opens.astype(np.uint64) * np.uint64(_BASES[0]))
+            yield pd.DataFrame({"anchor": spread.view(np.int64), "key": key, "row": row, "first": opens, "covered": b"", "until": until})
+
+
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each anchor that is not settled: its hash, where its windows start, and the bytes that they cover."""
+    """Of each anchor that is not settled: its hash, where its windows start, and the bytes that they cover (until 0); of
+    one that occurs often, a row for each window, or the end (until) of a range that is settled here."""
+    met = _Met()
     for b in batches:
+        often = []
         for doc, row, text, marks in zip(b["key"], b["row"], b["data"], b["marks"]):
-            places = _marked(marks, settled=False)
+            places = np.unique(_marked(marks, settled=False))
             if not len(places):
                 continue
             text = bytes(text)
-            place, first, last = _unpacked(np.unique(places))
-            h = hashes(np.frombuffer(text, np.uint8), GRAM)[place].view(np.int64)
-            yield pd.DataFrame({"anchor": h, "key": doc, "row": row, "first": first, "covered": [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())]})
+            data = np.frombuffer(text, np.uint8)
+            dealt = places & _DEALT != 0
+            place, first, last = _unpacked(places[~dealt])
+            if len(place):
+                h = hashes(data, GRAM)[place].view(np.int64)
+                yield pd.DataFrame({"anchor": h, "key": doc, "row": row, "first": first, "covered": [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())], "until": 0})
+            if dealt.any():
+                _, first, last = _unpacked(places[dealt] & ~_DEALT)
+                start = np.concatenate([np.arange(a, z + 1) for a, z in zip(first.tolist(), last.tolist())])
+                often.append((doc, row, text, start, hashes(data, LENGTH, 0)[start], hashes(data, LENGTH, 1)[start]))
+        if often:
+            yield from _dealt_rows(met, often)
 
 
 def _again(windows: pd.DataFrame) -> np.ndarray:
@@ -181,6 +220,10 @@ def _repeated_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: pd.DataFrame | None = None
     held = last = None
     for b in batches:
+        ranges = b[b["until"] > 0]
+        if len(ranges):
+            yield pd.DataFrame({"key": ranges["key"], "row": ranges["row"], "start": ranges["first"], "end": ranges["until"]})
+            b = b[b["until"] == 0].reset_index(drop=True)
         if not len(b):
             continue
         covered, anchor = b["covered"].tolist(), b["anchor"].to_numpy()
@@ -249,7 +292,7 @@ def _kept_rows(digest: bool):
     return work
 
 
-def deduplicated(documents: DataFrame, digest: bool = False) -> DataFrame:
+def deduplicated(documents: DataFrame, digest: bool = False, often: int = OFTEN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, or their SHA-256 in hex); one row per input row.
 
     Null texts count as empty; texts under LENGTH bytes stay whole; a very long text is searched in chunks that overlap;
@@ -267,11 +310,12 @@ def deduplicated(documents: DataFrame, digest: bool = False) -> DataFrame:
     ranked = found.repartition("anchor").withColumns({"first": F.first("key").over(alike), "before": F.lag(F.struct("key", "row", "place")).over(alike)})
     ranked = ranked.withColumns({"low": F.min("covered").over(same), "high": F.max("covered").over(same)})
     earlier = (F.col("key") > F.col("first")) | ((F.col("before.key") == F.col("key")) & (F.col("before.row") == F.col("row")) & (F.col("before.place") < F.col("place")))
-    judged = ranked.withColumn("again", F.col("sure") | F.coalesce(earlier, F.lit(False))).where("again or low <> high")
+    judged = ranked.withColumn("again", F.col("sure") | F.coalesce(earlier, F.lit(False))).withColumn("open", F.sum(F.when(~F.col("again"), 1)).over(same)).where("again or low <> high")
     # one column, so that both readers below share one exchange of it
-    marks = judged.groupBy("key", "row").agg(F.collect_list(F.when(F.col("again"), F.col("place")).otherwise(-1 - F.col("place"))).alias("marks"))
+    waiting = -1 - F.when(F.col("open") < often, F.col("place")).otherwise(F.col("place").bitwiseOR(F.lit(_DEALT)))
+    marks = judged.groupBy("key", "row").agg(F.collect_list(F.when(F.col("again"), F.col("place")).otherwise(waiting)).alias("marks"))
     marked = docs.join(marks, ["key", "row"], "left").select("doc_id", "key", "row", "data", "marks")
-    contexts = marked.mapInPandas(_context_rows, "anchor bigint, key bigint, row bigint, first bigint, covered binary")
+    contexts = marked.mapInPandas(_context_rows, "anchor bigint, key bigint, row bigint, first bigint, covered binary, until bigint")
     ranges = contexts.repartition("anchor").sortWithinPartitions("anchor", "key", "row", "first").mapInPandas(_repeated_rows, "key bigint, row bigint, start bigint, end bigint")
     spans = ranges.groupBy("key", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if digest else "binary")

@@ -220,6 +220,34 @@ def test_repeats(spark, sf_dir, monkeypatch, chunk):
     assert repeats.deduplicated(docs(spark, AWKWARD).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("often", [0, 3])
+def test_windows_of_a_frequent_anchor(spark, often):
+    """One passage in all documents, with different surroundings: its windows are dealt by their own hashes."""
+    r = random.Random(6)
+    some = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, ends = some(240), [some(40) for _ in range(4)]
+    texts = [some(r.randint(0, 90)) + r.choice(ends) + passage[r.randint(0, 2) * 30 :] + r.choice(ends) + some(r.randint(0, 90)) for _ in range(120)]
+    texts += [passage * 3, passage[:130] * 2, texts[7], "", "z" * 400]
+    table = docs(spark, texts).repartition(5)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept"]) for x in repeats.deduplicated(table, digest=True, often=often).collect()}
+    assert got == removed([(x["doc_id"], x["text"]) for x in table.collect()])
+
+
+def test_frequent_windows_are_settled_in_the_task():
+    """Of a window that every document of a task has, the task sends a bounded number of rows and else ranges."""
+    r = random.Random(9)
+    some = lambda n: bytes(r.choice(b"abcdefghij ") for _ in range(n))
+    passage, rows = some(160), []
+    for key in range(2000):
+        text = some(60) + passage + some(60)
+        packed = [(p << 16 | (p - a) << 8 | (p - z)) | repeats._DEALT for _, places, firsts, lasts, _ in repeats.anchors(text) for p, a, z in zip(places.tolist(), firsts.tolist(), lasts.tolist())]
+        rows.append({"key": key, "row": key, "data": text, "marks": [-1 - p for p in packed]})
+    table = repeats.pd.DataFrame(rows)
+    sent = repeats.pd.concat(repeats._context_rows((table[k : k + 500].reset_index(drop=True) for k in range(0, 2000, 500))))
+    common_ = sent[[c in passage and len(c) > 0 for c in sent["covered"]]]
+    assert len(common_) <= 61 and (sent["until"] > 0).sum() == 1999 and len(sent["anchor"].unique()) > 0.99 * len(sent)
+
+
 def test_repeats_of_rows_that_share_an_id(spark):
     """Neither of two rows with one id is before the other; each still loses what it repeats itself."""
     r = random.Random(0)
