@@ -107,7 +107,9 @@ def test_hot_band_is_many_groups():
     deal = lines._Deal(7, 1024)
     bands = np.where(np.arange(100_000) % 10 == 0, np.arange(100_000) * 7919, 5).astype(np.uint64)
     groups, opens = map(np.concatenate, zip(*[deal.groups(x) for x in np.array_split(bands, 100)]))
-    assert set(groups) == {0, 7} and (groups[bands == 5] == 0).sum() <= 2 * 1024 and opens.sum() == 1 and groups[opens] == [7]
+    own = 5 | 7 << lines.WHOLE
+    assert set(groups[bands == 5]) == {5, own} and (groups[bands == 5] == 5).sum() <= 2 * 1024 and opens.sum() == 1 and groups[opens] == [own]
+    assert (groups[bands != 5] == bands[bands != 5]).all()
 
 
 def test_banding_recall():
