@@ -41,7 +41,7 @@ LENGTH = 100
 GRAM = 32
 #: Open occurrences of an anchor from which its windows are dealt by their own hashes.
 OFTEN = 1024
-#: Windows that are sent in one batch.
+#: Rows that are sent in one batch, or a few more.
 WINDOWS = 1 << 14
 #: Bit of a packed place that says that its windows are dealt so.
 _DEALT = 1 << 62
@@ -165,7 +165,7 @@ def _marked(marks, settled: bool) -> np.ndarray:
     return marks[marks >= 0] if settled else -1 - marks[marks < 0]
 
 
-def _dealt_rows(met: _Met, found: list[tuple]) -> Iterator[pd.DataFrame]:
+def _dealt_parts(met: _Met, found: list[tuple]) -> Iterator[tuple]:
     """The windows of anchors that occur often, by their own hashes; runs of those met in a smaller key are ranges.
     found: key, row, text, starts of windows and their two hashes, for the documents of a batch."""
     pairs = np.concatenate([_spread(x * np.uint64(_BASES[1]) ^ y) for *_, x, y in found])
@@ -174,38 +174,59 @@ def _dealt_rows(met: _Met, found: list[tuple]) -> Iterator[pd.DataFrame]:
         left = np.flatnonzero(~sure)
         for at in range(0, len(left), WINDOWS):
             some = left[at : at + WINDOWS]
-            yield pd.DataFrame({"anchor": x[some].view(np.int64), "key": key, "row": row, "first": start[some], "covered": [text[a : a + LENGTH] for a in start[some].tolist()], "until": 0})
+            yield x[some].view(np.int64), key, row, start[some], [text[a : a + LENGTH] for a in start[some].tolist()], np.zeros(len(some), np.int64)
         held = start[sure]
         if len(held):
             opens = held[np.r_[True, held[1:] != held[:-1] + 1]]
             until = held[np.r_[held[1:] != held[:-1] + 1, True]] + LENGTH
             spread = _spread(np.full(len(opens), row, np.int64).view(np.uint64) ^ opens.astype(np.uint64) * np.uint64(_BASES[0]))
-            yield pd.DataFrame({"anchor": spread.view(np.int64), "key": key, "row": row, "first": opens, "covered": b"", "until": until})
+            yield spread.view(np.int64), key, row, opens, [b""] * len(opens), until
+
+
+def _context_parts(met: _Met, b: pd.DataFrame) -> Iterator[tuple]:
+    """Columns of ``_context_rows`` for some rows of one document."""
+    often = []
+    for doc, row, text, marks in zip(b["key"], b["row"], b["data"], b["marks"]):
+        places = np.unique(_marked(marks, settled=False))
+        if not len(places):
+            continue
+        text = bytes(text)
+        data = np.frombuffer(text, np.uint8)
+        dealt = places & _DEALT != 0
+        place, first, last = _unpacked(places[~dealt])
+        if len(place):
+            h = hashes(data, GRAM)[place].view(np.int64)
+            yield h, doc, row, first, [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())], np.zeros(len(place), np.int64)
+        if dealt.any():
+            _, first, last = _unpacked(places[dealt] & ~_DEALT)
+            start = np.concatenate([np.arange(a, z + 1) for a, z in zip(first.tolist(), last.tolist())])
+            often.append((doc, row, text, start, hashes(data, LENGTH, 0)[start], hashes(data, LENGTH, 1)[start]))
+    if often:
+        yield from _dealt_parts(met, often)
 
 
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each anchor that is not settled: its hash, where its windows start, and the bytes that they cover (until 0); of
     one that occurs often, a row for each window, or the end (until) of a range that is settled here."""
     met = _Met()
+
+    def together(parts: list[tuple]) -> pd.DataFrame:
+        anchor, key, row, first, covered, until = zip(*parts)
+        sizes = [len(x) for x in first]
+        return pd.DataFrame({
+            "anchor": np.concatenate(anchor), "key": np.repeat(np.array(key, np.int64), sizes), "row": np.repeat(np.array(row, np.int64), sizes),
+            "first": np.concatenate(first), "covered": [c for some in covered for c in some], "until": np.concatenate(until)})
+
     for b in batches:
-        often = []
-        for doc, row, text, marks in zip(b["key"], b["row"], b["data"], b["marks"]):
-            places = np.unique(_marked(marks, settled=False))
-            if not len(places):
-                continue
-            text = bytes(text)
-            data = np.frombuffer(text, np.uint8)
-            dealt = places & _DEALT != 0
-            place, first, last = _unpacked(places[~dealt])
-            if len(place):
-                h = hashes(data, GRAM)[place].view(np.int64)
-                yield pd.DataFrame({"anchor": h, "key": doc, "row": row, "first": first, "covered": [text[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist())], "until": 0})
-            if dealt.any():
-                _, first, last = _unpacked(places[dealt] & ~_DEALT)
-                start = np.concatenate([np.arange(a, z + 1) for a, z in zip(first.tolist(), last.tolist())])
-                often.append((doc, row, text, start, hashes(data, LENGTH, 0)[start], hashes(data, LENGTH, 1)[start]))
-        if often:
-            yield from _dealt_rows(met, often)
+        parts, size = [], 0
+        for part in _context_parts(met, b):
+            parts.append(part)
+            size += len(part[3])
+            if size >= WINDOWS:
+                yield together(parts)
+                parts, size = [], 0
+        if parts:
+            yield together(parts)
 
 
 def _again(windows: pd.DataFrame) -> np.ndarray:
