@@ -7,6 +7,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
 from herald.llm import bpe, common, language, lines, repeats, secrets, simhash
@@ -112,6 +113,52 @@ def test_hot_band_is_many_groups():
     assert (groups[bands != 5] == bands[bands != 5]).all()
 
 
+@pytest.mark.parametrize("block", [1, 64, 1 << 16])
+def test_hashed_in_runs(monkeypatch, block):
+    """Lines hashed in runs of any length have the sets, parities and verdicts that each has alone; no shingle crosses lines."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab\u00e9\U0001f600 ") for _ in range(n)) for n in (1, 7, 8, 9, 40, 300, 8, 2, 64)] + ["a" * 50]
+    sets = [{t[i : i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in texts]
+    found = lines.shingle_sets(texts)
+    assert [len(x) for x in found] == [len(x) for x in sets]
+    assert all((a == b).all() for a, b in zip(found, [lines.shingle_sets([t])[0] for t in texts]))
+    assert (lines.band_keys(texts) == np.concatenate([lines.band_keys([t]) for t in texts])).all()
+    for bits, x in zip(lines.parities(found), found):
+        odd = np.bincount((x >> np.uint64(40)).astype(int) % (lines.PARITY * 64), minlength=lines.PARITY * 64) & 1
+        assert (np.unpackbits(bits.view(np.uint8), bitorder="little") == odd).all()
+    edited = [t[: max(1, len(t) * 85 // 100)] for t in texts]
+    some = [(a, b) for a in texts for b in (*texts, *edited)]
+    both = list(zip(lines.shingle_sets([a for a, _ in some]), lines.shingle_sets([b for _, b in some])))
+    assert lines.alike(both).tolist() == [len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for a, b in both]
+    assert lines.shingle_sets([]) == [] and lines.band_keys([]).shape == (0, lines.BANDS) and len(lines.alike([])) == 0
+
+
+def test_band_rows_are_packed(spark, monkeypatch):
+    """A task sends a row for each share of the bands, not for each band of a line, and what they hold is whole: the lines of
+    every band of several lines, each once, with its smallest and the next ones."""
+    monkeypatch.setattr(lines, "PACKED", 6000)
+    r = random.Random(5)
+    texts = [f"line of number {r.randint(0, 99)} and of so many words as {r.randint(0, 9)}" for _ in range(2000)]
+    table = spark.createDataFrame([(hash(t) % 10**9, t) for t in texts], "line_id long, line string").repartition(2)
+    sent = table.mapInArrow(lines._band_rows(1024, 5), "share int, bands binary, ids binary").toArrow()
+    different = dict(zip([hash(t) % 10**9 for t in texts], texts))
+    assert 0 < sent.num_rows <= 5 * (2 * len(different) * lines.BANDS // 6000 + 2)
+    groups = defaultdict(set)
+    for k, keys in zip(different, lines.band_keys(list(different.values())).view(np.int64).tolist()):
+        for key in keys:
+            groups[key].add(k)
+    want = {}
+    for key, ids in groups.items():
+        ids = sorted(ids)
+        for i, k in enumerate(ids):
+            if len(ids) > 1:
+                want[key, k] = (ids[0], *[ids[min(i + n, len(ids) - 1)] for n in range(1, lines.NEIGHBOURS + 1)])
+    shares = [sent.filter(pc.field("share") == k) for k in range(5)]
+    got = [row for x in shares for row in zip(*[c.to_pylist() for c in lines._members(x).columns])]
+    assert len(got) == len(want) and {row[:2]: row[2:] for row in got} == want
+
+
 def test_banding_recall():
     """Pairs of similarity 0.8 and a little more share a band, at all lengths."""
     r = random.Random(1)
