@@ -260,7 +260,8 @@ def a3_collect_batch_results(spark, sf_dir):
 @_query(f"{_RESOLVED}, {_BATCHED} select request_id, batch_index, failover from flags")
 def a4_batch_failover_flag(spark, sf_dir):
     resolved = _resolved(spark, sf_dir).where("template_found").select("request_id", "use_failover")
-    return batches.batch_failover_flag(batches.assign_batches(frame(spark, sf_dir, "recipients")).join(resolved, "request_id"))
+    sendable, _ = requests.split_null_phones(frame(spark, sf_dir, "recipients"))
+    return batches.batch_failover_flag(batches.assign_batches(sendable).join(resolved, "request_id"))
 
 
 @_query(with_sql("prices") + " select coalesce(max(unit_price) filter (where message_type = 'KAKAO'), cast(15 as decimal(18,2))) as kakao_price, coalesce(max(unit_price) filter (where message_type = 'SMS'), cast(20 as decimal(18,2))) as sms_price, coalesce(max(unit_price) filter (where message_type = 'LMS'), cast(50 as decimal(18,2))) as lms_price from prices", money=('kakao_price', 'sms_price', 'lms_price'))
