@@ -5,9 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
@@ -15,6 +14,7 @@ from herald.sources.writers import read_if_there
 
 STATE = "status string, created_us bigint, started_us bigint, completed_us bigint, error string, last_us bigint, last_event bigint, error_us bigint, error_event bigint"
 OUTPUT = "job_id bigint, status string, created_us bigint, started_us bigint, completed_us bigint, error string, timed_out boolean"
+SHOWN = Row("job_id", "status", "created_us", "started_us", "completed_us", "error", "timed_out")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,7 +22,8 @@ class JobProcessor(StatefulProcessor):
     """Folds events as the batch fold does; a job that runs too long fails, and may still complete.
 
     Every state ends: that of a finished or failed job after its retention, that of a job that never starts
-    ``abandon_ms`` after its last event. An event that comes after that begins a new state.
+    ``abandon_ms`` after its last event. An event that comes after that begins a new state. A job has one timer, whose
+    time follows from its state, so none is looked up: each question to the state store costs more than the fold.
     """
 
     def __init__(self, time_out_ms: int = 300_000, retention_ms: int = 3_600_000, abandon_ms: int = 86_400_000) -> None:
@@ -32,51 +33,54 @@ class JobProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", STATE)
 
-    def _wake(self, us: int, after_ms: int) -> None:
-        self.handle.registerTimer(-(-us // 1000) + after_ms)
+    def _due(self, s: tuple) -> int:
+        """When the job's timer is due, in milliseconds."""
+        _, _, started, completed, _, last, *_ = s
+        us, after_ms = (completed, self.retention_ms) if completed is not None else (started, self.time_out_ms) if started is not None else (last, self.abandon_ms)
+        return -(-us // 1000) + after_ms
 
-    def _out(self, job: int, s: tuple, timed_out: bool) -> Iterator[pd.DataFrame]:
-        status, created, started, completed, error = s[:5]
-        row = {"job_id": job, "status": status, "created_us": created, "started_us": started, "completed_us": completed, "error": error, "timed_out": timed_out}
-        yield pd.DataFrame([row]).astype({c: "Int64" for c in ("created_us", "started_us", "completed_us")})
+    def _out(self, job: int, s: tuple, timed_out: bool) -> Iterator[Row]:
+        yield SHOWN(job, *s[:5], timed_out)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         status = created = started = completed = error = last = last_event = error_us = error_event = None
-        if self.state.exists():
-            status, created, started, completed, error, last, last_event, error_us, error_event = self.state.get()
-        for batch in rows:
-            for us, event, what, why in zip(batch["event_us"].tolist(), batch["event_id"].tolist(), batch["status"].tolist(), batch["error"].tolist()):
-                created = us if created is None else min(created, us)
-                if what == "processing":
-                    started = us if started is None else max(started, us)
-                if what in ("completed", "failed"):
-                    completed = us if completed is None else max(completed, us)
-                if last is None or (us, event) >= (last, last_event):
-                    status, last, last_event = what, us, event
-                if isinstance(why, str) and (error_us is None or (us, event) >= (error_us, error_event)):
-                    error, error_us, error_event = why, us, event
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if completed is not None:
-            self._wake(completed, self.retention_ms)
-        elif started is not None:
-            self._wake(started, self.time_out_ms)
-        else:
-            self._wake(last, self.abandon_ms)
+        held = self.state.get()
+        if held is not None:
+            status, created, started, completed, error, last, last_event, error_us, error_event = held
+        for _, _, us, event, what, why in rows:
+            created = us if created is None else min(created, us)
+            if what == "processing":
+                started = us if started is None else max(started, us)
+            if what in ("completed", "failed"):
+                completed = us if completed is None else max(completed, us)
+            if last is None or (us, event) >= (last, last_event):
+                status, last, last_event = what, us, event
+            if why is not None and (error_us is None or (us, event) >= (error_us, error_event)):
+                error, error_us, error_event = why, us, event
         s = (status, created, started, completed, error, last, last_event, error_us, error_event)
+        due = self._due(s)
+        if held is None:
+            self.handle.registerTimer(due)
+        elif due != (before := self._due(held)):
+            self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
         self.state.update(s)
         yield from self._out(key[0], s, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held is None:
             return
-        status, created, started, completed, error, *rest = self.state.get()
+        if self._due(held) > expiredTimerInfo.getExpiryTimeInMs():  # a timer of a run with shorter times
+            self.handle.registerTimer(self._due(held))
+            return
+        status, created, started, completed, error, *rest = held
         if completed is not None or started is None:  # kept long enough
             self.state.clear()
             return
         s = ("failed", created, started, started + 1000 * self.time_out_ms, error or "TIME_OUT", *rest)
         self.state.update(s)
-        self._wake(s[3], self.retention_ms)
+        self.handle.registerTimer(self._due(s))
         yield from self._out(key[0], s, True)
 
     def close(self) -> None:
@@ -141,7 +145,7 @@ def stream_job_state(events: DataFrame, late: str = "10 minutes", time_out_ms: i
     """A stream of job states in update mode. The session's state store must be RocksDB (see PROVIDER).
 
     An event more than ``late`` behind the newest one is left out; ``LateEvents`` counts them, ``gate`` keeps their rows."""
-    timed = events.withWatermark("event_ts", late).withColumn("event_us", F.unix_micros("event_ts"))
-    states = timed.groupBy("job_id").transformWithStateInPandas(JobProcessor(time_out_ms, retention_ms, abandon_ms), OUTPUT, "Update", "EventTime")
+    timed = events.withWatermark("event_ts", late).select("job_id", "event_ts", F.unix_micros("event_ts").alias("event_us"), "event_id", "status", "error")
+    states = timed.groupBy("job_id").transformWithState(JobProcessor(time_out_ms, retention_ms, abandon_ms), OUTPUT, "Update", "EventTime")
     at = lambda c: F.timestamp_micros(f"{c}_us").alias(f"{c}_at")
     return states.select("job_id", "status", at("created"), at("started"), at("completed"), "error", "timed_out")

@@ -303,3 +303,48 @@ def test_access_log_stream(spark, tmp_path):
     got = {(r["window_start"].hour, r["path"], r["calls"], r["errors"], r["duration_ms"]) for r in spark.read.parquet(str(tmp_path / "out/levels")).collect()}
     assert got == {(0, "/a", 2, 1, 20), (1, "/b", 1, 0, 10), (2, "/a", 1, 0, 10)}  # the line of 0:01 comes behind the watermark
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/rejects")).collect()] == [("Server listening", "NO_ACCESS_LINE")]
+
+
+class _Held:
+    """A state store of one job that notes what it is asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def ask(x=None):
+            self.asked.append(name)
+            if name == "get":
+                return self.value
+            if name in ("update", "clear"):
+                self.value = x
+            if name == "registerTimer":
+                self.timers.add(x)
+            if name == "deleteTimer":
+                self.timers.remove(x)
+
+        return ask
+
+
+def test_a_job_costs_few_questions_to_its_state():
+    """Three for a new job, one timer at any time, and a timer of a run with a shorter time-out fails no job."""
+    held, job = _Held(), job_state.JobProcessor(time_out_ms=1000, retention_ms=5000, abandon_ms=9000)
+    job.init(held)
+    row = lambda ms, event, status, error=None: (7, None, ms * 1000, event, status, error)
+    assert [r["status"] for r in job.handleInputRows((7,), iter([row(0, 1, "pending")]), None)] == ["pending"]
+    assert held.asked == ["get", "registerTimer", "update"] and held.timers == {9000}
+    list(job.handleInputRows((7,), iter([row(10, 2, "processing"), row(9, 3, "pending")]), None))
+    assert held.timers == {1010}
+
+    class Expired:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    assert list(job.handleExpiredTimer((7,), None, Expired(500))) == [] and held.timers == {1010}
+    (out,) = job.handleExpiredTimer((7,), None, Expired(1010))
+    assert (out["status"], out["error"], out["timed_out"], out["completed_us"]) == ("failed", "TIME_OUT", True, 1_010_000)
+    assert 6010 in held.timers
+    assert list(job.handleExpiredTimer((7,), None, Expired(6010))) == [] and held.value is None
