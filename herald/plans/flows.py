@@ -67,13 +67,18 @@ def _ended(query) -> None:
 
 
 def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every request with its recipients nested, one JSON object a line; and a line that does not parse for each region."""
+    """Every request with its recipients nested, one JSON object a line, in parts of a batch's size where it has more; and
+    a line that does not parse for each region. Parts of a request stand in one file."""
     person = F.struct(F.col("phone_number").alias("phoneNumber"), "name", F.create_map(F.lit("name"), "name", F.lit("order"), "var_order", F.lit("amount"), "var_amount").alias("variables"), "content", F.col("failover_subject").alias("failoverSubject"), F.col("failover_message").alias("failoverMessage"))
-    people = frame(spark, sf_dir, "recipients").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.to_json(person).alias("person")))).alias("people"))
-    head = F.to_json(F.struct(F.col("union_id").alias("unionId"), F.col("sender_id").alias("senderId"), F.col("template_code").alias("templateCode"), F.col("notice_id").alias("noticeId")))
+    recipients = frame(spark, sf_dir, "recipients")
+    part = F.floor(F.col("seq") / batches.BATCH).alias("part")
+    people = recipients.groupBy("request_id", part).agg(F.array_sort(F.collect_list(F.struct("seq", F.to_json(person).alias("person")))).alias("people"))
+    head = F.to_json(F.struct(F.col("union_id").alias("unionId"), F.col("sender_id").alias("senderId"), F.col("template_code").alias("templateCode"), F.col("notice_id").alias("noticeId"),
+        F.when(F.col("recipient_count") > batches.BATCH, F.col("request_id").cast("string")).alias("requestKey"), F.get("people", F.lit(0))["seq"].alias("first")))
     nested = F.array_join(F.transform(F.coalesce("people", F.array()), lambda p: p["person"]), ",")
-    whole = frame(spark, sf_dir, "requests").join(people, "request_id", "left").select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"recipients":['), nested, F.lit("]}")).alias("value"))
-    return whole.union(frame(spark, sf_dir, "region").select(F.concat(F.lit("{broken "), "r_name")))
+    counted = frame(spark, sf_dir, "requests").join(requests.recipient_count(recipients), "request_id", "left")
+    whole = counted.join(people, "request_id", "left").select("request_id", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"recipients":['), nested, F.lit("]}")).alias("value"))
+    return whole.repartition("request_id").select("value").union(frame(spark, sf_dir, "region").select(F.concat(F.lit("{broken "), "r_name")))
 
 
 def _dispatched(spark: SparkSession, sf_dir: str) -> str:

@@ -11,7 +11,7 @@ from herald.operators.catalog import BUTTON, explode_templates, map_provider_tem
 from herald.sources.writers import read_ledger, read_recipients  # noqa: F401  the ledger's readers
 
 RECIPIENT = f"struct<phoneNumber:string,name:string,variables:string,content:string,buttons:array<{BUTTON}>,emtitle:string,failoverSubject:string,failoverMessage:string>"
-REQUEST = f"unionId string, senderId string, templateCode string, noticeId string, recipients array<{RECIPIENT}>, _corrupt_record string"
+REQUEST = f"unionId string, senderId string, templateCode string, noticeId string, requestKey string, first bigint, recipients array<{RECIPIENT}>, _corrupt_record string"
 ENVELOPE = "page bigint, code int, message string, list array<string>"
 RESPONSE = "request_id bigint, batch_index bigint, code int, message string, info struct<type:string,mid:string,current:string,unit:decimal(18,2),total:decimal(18,2),scnt:bigint,fcnt:bigint>"
 SENT = "request_id bigint, batch_index bigint, batch_size bigint, n_batches bigint, sent_ts timestamp"
@@ -44,11 +44,15 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
 def parse_requests(lines: DataFrame) -> DataFrame:
     """Numbered lines as requests; a line that does not parse has ``corrupt_record``, and blank lines are none.
 
-    A recipient's ``variables`` stay JSON text, as a map would lose the order and the repeats of their keys."""
+    A request of many recipients may come in parts, each a line of the same file with the request's fields, its
+    ``requestKey`` (one in the file) and ``first``, the position of the part's first recipient: a line is held whole, so
+    it is the line that has to be small, not the request. A recipient's ``variables`` stay JSON text, as a map would lose
+    the order and the repeats of their keys."""
     parsed = F.from_json("value", REQUEST, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = lines.where(F.trim("value") != "").select("ingest_file", "ingest_line", parsed.alias("r")).select("ingest_file", "ingest_line", "r.*")
     return rows.select(
         F.col("unionId").alias("union_id"), F.col("senderId").alias("sender_id"), F.col("templateCode").alias("template_code"), F.col("noticeId").alias("notice_id"), "recipients",
+        F.col("requestKey").alias("request_key"), F.coalesce("first", F.lit(0).cast("bigint")).alias("first_seq"),
         F.col("_corrupt_record").alias("corrupt_record"), "ingest_file", "ingest_line",
     )
 

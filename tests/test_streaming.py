@@ -348,3 +348,34 @@ def test_a_job_costs_few_questions_to_its_state():
     assert (out["status"], out["error"], out["timed_out"], out["completed_us"]) == ("failed", "TIME_OUT", True, 1_010_000)
     assert 6010 in held.timers
     assert list(job.handleExpiredTimer((7,), None, Expired(6010))) == [] and held.value is None
+
+
+def test_a_request_in_parts_is_one_request(spark, tmp_path, sf_dir):
+    """Parts of odd sizes, in any order, give what the whole line gives: batches, flags (also of batches that lie across
+    parts), and rejects; an invalid request is rejected once."""
+    lookups = tuple(frame(spark, sf_dir, n) for n in ("template_target", "key_aliases", "channels"))
+    people = [{"phoneNumber": None if i % 7 == 3 else f"010-{i:08d}", "name": f"n{i}", "failoverSubject": "s", "failoverMessage": "m" if i in (700, 1500) else None} for i in range(1900)]
+    head = {"unionId": "1", "templateCode": "Brand#2"}
+    cuts = [0, 3, 450, 450, 1101, 1105, 1900]
+    parts = [json.dumps(head | {"requestKey": "k", "first": a, "recipients": people[a:z]}) for a, z in zip(cuts, cuts[1:])]
+    bad = [json.dumps({"unionId": "", "templateCode": "t", "requestKey": "bad", "first": a, "recipients": people[:2]}) for a in (0, 2)]
+    (tmp_path / "parts.json").write_text("\n".join([*parts[::-1], *bad]) + "\n")
+    (tmp_path / "whole.json").write_text(json.dumps(head | {"recipients": people}) + "\n" + json.dumps({"unionId": "", "templateCode": "t", "recipients": people[:4]}) + "\n")
+    found = []
+    for name in ("parts", "whole"):
+        judged = dispatch.checked(readers.read_requests(spark, str(tmp_path / f"{name}.json")))
+        out = dispatch.outbox(dispatch.resolved(judged, lookups))
+        assert out.select("request_id").distinct().count() == 1
+        left = dispatch.rejects(judged).select("seq", "reject_code").collect()
+        found.append((sorted(map(tuple, out.drop("request_id").collect())), sorted((r["reject_code"], r["seq"] or -1) for r in left)))
+    assert found[0] == found[1]
+    assert {r[1] for r in found[0][0] if r[2] == "failover"} == {0} and [r[3] for r in found[0][0] if r[2] == "failover"] == ["N", "Y", "Y", "N"]
+
+
+def test_requests_are_written_in_lines_of_a_batch(spark, sf_dir, monkeypatch):
+    """No line of the dispatched requests holds more recipients than a batch, whatever the campaign's size."""
+    from herald.plans import flows
+
+    monkeypatch.setattr(flows.batches, "BATCH", 20)
+    lines = flows._request_lines(spark, sf_dir).collect()
+    assert max(r["value"].count('"phoneNumber"') for r in lines) == 20 and sum('"requestKey"' in r["value"] for r in lines) > 25
