@@ -379,3 +379,12 @@ def test_requests_are_written_in_lines_of_a_batch(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(flows.batches, "BATCH", 20)
     lines = flows._request_lines(spark, sf_dir).collect()
     assert max(r["value"].count('"phoneNumber"') for r in lines) == 20 and sum('"requestKey"' in r["value"] for r in lines) > 25
+
+
+def test_rejects_of_parts(spark, tmp_path):
+    """A recipient's place is that in the request, and an invalid request has one reject, by its first part."""
+    part = lambda key, union, first, *phones: json.dumps({"unionId": union, "templateCode": "t", "requestKey": key, "first": first, "recipients": [{"phoneNumber": p} for p in phones]})
+    lines = [part("a", "u", 2, "1", None), part("a", "u", 0, None, "1"), part("b", "", 2, None), part("b", "", 0, "1", "1"), part("c", "u", 0), part("c", "u", 0)]
+    (tmp_path / "r.json").write_text("\n".join(lines) + "\n")
+    found = dispatch.rejects(dispatch.checked(readers.read_requests(spark, str(tmp_path / "r.json")))).collect()
+    assert sorted((r["ingest_line"], r["seq"], r["reject_code"]) for r in found) == [(0, 3, "NO_PHONE"), (1, 0, "NO_PHONE"), (3, None, "INVALID_PARAMS"), (4, None, "INVALID_PARAMS")]
