@@ -584,3 +584,18 @@ def test_bpe_query(spark, library, monkeypatch):
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
     assert bpe.encoded(docs(spark, AWKWARD)).where("doc_id = 9").first()["ids"] == library.encode("a", add_special_tokens=False).ids
     assert bpe.encoded(docs(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_marks_lose_no_line(spark, monkeypatch):
+    """Marked lines hold all that are looked for, and what is broadcast of the ids does not grow with them."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "MARKS", 16)
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("line_id"), F.col("id").cast("string").alias("line"))
+    for n in (1, 200, 5000):
+        ids = rows.where(F.col("line").cast("int") < n).select("line_id")
+        found = lines._marked(rows, ids)
+        assert found.join(ids, "line_id").count() == n and found.columns == ["line_id", "line"]
+        assert found.count() < 20_000 * min(1, n / 500 + 0.01)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "bit_or" in plan.split("BroadcastExchange")[1]
